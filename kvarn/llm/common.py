@@ -50,7 +50,7 @@ def ranked(df: DataFrame, keys: list[str], name: str = "rank") -> DataFrame:
     """
     spark = df.sparkSession
     placed = (
-        df.withColumn("_tie", F.monotonically_increasing_id())
+        materialise(df.withColumn("_tie", F.monotonically_increasing_id()), "unranked")  # range partitioning reads its input twice
         .repartitionByRange(*keys, "_tie")
         .sortWithinPartitions(*keys, "_tie")
         .withColumn("_at", F.monotonically_increasing_id())
