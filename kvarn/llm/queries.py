@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kvarn.session import ship
 
-from . import packing, quality_bt, sharding, warc
+from . import ngram_join, packing, quality_bt, sharding, suffix_tree, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -43,3 +43,18 @@ SQL: dict[str, str] = {}
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scores(_table(spark, sf_dir, "documents"))
+
+
+def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs)
+
+
+QUERIES |= {f.__name__: f for f in (op2_ngram_join, op8_lm_scores)}
