@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kvarn.session import ship
 
-from . import ngram_join, packing, quality_bt, sharding, suffix_tree, warc
+from . import decontaminate, ngram_join, packing, quality_bt, sharding, suffix_tree, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -58,3 +58,14 @@ def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 QUERIES |= {f.__name__: f for f in (op2_ngram_join, op8_lm_scores)}
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES |= {"op1_decontaminate": op1_decontaminate}
