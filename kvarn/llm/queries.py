@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kvarn.session import ship
 
-from . import decontaminate, ngram_join, packing, quality_bt, sharding, suffix_tree, warc
+from . import decontaminate, license_scan, ngram_join, packing, quality_bt, quality_rules, sharding, suffix_tree, surrogates, warc
+from .common import columns
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -69,3 +71,31 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 QUERIES |= {"op1_decontaminate": op1_decontaminate}
+
+
+def op3_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = columns(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    out = quality_rules.judge(docs, _table(spark, sf_dir, "labels"))
+    return out.select("_row.doc_id", *[c for c in out.columns if c != "_row"])
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogates.replaced(columns(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return out.select("_row.doc_id", F.col("_text").alias("text"), F.size("_entities").cast("long").alias("n_entities"))
+
+
+def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(docs, _table(spark, sf_dir, "labels")).filter("kept").select("_row.*")
+
+
+def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    changed = surrogates.replaced(docs)
+    own = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return changed.select(*[own.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+
+
+QUERIES |= {f.__name__: f for f in (op3_quality_llr, op4_license_scan, op6_pii_surrogates)}
