@@ -31,6 +31,7 @@ from .common import columns, components, materialise
 
 GROUP_SHINGLES = 2_000_000
 BUCKET_BYTES = 12_000_000
+MAX_WORDS = 150_000  # hashes remembered in a worker
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _words: dict[bytes, int] = {}
 
@@ -43,7 +44,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_words) > 1_000_000:
+    if len(_words) > MAX_WORDS:
         _words.clear()
     try:
         return np.array([_words[w] for w in words], dtype=np.uint64)
