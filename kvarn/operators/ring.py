@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kvarn.functions.bytes_and_hashes import length_prefixed, u64
 
@@ -100,7 +101,8 @@ def owners(keys: DataFrame, ranges: DataFrame) -> DataFrame:
             more = [pa.array([starts[i].decode() for i in where]), pa.array([ends[i] for i in where]), pa.array([replicas[i] for i in where], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "range_start", "range_end", "replicas"])
 
-    out = schema.add("range_start", "string").add("range_end", "string").add("replicas", "array<string>")
+    more_fields = [T.StructField("range_start", T.StringType()), T.StructField("range_end", T.StringType()), T.StructField("replicas", T.ArrayType(T.StringType()))]
+    out = T.StructType([*schema.fields, *more_fields])
     return keys.filter("key is not null").mapInArrow(search, out)
 
 
