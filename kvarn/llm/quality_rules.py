@@ -99,6 +99,16 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     total = F.aggregate("_features", F.lit(0.0), lambda a, b: a + F.get(weights, b))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("llr", F.when(F.size("_features") > 0, total / F.size("_features")).otherwise(F.lit(0.0)))
+    # A filter on these must not be pushed below: it would be computed from nested copies of all expressions above.
+    here = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
     return out.select(
-        "_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr"
+        "_row",
+        here(F.col("n_words")).alias("n_words"),
+        "word_chars",
+        "n_symbols",
+        here(F.col("n_dup_lines")).alias("n_dup_lines"),
+        here(F.col("n_repeat_words")).alias("n_repeat_words"),
+        here(failed).alias("base_failed"),
+        here(~failed & (F.col("llr") >= threshold)).alias("kept"),
+        here(F.col("llr")).alias("llr"),
     )
