@@ -1,95 +1,115 @@
-"""Language-model scores from a probabilistic suffix tree over the characters of words.
-
-*Model.* Symbols are the UTF-8 bytes of a word and its end. A context is a suffix of what stands before a symbol in its
-word, with the word's start. Contexts of up to ``DEPTH`` bytes are candidates if they make up at least ``MIN_SHARE`` of
-all training symbols; one is retained if the divergence of its next-symbol distribution from its parent's (the context
-without its first byte) is at least ``MIN_DIVERGENCE`` nats, or if a longer retained context needs it. A symbol is
-predicted by the longest retained suffix, smoothed with the shorter ones (Witten-Bell). A word's own count is the
-deepest state: P(w) = (c(w) + V * tree(w)) / (N + V), over the N training tokens and their V distinct words. So the
-model keeps every word of the training corpus and grows with it, and the tree stands for words it has not seen.
-
-*Flow.* Each input block (a few thousand documents) is reduced once to its distinct words and to documents as lists of
-word numbers; both are written to the shared folder. Words are gathered by their hash, counted over all blocks, scored
-once each, and sent back to the blocks that hold them, which add up their documents. No text is shuffled, and a frequent
-word costs a block no more than a rare one. Only the tree is broadcast: ``MIN_SHARE`` bounds its contexts to
-``DEPTH / MIN_SHARE`` and their entries to ``(DEPTH + 1) / MIN_ENTRY``, whatever the corpus.
+"""Language-model scores from a probabilistic suffix tree over words.
+
+*Model.* Symbols are the tokens: lower-cased (A-Z) words and the end of a text. A context is the one or more tokens before
+a token, in its text (before the first stands an end). Contexts that stand at least ``max(MIN_COUNT, MIN_SHARE * N)``
+times in the training tokens are candidates; one is retained if its next-symbol distribution differs from its parent's
+(the context without its oldest token) by at least ``MIN_DIVERGENCE`` nats. A token is predicted by the longest
+retained suffix of what stands before it, smoothed with the shorter ones (Witten-Bell):
+P(w | s) = (c(sw) + T(s) P(w | parent)) / (c(s) + T(s)). The root is (c(w) + 1) / (N + V + 1), with one share for all
+words that training has not seen. Counts of single words are kept whole, however rare.
+
+*Flow.* Input blocks (a few thousand texts) are written once as token numbers and a list of distinct words. Words are
+counted by hash over all blocks, and the counts go back to the blocks that hold the words. Then, for each length of
+context, blocks send their distinct (context, token) pairs, packed in arrays, to buckets by the pair's hash; the totals
+go back in the same order. No text is shuffled, and a hot word or pair is one entry a block. The driver and the
+executors get only the statistics of retained contexts, at most ``1 / MIN_SHARE`` for each length.
 
 Null and empty texts are one end token. A null doc_id counts as a training row; repeated rows count each time.
 """
 
 from __future__ import annotations
 
+import gc
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import columns, materialise
 
-DEPTH, MIN_SHARE, MIN_ENTRY, MIN_DIVERGENCE = 5, 2e-5, 5e-7, 0.02
-BLOCK_DOCS, BLOCK_BYTES, BUCKET_BYTES = 4000, 12_000_000, 16_000_000
-START, END = 1, 2  # stand for a word's start and end; a word cannot hold these bytes' places, as codes carry their own length
+DEPTH, MIN_COUNT, MIN_SHARE, MIN_DIVERGENCE = 2, 16, 2e-6, 0.05
+BLOCK_DOCS, BLOCK_BYTES, BUCKET_BYTES = 4000, 6_000_000, 16_000_000
+_STAT = np.dtype([("ctx", "<u8"), ("c_ctx", "<i8"), ("kinds", "<i8"), ("gain", "<f8"), ("mass", "<f8"), ("below", "<f8")])
+_P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Variable-length bytes: seven bits each, the last with its high bit set."""
+    x = x.astype(np.uint32)
+    size = 1 + (x >= 1 << 7).astype(np.int64) + (x >= 1 << 14) + (x >= 1 << 21) + (x >= 1 << 28)
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(x) else 0, dtype=np.uint8)
+    for k in range(5):
+        some = size > k
+        out[ends[some] - 1 - k] = (x[some] >> np.uint32(7 * k)) & np.uint32(127)
+    out[ends - 1] |= 128
+    return out.tobytes()
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, dtype=np.uint8)
+    ends = np.flatnonzero(raw >= 128)
+    size = np.diff(np.concatenate([[-1], ends]))
+    out = np.zeros(len(ends), dtype=np.int64)
+    for k in range(5):
+        some = size > k
+        out[some] |= (raw[ends[some] - k] & 127).astype(np.int64) << (7 * k)
+    return out
+
+
 def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of two kinds. Documents of a block: doc_ids, word numbers and counts. Words of a block in a bucket: their bytes, numbers and training counts."""
+    """Rows of two kinds. A block's texts: doc_ids, token numbers, tokens of each text, held-out flags. A block's words in a bucket: their bytes, numbers and training counts."""
 
     def reduce_block(block: str, ids: list, texts: list):
-        number: dict[bytes, int] = {}
-        counted: list[int] = []
-        numbers, counts, sizes, held = [], [], [], []
-        for doc_id, text in zip(ids, texts, strict=True):
-            own: dict[bytes, int] = {}
-            for w in (text or "").encode().lower().split():
-                own[w] = own.get(w, 0) + 1
-            own[b""] = 1  # the end
-            out = is_held_out(doc_id)
-            for w, c in own.items():
-                k = number.get(w)
-                if k is None:
-                    k = number[w] = len(number)
-                    counted.append(0)
-                if not out:
-                    counted[k] += c
-                numbers.append(k)
-            counts.extend(own.values())
-            sizes.append(len(own))
-            held.append(out)
-        arrays = [np.array(numbers, "<u4"), np.array(counts, "<u4"), np.array(sizes, "<u4"), np.array(held, "u1")]
-        yield block, -1, ids, [a.tobytes() for a in arrays]
-        words = list(number)
+        seen: dict[bytes, int] = {}
+        split, held = [], [is_held_out(i) for i in ids]
+        for text in texts:
+            own = [*(text or "").encode().lower().split(), b""]
+            split.append(own)
+            for w in own:
+                seen[w] = seen.get(w, 0) + 1
+        words = sorted(seen, key=seen.get, reverse=True)  # frequent words get short numbers
+        number = {w: k for k, w in enumerate(words)}
+        tokens = np.array([number[w] for own in split for w in own], dtype=np.int64)
+        sizes = np.array([len(own) for own in split], dtype=np.int64)
+        train = np.repeat(~np.array(held, dtype=bool), sizes)
+        counted = np.bincount(tokens[train], minlength=len(words)).astype("<u4")
+        yield block, -1, ids, [pack_numbers(tokens), sizes.astype("<u4").tobytes(), np.array(held, "u1").tobytes(), str(number[b""]).encode()]
         at = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in words], dtype=np.int64)
-        total = np.array(counted, dtype="<u4")
         for b in np.unique(at).tolist():
             mine = np.flatnonzero(at == b)
-            yield block, b, None, [b"\n".join(words[i] for i in mine.tolist()), mine.astype("<u4").tobytes(), total[mine].tobytes(), b""]
+            yield block, b, None, [b"\n".join(words[i] for i in mine.tolist()), pack_numbers(mine), pack_numbers(counted[mine]), b""]
 
     def run(batches):
         part, turn = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            sizes = np.cumsum([0 if x is None else x for x in pa.compute.binary_length(texts).to_pylist()])
+            sizes = np.cumsum(np.array([x or 0 for x in pc.binary_length(texts).to_pylist()], dtype=np.int64))
             at = 0
             while at < len(ids):
                 floor = sizes[at - 1] if at else 0
                 to = min(len(ids), at + BLOCK_DOCS, max(at + 1, int(np.searchsorted(sizes, floor + BLOCK_BYTES, side="right"))))
-                out = list(reduce_block(f"{part}-{turn}", ids[at:to], texts.slice(at, to - at).to_pylist()))
-                turn, at = turn + 1, to
-                for row in out:
+                for row in reduce_block(f"{part}-{turn}", ids[at:to], texts.slice(at, to - at).to_pylist()):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row[0]], pa.string()), pa.array([row[1]], pa.int32()), pa.array([row[2]], pa.list_(pa.int64())), *[pa.array([x], pa.binary()) for x in row[3]]],
                         names=["block", "bucket", "ids", "a", "b", "c", "d"],
                     )
-
-    import pyarrow.compute  # noqa: F401
+                turn, at = turn + 1, to
 
     return docs.mapInArrow(run, "block string, bucket int, ids array<long>, a binary, b binary, c binary, d binary")
 
@@ -100,179 +120,234 @@ def _words_of(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray
     where, counts = [], []
     for joined, c in zip(table.column("a").to_pylist(), table.column("c").to_pylist(), strict=True):
         where.append(np.array([place.setdefault(w, len(place)) for w in joined.split(b"\n")], dtype=np.int64))
-        counts.append(np.frombuffer(c, "<u4"))
+        counts.append(unpack_numbers(c))
     total = np.zeros(len(place), dtype=np.int64)
     for at, c in zip(where, counts, strict=True):
-        np.add.at(total, at, c.astype(np.int64))
+        np.add.at(total, at, c)
     return list(place), total, where
 
 
-def _symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All words one after another, each between its start and its end, and the place of each symbol within its word (0 for the start)."""
-    joined = np.frombuffer(b"".join(bytes([START]) + w + bytes([END]) for w in words), dtype=np.uint8)
-    sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
-    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return joined, np.arange(len(joined)) - starts
-
-
-def _contexts(symbols: np.ndarray, place: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that have ``level`` symbols before them in their word, and those symbols as one number."""
-    at = np.flatnonzero(place >= max(1, level))
-    code = np.zeros(len(at), dtype=np.int64)
-    for back in range(level, 0, -1):
-        code = (code << 8) | symbols[at - back]
-    return at, code
-
-
-def _ngrams(words: list[bytes], weights: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each level: (context << 8 | next symbol) codes and their weighted counts."""
-    symbols, place = _symbols(words)
-    weight = np.repeat(weights, [len(w) + 2 for w in words])
-    found = []
-    for level in range(DEPTH + 1):
-        at, code = _contexts(symbols, place, level)
-        codes, back = np.unique((code << 8) | symbols[at], return_inverse=True)
-        found.append((level, codes, np.bincount(back, weights=weight[at], minlength=len(codes)).astype(np.int64)))
-    return found
-
-
-class Tree:
-    """Retained contexts: for each level sorted context codes, their totals and kinds, and sorted entries with counts."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        total = float(levels[0][1].sum()) if len(levels[0][1]) else 0.0
-        self.root = np.full(256, 1.0)
-        np.add.at(self.root, levels[0][0] & 255, levels[0][1])
-        self.root /= self.root.sum()
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        kept: list[np.ndarray] = []
-        parents = None
-        for level in range(1, len(levels)):
-            codes, counts = levels[level]
-            ctx, first = np.unique(codes >> 8, return_index=True)
-            sums = np.add.reduceat(counts, first) if len(ctx) else counts
-            kinds = np.diff(np.append(first, len(codes)))
-            owner = np.repeat(np.arange(len(ctx)), kinds)
-            p = counts / np.maximum(sums[owner], 1)
-            if level == 1:
-                q = self.root[codes & 255]
-            else:
-                pc, pn, ps = parents
-                parent_code = ((codes >> 8) & ((1 << (8 * (level - 1))) - 1)) << 8 | (codes & 255)
-                i = np.minimum(np.searchsorted(pc, parent_code), max(0, len(pc) - 1))
-                hit = (pc[i] == parent_code) if len(pc) else np.zeros(len(codes), dtype=bool)
-                q = np.where(hit, pn[i] / np.maximum(ps[i], 1), 1e-6) if len(pc) else np.full(len(codes), 1e-6)
-            gain = np.bincount(owner, weights=p * np.log(np.maximum(p, 1e-12) / np.maximum(q, 1e-12)), minlength=len(ctx))
-            kept.append((sums >= MIN_SHARE * total) & (gain >= MIN_DIVERGENCE))
-            self.levels.append((ctx, sums, kinds, codes, counts))
-            parents = (codes, counts, sums[owner])
-        for level in range(len(self.levels) - 1, 0, -1):  # suffixes of retained contexts are retained
-            ctx = self.levels[level][0][kept[level]]
-            need = np.unique(ctx & ((1 << (8 * level)) - 1))
-            kept[level - 1] |= np.isin(self.levels[level - 1][0], need)
-        for level, keep in enumerate(kept):
-            ctx, sums, kinds, codes, counts = self.levels[level]
-            entry = np.repeat(keep, kinds)
-            self.levels[level] = (ctx[keep], sums[keep], kinds[keep], codes[entry], counts[entry])
-
-    def size(self) -> int:
-        return sum(len(x[0]) for x in self.levels)
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 of each word's probability."""
-        if not words:
-            return np.zeros(0)
-        symbols, place = _symbols(words)
-        p = self.root[symbols]
-        for level, (ctx, sums, kinds, codes, counts) in enumerate(self.levels, 1):
-            if not len(ctx):
+class Contexts:
+    """Retained contexts of one length: sorted hashes, how often they stand, and their kinds of next symbols."""
+
+    def __init__(self, rows: list):
+        rows = sorted((np.uint64(r["ctx"] & (2**64 - 1)), r["c_ctx"], r["kinds"]) for r in rows)
+        self.ctx = np.array([r[0] for r in rows], dtype=np.uint64)
+        self.total = np.array([r[1] for r in rows], dtype=np.float64)
+        self.kinds = np.array([r[2] for r in rows], dtype=np.float64)
+
+    def find(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.ctx):
+            return np.zeros(len(ctx), dtype=bool), np.zeros(len(ctx), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.ctx, ctx), len(self.ctx) - 1)
+        return self.ctx[at] == ctx, at
+
+
+class Block:
+    """A block's tokens with what is known of them so far: counts, and the pairs' totals of each length done."""
+
+    def __init__(self, texts: dict, told: list[dict], tokens: int, kinds: int, least: int, retained: list[Contexts], buckets: int):
+        self.ids, self.tok = texts["ids"], unpack_numbers(texts["a"])
+        self.sizes = np.frombuffer(texts["b"], "<u4").astype(np.int64)
+        self.held = np.frombuffer(texts["c"], "u1").astype(bool)
+        self.starts, self.least, self.buckets = np.cumsum(self.sizes) - self.sizes, least, buckets
+        self.train = np.repeat(~self.held, self.sizes)
+        n_words = int(self.tok.max()) + 1
+        self.count, mark = np.zeros(n_words, dtype=np.int64), np.zeros(n_words, dtype=np.uint64)
+        for row in told:
+            if row["level"] == 0:
+                number, c = unpack_numbers(row["a"]), np.frombuffer(row["b"], "<i8")
+                self.count[number] = c
+                mark[number[c >= least]] = np.frombuffer(row["c"], "<u8")
+        self.base = (self.count + 1) / (tokens + kinds + 1)
+        self.p = self.base[self.tok]
+        first = np.zeros(len(self.tok), dtype=bool)
+        first[self.starts] = True
+        end = int(texts["d"])
+        before = np.where(first, end, np.concatenate([[0], self.tok[:-1]]))
+        ctx, c_ctx, self.symbol, self.first = mark[before], self.count[before], mark[self.tok], first
+        for level in range(1, DEPTH + 1):
+            self._pairs(level, ctx, c_ctx)
+            rows = [r for r in told if r["level"] == level]
+            if level > len(retained) or (not rows and len(self.valid)):
                 break
-            at, code = _contexts(symbols, place, level)
-            i = np.minimum(np.searchsorted(ctx, code), len(ctx) - 1)
-            known = ctx[i] == code
-            at, code, i = at[known], code[known], i[known]
-            full = (code << 8) | symbols[at]
-            j = np.minimum(np.searchsorted(codes, full), len(codes) - 1)
-            c = np.where(codes[j] == full, counts[j], 0)
-            p[at] = (c + kinds[i] * p[at]) / (sums[i] + kinds[i])
-        logs = np.where(place > 0, np.log10(p), 0.0)
-        starts = np.flatnonzero(place == 0)
-        return np.add.reduceat(logs, starts)
+            total = self._totals(rows)
+            self._predict(retained[level - 1], ctx, total)
+            key, n = np.zeros(len(self.tok), dtype=np.uint64), np.zeros(len(self.tok), dtype=np.int64)
+            key[self.valid], n[self.valid] = self.keys[self.inverse], total[self.inverse]
+            long = np.concatenate([[False], (n[:-1] >= least) & ~first[1:]]) if len(n) else first
+            ctx = np.where(long, np.concatenate([key[:1], key[:-1]]), np.uint64(0))
+            c_ctx = np.where(long, np.concatenate([n[:1], n[:-1]]), 0)
+
+    def _pairs(self, level: int, ctx: np.ndarray, c_ctx: np.ndarray) -> None:
+        """Distinct pairs of a frequent context and a frequent token, in the order of their hash."""
+        self.valid = np.flatnonzero((ctx > 0) & (self.symbol > 0))
+        key = _mix(ctx[self.valid] * _P1 + self.symbol[self.valid] * _P2 + np.uint64(level))
+        self.keys, self.some, self.inverse = np.unique(key, return_index=True, return_inverse=True)
+        self.pair_ctx, self.pair_c = ctx[self.valid][self.some], c_ctx[self.valid][self.some]
+        bucket = (self.keys % np.uint64(self.buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        self.cuts = np.searchsorted(bucket[self.order], np.arange(self.buckets + 1))
+
+    def _totals(self, rows: list[dict]) -> np.ndarray:
+        total = np.zeros(len(self.keys), dtype=np.int64)
+        for row in rows:
+            b = row["bucket"]
+            total[self.order[self.cuts[b] : self.cuts[b + 1]]] = unpack_numbers(row["a"])
+        return total
+
+    def _predict(self, retained: Contexts, ctx: np.ndarray, total: np.ndarray) -> None:
+        at = np.flatnonzero(ctx > 0)
+        known, i = retained.find(ctx[at])
+        at, i = at[known], i[known]
+        c = np.zeros(len(self.tok), dtype=np.float64)
+        c[self.valid] = total[self.inverse]
+        self.p[at] = (c[at] + retained.kinds[i] * self.p[at]) / (retained.total[i] + retained.kinds[i])
+
+    def packed(self):
+        """(bucket, columns of its pairs) of the length that is next: pair, context, how often that stands, log10 of the shorter context's probability, training count."""
+        p = np.log10(self.p[self.valid[self.some]]).astype("<f2")
+        n = np.bincount(self.inverse[self.train[self.valid]], minlength=len(self.keys))
+        for b in np.flatnonzero(np.diff(self.cuts)).tolist():
+            own = self.order[self.cuts[b] : self.cuts[b + 1]]
+            c = np.minimum(self.pair_c[own], (1 << 32) - 1)
+            yield b, self.keys[own].tobytes(), self.pair_ctx[own].tobytes(), pack_numbers(c), p[own].tobytes(), pack_numbers(n[own])
+
+    def sums(self, tokens: int) -> pa.Table:
+        add_up = lambda x: np.add.reduceat(x, self.starts)
+        return pa.table(
+            {
+                "doc_id": pa.array(self.ids, pa.int64()),
+                "held_out": pa.array(self.held),
+                "n_tokens": pa.array(self.sizes),
+                "n_known": pa.array(add_up((self.count[self.tok] > 0).astype(np.int64))),
+                "train_tokens": pa.array(np.full(len(self.sizes), tokens, dtype=np.int64)),
+                "base_score": pa.array(add_up(np.log10(self.base)[self.tok])),
+                "score": pa.array(add_up(np.log10(self.p))),
+            }
+        )
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps that are written and no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Totals of a bucket's pairs for each block that sent them, and the bucket's part of the contexts' statistics."""
+    column = lambda name, read: [read(x) for x in table.column(name).to_pylist()]
+    rows = column("key", lambda x: np.frombuffer(x, "<u8"))
+    keys, first, inverse = np.unique(np.concatenate(rows), return_index=True, return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate(column("n", unpack_numbers)), minlength=len(keys)).astype(np.int64)
+    cuts = np.cumsum([0, *map(len, rows)])
+    sent = [pack_numbers(total[inverse[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    first = first[total > 0]
+    c, p = total[total > 0], 10 ** np.concatenate(column("p", lambda x: np.frombuffer(x, "<f2")))[first].astype(np.float64)
+    c_ctx = np.concatenate(column("c_ctx", unpack_numbers))[first]
+    share = c / np.maximum(c_ctx, 1)
+    ctx, at, back = np.unique(np.concatenate(column("ctx", lambda x: np.frombuffer(x, "<u8")))[first], return_index=True, return_inverse=True)
+    stat = np.zeros(len(ctx), dtype=_STAT)
+    stat["ctx"], stat["c_ctx"] = ctx, c_ctx[at]
+    stat["kinds"] = np.bincount(back, minlength=len(ctx))
+    for name, x in (("gain", share * np.log(share / p)), ("mass", share), ("below", p)):
+        stat[name] = np.bincount(back, weights=x, minlength=len(ctx))
+    bucket = table.column("bucket")[0].as_py()
+    blocks = [*table.column("block").to_pylist(), None]
+    return pa.table({"block": pa.array(blocks, pa.string()), "bucket": pa.array([bucket] * len(blocks), pa.int32()), "a": pa.array([*sent, stat.tobytes()], pa.binary())})
+
+
+def _retained(met: DataFrame) -> Contexts:
+    """The contexts that differ enough from their parents, from the buckets' statistics."""
+
+    def rows(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                s = np.frombuffer(data, _STAT)
+                yield pa.RecordBatch.from_arrays([pa.array(s["ctx"].astype(np.int64)), *[pa.array(s[n]) for n in ("c_ctx", "kinds", "gain", "mass", "below")]], names=["ctx", "c_ctx", "kinds", "gain", "mass", "below"])
+
+    each = met.filter("block is null").select("a").mapInArrow(rows, "ctx long, c_ctx long, kinds long, gain double, mass double, below double")
+    # what the pairs do not cover is one more next symbol
+    left, under = (F.greatest(F.lit(1e-9), 1 - F.col(c)) for c in ("mass", "below"))
+    gain = F.col("gain") + left * F.ln(left / under)
+    sums = each.groupBy("ctx").agg(F.max("c_ctx").alias("c_ctx"), F.sum("kinds").alias("_kinds"), *[F.sum(c).alias(c) for c in ("gain", "mass", "below")])
+    # next symbols too rare to be told apart count as kinds of their own
+    sums = sums.withColumn("kinds", F.col("_kinds") + 1 + F.greatest(F.lit(0.0), 1 - F.col("mass")) * F.col("c_ctx"))
+    return Contexts(sums.filter(gain >= MIN_DIVERGENCE).select("ctx", "c_ctx", "kinds").collect())  # at most 1 / MIN_SHARE
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     spark, docs = docs.sparkSession, columns(docs, "doc_id", "text")
     bytes_in = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(max(8, -(-bytes_in // (4 * BUCKET_BYTES))))
+    buckets = int(max(8, -(-bytes_in // BUCKET_BYTES)))
     blocks = materialise(_blocks(docs, buckets), "blocks")
     words = blocks.filter("bucket >= 0").select("block", "bucket", "a", "b", "c")
+    texts = blocks.filter("bucket = -1").select("block", "ids", "a", "b", "c", "d")
 
-    def count(table: pa.Table) -> pa.Table:
-        names, total, _ = _words_of(table)
-        known = total > 0
-        own = [(-1, 0, int(total.sum())), (-2, 0, int(known.sum()))]
-        level, code, n = [x[0] for x in own], [x[1] for x in own], [x[2] for x in own]
-        seen = [w for w, k in zip(names, known.tolist(), strict=True) if k]
-        rows = [(np.array(level), np.array(code), np.array(n))]
-        if seen:
-            rows += [(np.full(len(c), lv), c, k) for lv, c, k in _ngrams(seen, total[known])]
-        return pa.table({k: pa.array(np.concatenate([r[i] for r in rows]).astype(np.int64), pa.int64()) for i, k in enumerate(("level", "code", "n"))})
-
-    grams = materialise(words.groupBy("bucket").applyInArrow(count, "level long, code long, n long").groupBy("level", "code").agg(F.sum("n").alias("n")), "grams")
-    sums = dict(grams.filter("level < 0").select("level", "n").collect())
-    tokens, kinds = int(sums.get(-1, 0)), int(sums.get(-2, 0))
-    every = grams.filter("level = 0").agg(F.sum("n")).first()[0] or 0
-    # at most 1 / MIN_ENTRY rows a level
-    entries = grams.filter(F.col("level") >= 0).filter((F.col("level") <= 1) | (F.col("n") >= F.lit(MIN_ENTRY * every))).collect()
-    by_level = []
-    for level in range(DEPTH + 1):
-        got = sorted((r["code"], r["n"]) for r in entries if r["level"] == level)
-        by_level.append((np.array([g[0] for g in got], dtype=np.int64), np.array([g[1] for g in got], dtype=np.int64)))
-    tree = spark.sparkContext.broadcast(Tree(by_level))
-
-    def price(table: pa.Table) -> pa.Table:
+    def tell(table: pa.Table) -> pa.Table:
         names, total, where = _words_of(table)
-        logs = np.log10((total + max(kinds, 1) * 10 ** np.maximum(tree.value.log10(names), -300.0)) / (tokens + max(kinds, 1)))
+        mark = np.array([xxhash.xxh3_64_intdigest(w, seed=1) | 1 for w in names], dtype=np.uint64)
+        own = table.num_rows
+        marks = [mark[at][total[at] >= MIN_COUNT] for at in where]
         return pa.table(
             {
-                "block": table.column("block"),
-                "numbers": table.column("b"),
-                "counts": pa.array([total[at].astype("<i8").tobytes() for at in where], pa.binary()),
-                "logs": pa.array([logs[at].astype("<f4").tobytes() for at in where], pa.binary()),
+                "block": pa.concat_arrays([table.column("block").combine_chunks(), pa.array([None], pa.string())]),
+                "level": pa.array([0] * (own + 1), pa.int32()),
+                "bucket": pa.array([0] * (own + 1), pa.int32()),
+                "a": pa.concat_arrays([table.column("b").combine_chunks(), pa.array([None], pa.binary())]),
+                "b": pa.array([*[total[at].astype("<i8").tobytes() for at in where], None], pa.binary()),
+                "c": pa.array([*[m.astype("<u8").tobytes() for m in marks], None], pa.binary()),
+                "tokens": pa.array([*[None] * own, int(total.sum())], pa.int64()),
+                "kinds": pa.array([*[None] * own, int((total > 0).sum())], pa.int64()),
             }
         )
 
-    priced = words.groupBy("bucket").applyInArrow(price, "block string, numbers binary, counts binary, logs binary")
+    answer = "block string, level int, bucket int, a binary, b binary, c binary"
+    told = materialise(words.groupBy("bucket").applyInArrow(tell, answer + ", tokens long, kinds long"), "told")
+    sums = told.agg(F.sum("tokens"), F.sum("kinds")).first()
+    tokens, kinds = int(sums[0] or 0), int(sums[1] or 0)
+    least = int(max(MIN_COUNT, np.ceil(MIN_SHARE * tokens)))
+    names = ["block", "level", "bucket", "a", "b", "c"]
+    known = told.filter("block is not null").select(*names)
+    retained: list[Contexts] = []
+
+    def block_of(left: pa.Table, right: pa.Table, held: list[Contexts]) -> Block:
+        rows = right.to_pylist()
+        for r in rows:  # marks of words that are frequent enough for this corpus
+            if r["level"] == 0:
+                c = np.frombuffer(r["b"], "<i8")
+                r["c"] = np.frombuffer(r["c"], "<u8")[c[c >= MIN_COUNT] >= least].tobytes()
+        return Block(left.to_pylist()[0], rows, tokens, kinds, least, held, buckets)
+
+    def sender(shipped):
+        def emit(left: pa.Table, right: pa.Table) -> pa.Table:
+            got = list(block_of(left, right, shipped.value).packed()) if left.num_rows else []
+            name = left.column("block")[0].as_py() if left.num_rows else None
+            sent = {k: pa.array([x[i] for x in got], pa.binary()) for i, k in enumerate(("key", "ctx", "c_ctx", "p", "n"), 1)}
+            return pa.table({"bucket": pa.array([x[0] for x in got], pa.int32()), "block": pa.array([name] * len(got), pa.string()), **sent})
+
+        return emit
+
+    for level in range(1, DEPTH + 1):
+        shipped = spark.sparkContext.broadcast(list(retained))  # at most level / MIN_SHARE contexts
+
+        pairs = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(sender(shipped), "bucket int, block string, key binary, ctx binary, c_ctx binary, p binary, n binary")
+        met = materialise(pairs.groupBy("bucket").applyInArrow(_meet, "block string, bucket int, a binary"), "met")
+        retained.append(_retained(met))
+        back = met.filter("block is not null").select("block", F.lit(level).alias("level"), "bucket", "a", F.lit(None).cast("binary").alias("b"), F.lit(None).cast("binary").alias("c"))
+        known = known.unionByName(back)
+        del pairs
+        _release(spark)
+
+    final = spark.sparkContext.broadcast(list(retained))
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        numbers = np.concatenate([np.frombuffer(x, "<u4") for x in right.column("numbers").to_pylist()])
-        c, logs = np.zeros(len(numbers)), np.zeros(len(numbers))
-        c[numbers] = np.concatenate([np.frombuffer(x, "<i8") for x in right.column("counts").to_pylist()])
-        logs[numbers] = np.concatenate([np.frombuffer(x, "<f4") for x in right.column("logs").to_pylist()])
-        base = np.log10((c + 1) / (tokens + (kinds + 1)))
-        outs = []
-        for row in left.to_pylist():
-            number, times, size, held = (np.frombuffer(row[k], t) for k, t in (("a", "<u4"), ("b", "<u4"), ("c", "<u4"), ("d", "u1")))
-            starts = np.cumsum(size.astype(np.int64)) - size.astype(np.int64)
-            add_up = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
-            outs.append(
-                pa.table(
-                    {
-                        "doc_id": pa.array(row["ids"], pa.int64()),
-                        "held_out": pa.array(held.astype(bool)),
-                        "n_tokens": pa.array(add_up(times.astype(np.int64))),
-                        "n_known": pa.array(add_up(np.where(c[number] > 0, times, 0).astype(np.int64))),
-                        "train_tokens": pa.array(np.full(len(size), tokens, dtype=np.int64)),
-                        "base_score": pa.array(add_up(times * base[number])),
-                        "score": pa.array(add_up(times * logs[number])),
-                    }
-                )
-            )
-        return pa.concat_tables(outs) if outs else pa.schema([(n, t) for n, t in zip(_OUT, _KINDS, strict=True)]).empty_table()
-
-    lists = blocks.filter("bucket = -1").select("block", "ids", "a", "b", "c", "d")
-    return lists.groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        if not left.num_rows:
+            return pa.schema(list(zip(_OUT, _KINDS, strict=True))).empty_table()
+        return block_of(left, right, final.value).sums(tokens)
+
+    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 _OUT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

@@ -431,6 +431,65 @@ def test_scores_base(spark, docs, rows):
         assert r["score"] < 0
 
 
+def plain_scores(texts, held):
+    """The model in plain Python: contexts of one and two tokens."""
+    tokens = [[*(t or "").encode().lower().split(), b""] for t in texts]
+    train = collections.Counter(w for ws, h in zip(tokens, held, strict=True) if not h for w in ws)
+    n, v = sum(train.values()), len(train)
+    least = max(suffix_tree.MIN_COUNT, math.ceil(suffix_tree.MIN_SHARE * n))
+    frequent = {w for w, c in train.items() if c >= least}
+    root = lambda w: (train[w] + 1) / (n + v + 1)
+    levels, p = [], [[root(w) for w in ws] for ws in tokens]
+    ctx = [[b"" if i == 0 else ws[i - 1] for i in range(len(ws))] for ws in tokens]
+    ctx = [[((c,), train[c]) if c in frequent else None for c in cs] for cs in ctx]
+    for _ in range(suffix_tree.DEPTH):
+        total, under = collections.Counter(), {}
+        for d, ws in enumerate(tokens):
+            for i, w in enumerate(ws):
+                if ctx[d][i] and w in frequent:
+                    total[ctx[d][i][0], w] += not held[d]
+                    under.setdefault((ctx[d][i], w), p[d][i])
+        stats = collections.defaultdict(lambda: [0, 0.0, 0.0, 0.0])
+        for (c, w), q in under.items():
+            if (k := total[c[0], w]) > 0:
+                s = stats[c]
+                s[0] += 1
+                s[1] += k / c[1] * math.log(k / c[1] / q)
+                s[2] += k / c[1]
+                s[3] += q
+        kept = {}
+        for c, (kinds, gain, mass, below) in stats.items():
+            left, rest = max(1e-9, 1 - mass), max(1e-9, 1 - below)
+            if gain + left * math.log(left / rest) >= suffix_tree.MIN_DIVERGENCE:
+                kept[c[0]] = (c[1], kinds + 1 + max(0.0, 1 - mass) * c[1])
+        new = [list(x) for x in p]
+        for d, ws in enumerate(tokens):
+            for i, w in enumerate(ws):
+                if ctx[d][i] and ctx[d][i][0] in kept:
+                    c, kinds = kept[ctx[d][i][0]]
+                    new[d][i] = ((total[ctx[d][i][0], w] if w in frequent else 0) + kinds * p[d][i]) / (c + kinds)
+        p = new
+        ctx = [[((ctx[d][i - 1][0], ws[i - 1]), total[ctx[d][i - 1][0], ws[i - 1]]) if i and ctx[d][i - 1] and ws[i - 1] in frequent and total[ctx[d][i - 1][0], ws[i - 1]] >= least else None for i in range(len(ws))] for d, ws in enumerate(tokens)]
+        levels.append(len(kept))
+    return [sum(map(math.log10, x)) for x in p], levels
+
+
+def test_scores_against_plain_model(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the cat sat", "a dog ran off", "the cat ran", prose(3, i, 40)]) for _ in range(30)) for i in range(60)]
+    want, levels = plain_scores(texts, [suffix_tree.is_held_out(i) for i in range(60)])
+    assert all(levels)
+    monkeypatch.setattr(suffix_tree, "BLOCK_DOCS", 17)
+    got = {r["doc_id"]: r for r in suffix_tree.scores(frame(spark, texts)).collect()}
+    assert all(abs(got[i]["score"] - want[i]) < 0.01 * abs(want[i]) for i in range(60))
+    assert sum(r["score"] for r in got.values() if r["held_out"]) > sum(r["base_score"] for r in got.values() if r["held_out"])
+
+
+def test_packed_numbers():
+    x = np.array([0, 1, 127, 128, 16383, 16384, 2**21, 2**28, 2**32 - 1])
+    assert (suffix_tree.unpack_numbers(suffix_tree.pack_numbers(x)) == x).all() and len(suffix_tree.unpack_numbers(b"")) == 0
+
+
 def test_scores_odd_rows(spark):
     got = suffix_tree.scores(clashing(spark)).collect()
     assert sorted(r["n_tokens"] for r in got) == [1, 1, 1, 2, 4, 5, 5, 30001] and all(math.isfinite(r["score"]) for r in got)
