@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,36 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps that are written and no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Variable-length bytes: seven bits each, the last with its high bit set."""
+    x = x.astype(np.uint32)
+    size = 1 + (x >= 1 << 7).astype(np.int64) + (x >= 1 << 14) + (x >= 1 << 21) + (x >= 1 << 28)
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(x) else 0, dtype=np.uint8)
+    for k in range(5):
+        some = size > k
+        out[ends[some] - 1 - k] = (x[some] >> np.uint32(7 * k)) & np.uint32(127)
+    out[ends - 1] |= 128
+    return out.tobytes()
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, dtype=np.uint8)
+    ends = np.flatnonzero(raw >= 128)
+    size = np.diff(np.concatenate([[-1], ends]))
+    out = np.zeros(len(ends), dtype=np.int64)
+    for k in range(5):
+        some = size > k
+        out[some] |= (raw[ends[some] - k] & 127).astype(np.int64) << (7 * k)
+    return out
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that further columns with any names don't matter."""
     return df.select(*[df[n] for n in names])

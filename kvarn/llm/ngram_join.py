@@ -24,13 +24,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, components, materialise
+from .common import columns, components, materialise, pack_numbers, release, unpack_numbers
 
 GROUP_SHINGLES = 2_000_000
 BUCKET_BYTES = 12_000_000
+BLOCK_DOCS = 4000
 MAX_WORDS = 150_000  # hashes remembered in a worker
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _words: dict[bytes, int] = {}
@@ -72,11 +74,6 @@ def signature(items: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(items.tobytes())
 
 
-def short(sig: str) -> int:
-    """A node id for finding candidates; its rare collisions only add candidates."""
-    return int(sig[:16], 16) - (1 << 63)
-
-
 def band_edges(percent: int, top: int = 1 << 31) -> np.ndarray:
     """First sizes of the bands: sets that may be similar are in the same or in neighbouring ones."""
     edges = [1]
@@ -199,90 +196,98 @@ def trie_components(sets: list[np.ndarray], percent: int, probes: list[int] | No
     return [find(i) for i in range(len(sets))]
 
 
-def _described(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size of the set, its signature and node id."""
-
-    def run(batches):
-        for batch in batches:
-            size, sig, node = [], [], []
-            for text in batch.column(1).to_pylist():
-                items = shingles(text, n)
-                size.append(len(items))
-                sig.append(signature(items) if len(items) else None)
-                node.append(short(sig[-1]) if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.string()), pa.array(node, pa.int64())], names=["doc_id", "n_shingles", "sig", "node"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig string, node long")
-
-
-def _meeting(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """Edges (a, b) between nodes that agree in a whole part: a spanning forest for each bucket of keys."""
+def _described(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """Rows of two kinds, from one pass over the texts. For each document: doc_id, n_shingles, sig, and node, which equal
+    sets of a block share. For each block of documents and bucket of keys: bucket, base (of the block's nodes), the keys,
+    and who sends them, as differences of node numbers."""
     edges = band_edges(percent)
 
-    def send(batches):
+    def run(batches):
+        part, turn = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                keys, nodes = [], []
-                seen = set()
-                for text in batch.column(0).slice(at, 4000).to_pylist():
+            for at in range(0, batch.num_rows, BLOCK_DOCS):
+                base = (part << 40) | (turn << 20)
+                turn += 1
+                ids, size, sig, node = batch.column(0).slice(at, BLOCK_DOCS), [], [], []
+                number: dict[str, int] = {}
+                keys, who = [], []
+                for text in batch.column(1).slice(at, BLOCK_DOCS).to_pylist():
                     items = shingles(text, n)
-                    if len(items) and (node := short(signature(items))) not in seen:
-                        seen.add(node)
+                    size.append(len(items))
+                    if not len(items):
+                        sig.append(None)
+                        node.append(None)
+                        continue
+                    sig.append(signature(items))
+                    if sig[-1] not in number:
+                        number[sig[-1]] = len(number)
                         k = part_keys(items, edges, percent)
                         keys.append(k)
-                        nodes.append(np.full(len(k), node, dtype=np.int64))
+                        who.append(np.full(len(k), number[sig[-1]], dtype=np.int64))
+                    node.append(base | number[sig[-1]])
+                none = lambda kind, m=len(size): pa.nulls(m, kind)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(sig, pa.string()), pa.array(node, pa.int64()), none(pa.int32()), none(pa.int64()), none(pa.binary()), none(pa.binary())], names=_FIELDS)
                 if not keys:
                     continue
-                k, v = np.concatenate(keys), np.concatenate(nodes)
+                k, v = np.concatenate(keys), np.concatenate(who)
                 bucket = (k % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                packed = np.empty(len(k), dtype=[("k", "<u8"), ("v", "<i8")])
-                packed["k"], packed["v"] = k[order], v[order]
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                order = np.argsort(bucket, kind="stable")  # so senders stay in order
+                k, v, cuts = k[order], v[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([packed[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "packed"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(table.column("packed").to_pylist()), dtype=[("k", "<u8"), ("v", "<i8")])
-        order = np.lexsort((rows["v"], rows["k"]))
-        k, v = rows["k"][order], rows["v"][order]
-        keep = np.ones(len(k), dtype=bool)
-        keep[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
-        k, v = k[keep], v[keep]
-        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, dtype=np.int64)
-        size = np.diff(np.append(start, len(k)))
-        shared = np.repeat(size > 1, size)
-        v, group = v[shared], np.repeat(np.arange((size > 1).sum()), size[size > 1])
-        names, node = np.unique(v, return_inverse=True)
-        label = np.arange(len(names))
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group
-        while len(names):
-            least = np.minimum.reduceat(label[node], first)
-            new = label.copy()
-            np.minimum.at(new, node, least[group])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        other = label != np.arange(len(names))
-        return pa.table({"a": pa.array(names[label[other]], pa.int64()), "b": pa.array(names[other], pa.int64())})
-
-    sent = docs.select("text").mapInArrow(send, "bucket int, packed binary")
-    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long")
+                sent = [(k[cuts[b] : cuts[b + 1]].tobytes(), pack_numbers(np.diff(v[cuts[b] : cuts[b + 1]], prepend=0))) for b in full]
+                m = len(full)
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64())], pa.array(full, pa.int32()), pa.array([base] * m, pa.int64()), pa.array([x for x, _ in sent], pa.binary()), pa.array([x for _, x in sent], pa.binary())],
+                    names=_FIELDS,
+                )
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig string, node long, bucket int, base long, keys binary, who binary")
+
+
+_FIELDS = ["doc_id", "n_shingles", "sig", "node", "bucket", "base", "keys", "who"]
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Edges (a, b) between nodes that send the same key: a spanning forest of the bucket's."""
+    k = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()])
+    v = np.concatenate([np.cumsum(unpack_numbers(w)) + b for w, b in zip(table.column("who").to_pylist(), table.column("base").to_pylist(), strict=True)])
+    order = np.argsort(k, kind="stable")
+    k, v = k[order], v[order]
+    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    size = np.diff(np.append(start, len(k)))
+    v, group = v[np.repeat(size > 1, size)], np.repeat(np.arange((size > 1).sum()), size[size > 1])
+    names, node = np.unique(v, return_inverse=True)
+    label = np.arange(len(names))
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group
+    while len(names):
+        least = np.minimum.reduceat(label[node], first)
+        new = label.copy()
+        np.minimum.at(new, node, least[group])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = label != np.arange(len(names))
+    return pa.table({"a": pa.array(names[label[other]], pa.int64()), "b": pa.array(names[other], pa.int64())})
 
 
 def join_components(docs: DataFrame, n: int = 3, percent: int = 90, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``; documents link when their sets' similarity is at least ``percent`` / 100."""
-    docs = columns(docs, "doc_id", "text")
-    told = materialise(_described(docs, n), "sets")
-    elements = told.agg(F.sum("n_shingles")).first()[0] or 0
-    sent_bytes = 16 * (4 * elements * (100 - percent) // (100 + percent) + 1)
-    buckets = max(8, -(-sent_bytes // BUCKET_BYTES))
-    met = components(_meeting(docs, n, percent, int(buckets)))
-
-    nodes = told.filter("n_shingles > 0").groupBy("sig").agg(F.first("node").alias("node"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"))
+    docs, spark = columns(docs, "doc_id", "text"), docs.sparkSession
+    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    buckets = int(max(8, -(-9 * (4 * words * (100 - percent) // (100 + percent) + 1) // BUCKET_BYTES)))
+    written = materialise(_described(docs, n, percent, buckets), "sets")
+    told = written.filter("bucket is null").select("doc_id", "n_shingles", "sig", "node")
+    sent = written.filter("bucket is not null").select("bucket", "base", "keys", "who")
+    met = components(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, "a long, b long"))
+    release(spark)
+
+    nodes = told.filter("n_shingles > 0").groupBy("sig").agg(F.min("node").alias("node"), F.min("doc_id").alias("least"))
     nodes = materialise(nodes, "nodes")
-    wanted = nodes.join(met, "node").select("sig", "least", "root")
+    # all nodes of a set send the same keys, so they are in one group; a group of one set needs no join
+    grouped = nodes.join(met, "node").select("sig", "least", "root")
+    several = grouped.groupBy("root").count().filter("count > 1").select("root")
+    wanted = grouped.join(several, "root").select("sig", "least", "root")
 
     def rebuild(batches):
         for batch in batches:
@@ -292,6 +297,7 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, group_shingl
 
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["least"])).select("text", "sig", "root")
     sets = materialise(texts.mapInArrow(rebuild, "root long, sig string, items binary"), "groups")
+    release(spark)
     blocks = sets.groupBy("root").agg(F.ceil(F.sum(F.octet_length("items")) / 8 / group_shingles).cast("int").alias("blocks"))
     dealt = sets.join(blocks, "root").withColumn("own", F.pmod(F.hash("sig"), F.col("blocks")))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))

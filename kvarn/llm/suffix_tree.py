@@ -19,7 +19,6 @@ Null and empty texts are one end token. A null doc_id counts as a training row;
 
 from __future__ import annotations
 
-import gc
 import zlib
 
 import numpy as np
@@ -27,10 +26,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, materialise
+from .common import columns, materialise, pack_numbers, release, unpack_numbers
 
 DEPTH, MIN_COUNT, MIN_SHARE, MIN_DIVERGENCE = 2, 16, 2e-6, 0.05
 BLOCK_DOCS, BLOCK_BYTES, BUCKET_BYTES = 4000, 6_000_000, 16_000_000
@@ -48,30 +47,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pack_numbers(x: np.ndarray) -> bytes:
-    """Variable-length bytes: seven bits each, the last with its high bit set."""
-    x = x.astype(np.uint32)
-    size = 1 + (x >= 1 << 7).astype(np.int64) + (x >= 1 << 14) + (x >= 1 << 21) + (x >= 1 << 28)
-    ends = np.cumsum(size)
-    out = np.zeros(int(ends[-1]) if len(x) else 0, dtype=np.uint8)
-    for k in range(5):
-        some = size > k
-        out[ends[some] - 1 - k] = (x[some] >> np.uint32(7 * k)) & np.uint32(127)
-    out[ends - 1] |= 128
-    return out.tobytes()
-
-
-def unpack_numbers(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, dtype=np.uint8)
-    ends = np.flatnonzero(raw >= 128)
-    size = np.diff(np.concatenate([[-1], ends]))
-    out = np.zeros(len(ends), dtype=np.int64)
-    for k in range(5):
-        some = size > k
-        out[some] |= (raw[ends[some] - k] & 127).astype(np.int64) << (7 * k)
-    return out
-
-
 def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows of two kinds. A block's texts: doc_ids, token numbers, tokens of each text, held-out flags. A block's words in a bucket: their bytes, numbers and training counts."""
 
@@ -228,12 +203,6 @@ class Block:
         )
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps that are written and no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _meet(table: pa.Table) -> pa.Table:
     """Totals of a bucket's pairs for each block that sent them, and the bucket's part of the contexts' statistics."""
     column = lambda name, read: [read(x) for x in table.column(name).to_pylist()]
@@ -338,7 +307,7 @@ def scores(docs: DataFrame) -> DataFrame:
         back = met.filter("block is not null").select("block", F.lit(level).alias("level"), "bucket", "a", F.lit(None).cast("binary").alias("b"), F.lit(None).cast("binary").alias("c"))
         known = known.unionByName(back)
         del pairs
-        _release(spark)
+        release(spark)
 
     final = spark.sparkContext.broadcast(list(retained))
 
