@@ -41,14 +41,17 @@ def release(spark: SparkSession) -> None:
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
-    """Variable-length bytes: seven bits each, the last with its high bit set."""
-    x = x.astype(np.uint32)
-    size = 1 + (x >= 1 << 7).astype(np.int64) + (x >= 1 << 14) + (x >= 1 << 21) + (x >= 1 << 28)
+    """Numbers of 0 and more in variable-length bytes: seven bits each, the last with its high bit set."""
+    x = x.astype(np.uint64)
+    size, k = np.ones(len(x), dtype=np.int64), 1
+    while (more := x >> np.uint64(7 * k)).any():
+        size += more > 0
+        k += 1
     ends = np.cumsum(size)
     out = np.zeros(int(ends[-1]) if len(x) else 0, dtype=np.uint8)
-    for k in range(5):
-        some = size > k
-        out[ends[some] - 1 - k] = (x[some] >> np.uint32(7 * k)) & np.uint32(127)
+    for j in range(k):
+        some = size > j
+        out[ends[some] - 1 - j] = (x[some] >> np.uint64(7 * j)) & np.uint64(127)
     out[ends - 1] |= 128
     return out.tobytes()
 
@@ -58,7 +61,7 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     ends = np.flatnonzero(raw >= 128)
     size = np.diff(np.concatenate([[-1], ends]))
     out = np.zeros(len(ends), dtype=np.int64)
-    for k in range(5):
+    for k in range(int(size.max()) if len(size) else 0):
         some = size > k
         out[some] |= (raw[ends[some] - k] & 127).astype(np.int64) << (7 * k)
     return out

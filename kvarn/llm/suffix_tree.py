@@ -37,6 +37,19 @@ _STAT = np.dtype([("ctx", "<u8"), ("c_ctx", "<i8"), ("kinds", "<i8"), ("gain", "
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+_LOW = np.uint64((1 << 48) - 1)  # hashes of pairs (within their bucket) and contexts travel in six bytes
+
+
+def six_bytes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
@@ -131,7 +144,7 @@ class Block:
         self.count, mark = np.zeros(n_words, dtype=np.int64), np.zeros(n_words, dtype=np.uint64)
         for row in told:
             if row["level"] == 0:
-                number, c = unpack_numbers(row["a"]), np.frombuffer(row["b"], "<i8")
+                number, c = unpack_numbers(row["a"]), unpack_numbers(row["b"])
                 self.count[number] = c
                 mark[number[c >= least]] = np.frombuffer(row["c"], "<u8")
         self.base = (self.count + 1) / (tokens + kinds + 1)
@@ -173,7 +186,7 @@ class Block:
 
     def _predict(self, retained: Contexts, ctx: np.ndarray, total: np.ndarray) -> None:
         at = np.flatnonzero(ctx > 0)
-        known, i = retained.find(ctx[at])
+        known, i = retained.find(ctx[at] & _LOW)
         at, i = at[known], i[known]
         c = np.zeros(len(self.tok), dtype=np.float64)
         c[self.valid] = total[self.inverse]
@@ -185,8 +198,7 @@ class Block:
         n = np.bincount(self.inverse[self.train[self.valid]], minlength=len(self.keys))
         for b in np.flatnonzero(np.diff(self.cuts)).tolist():
             own = self.order[self.cuts[b] : self.cuts[b + 1]]
-            c = np.minimum(self.pair_c[own], (1 << 32) - 1)
-            yield b, self.keys[own].tobytes(), self.pair_ctx[own].tobytes(), pack_numbers(c), p[own].tobytes(), pack_numbers(n[own])
+            yield b, six_bytes(self.keys[own]), six_bytes(self.pair_ctx[own]), pack_numbers(self.pair_c[own]), p[own].tobytes(), pack_numbers(n[own])
 
     def sums(self, tokens: int) -> pa.Table:
         add_up = lambda x: np.add.reduceat(x, self.starts)
@@ -206,7 +218,7 @@ class Block:
 def _meet(table: pa.Table) -> pa.Table:
     """Totals of a bucket's pairs for each block that sent them, and the bucket's part of the contexts' statistics."""
     column = lambda name, read: [read(x) for x in table.column(name).to_pylist()]
-    rows = column("key", lambda x: np.frombuffer(x, "<u8"))
+    rows = column("key", from_six)
     keys, first, inverse = np.unique(np.concatenate(rows), return_index=True, return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate(column("n", unpack_numbers)), minlength=len(keys)).astype(np.int64)
     cuts = np.cumsum([0, *map(len, rows)])
@@ -215,7 +227,7 @@ def _meet(table: pa.Table) -> pa.Table:
     c, p = total[total > 0], 10 ** np.concatenate(column("p", lambda x: np.frombuffer(x, "<f2")))[first].astype(np.float64)
     c_ctx = np.concatenate(column("c_ctx", unpack_numbers))[first]
     share = c / np.maximum(c_ctx, 1)
-    ctx, at, back = np.unique(np.concatenate(column("ctx", lambda x: np.frombuffer(x, "<u8")))[first], return_index=True, return_inverse=True)
+    ctx, at, back = np.unique(np.concatenate(column("ctx", from_six))[first], return_index=True, return_inverse=True)
     stat = np.zeros(len(ctx), dtype=_STAT)
     stat["ctx"], stat["c_ctx"] = ctx, c_ctx[at]
     stat["kinds"] = np.bincount(back, minlength=len(ctx))
@@ -265,7 +277,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 "level": pa.array([0] * (own + 1), pa.int32()),
                 "bucket": pa.array([0] * (own + 1), pa.int32()),
                 "a": pa.concat_arrays([table.column("b").combine_chunks(), pa.array([None], pa.binary())]),
-                "b": pa.array([*[total[at].astype("<i8").tobytes() for at in where], None], pa.binary()),
+                "b": pa.array([*[pack_numbers(total[at]) for at in where], None], pa.binary()),
                 "c": pa.array([*[m.astype("<u8").tobytes() for m in marks], None], pa.binary()),
                 "tokens": pa.array([*[None] * own, int(total.sum())], pa.int64()),
                 "kinds": pa.array([*[None] * own, int((total > 0).sum())], pa.int64()),
@@ -274,6 +286,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
     answer = "block string, level int, bucket int, a binary, b binary, c binary"
     told = materialise(words.groupBy("bucket").applyInArrow(tell, answer + ", tokens long, kinds long"), "told")
+    release(spark)
     sums = told.agg(F.sum("tokens"), F.sum("kinds")).first()
     tokens, kinds = int(sums[0] or 0), int(sums[1] or 0)
     least = int(max(MIN_COUNT, np.ceil(MIN_SHARE * tokens)))
@@ -285,7 +298,7 @@ def scores(docs: DataFrame) -> DataFrame:
         rows = right.to_pylist()
         for r in rows:  # marks of words that are frequent enough for this corpus
             if r["level"] == 0:
-                c = np.frombuffer(r["b"], "<i8")
+                c = unpack_numbers(r["b"])
                 r["c"] = np.frombuffer(r["c"], "<u8")[c[c >= MIN_COUNT] >= least].tobytes()
         return Block(left.to_pylist()[0], rows, tokens, kinds, least, held, buckets)
 
