@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ring import owners
-from .versioning import in_order, increment, merge_all, reconcile
+from .versioning import decode, envelope, in_order, increment, merge_all, reconcile
 
 
 def required(asked: Column, default: int, n_owners: Column, key: Column) -> tuple[Column, Column]:
@@ -44,3 +44,43 @@ def read_outcome(answers: DataFrame, quorum: int) -> DataFrame:
 def next_clock(context: Column, node: str) -> Column:
     """The clock of a write: its context, with the coordinator's counter one higher."""
     return increment(F.coalesce(context, F.create_map().cast("map<string,decimal(20,0)>")), node)
+
+
+def coordinate_writes(writes: DataFrame, ranges: DataFrame, up: DataFrame, node_id: str, default: int, nanos: int) -> tuple[DataFrame, DataFrame]:
+    """Puts and deletes (key, value, deleted, context, quorum) sent to all owners of their keys.
+
+    Returns the rows that replicas store (node_id, key, envelope) and the outcomes (key, acks, required, status). A
+    replica that is up stores and acknowledges; what is stored stays, whether the quorum was met or not. A delete is stored as an envelope too.
+    """
+    clock = next_clock(F.col("context").cast("map<string,decimal(20,0)>"), node_id)
+    stamped = writes.withColumn("envelope", envelope(clock, F.lit(nanos), F.col("deleted"), F.col("value")))
+    valid = stamped.filter(F.col("key") != "")
+    sent = fan_out(valid, ranges).join(F.broadcast(up.select("node_id", F.lit(True).alias("_up"))), "node_id", "left")  # nodes of a cluster
+    sent = sent.withColumn("ok", F.coalesce("_up", F.lit(False)))
+    outcomes = write_outcome(sent.select("key", "node_id", "ok", "quorum"), default)
+    refused = stamped.filter((F.col("key") == "") | F.col("key").isNull()).select("key", F.lit(0).cast("long").alias("acks"), F.lit(default).alias("required"), F.lit("invalid").alias("status"))
+    return sent.filter("ok").select("node_id", "key", "envelope"), outcomes.unionByName(refused)
+
+
+def coordinate_reads(keys: DataFrame, ranges: DataFrame, stored: DataFrame, up: DataFrame, quorum: int) -> DataFrame:
+    """Reads of ``keys`` from all owners that are up; stored (node_id, key, envelope) holds a row for each replica and key."""
+    asked = fan_out(keys.select("key").distinct(), ranges).join(F.broadcast(up.select("node_id", F.lit(True).alias("_up"))), "node_id", "left")
+    return read_outcome(asked.withColumn("ok", F.coalesce("_up", F.lit(False))).join(stored, ["node_id", "key"], "left").select("key", "node_id", "ok", "envelope"), quorum)
+
+
+def with_addresses(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` (node_id) with each node's address; null where it is not known."""
+    return rows.join(F.broadcast(members.select("node_id", "advertise_addr")), "node_id", "left")  # nodes of a cluster
+
+
+def decoded(state: DataFrame) -> DataFrame:
+    """key, envelope of a state whose values are encoded envelopes; others are null."""
+    return state.select("key", decode(F.col("value")).alias("envelope"))
+
+
+def owned(rows: DataFrame, ranges: DataFrame, node_id: str, strict: bool = True) -> DataFrame:
+    """``rows`` (key) of ranges that a node owns; ``strict`` refuses if there are others."""
+    held = owners(rows, ranges).withColumn("_mine", F.array_contains("replicas", node_id)).drop("range_start", "range_end", "replicas")
+    if strict and held.filter(~F.col("_mine")).limit(1).count():
+        raise PermissionError(f"{node_id} does not own all keys")
+    return held.filter("_mine").drop("_mine")

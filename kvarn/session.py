@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> SparkSession:
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
-        path = Path(tempfile.mkdtemp(prefix="kvarn-")) / f"kvarn_{os.getpid()}.zip"
+        folder = tempfile.mkdtemp(prefix="kvarn-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = Path(folder) / f"kvarn_{os.getpid()}.zip"
         with zipfile.ZipFile(path, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))

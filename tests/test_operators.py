@@ -272,3 +272,30 @@ def test_random_operations_against_a_dict(spark):
     assert {r["key"]: r["value"] for r in state.live(merged).collect()} == model
     final = compaction.merge([merged], last_level=True)
     assert {r["key"]: r["value"] for r in final.collect()} == model and final.filter("op = 2").count() == 0
+
+
+def test_coordinated_writes_and_reads(spark):
+    ranges = spark.createDataFrame([("", "m", ["n1", "n2", "n3"]), ("m", "", ["n2", "n3", "n4"])], "start string, end string, replicas array<string>")
+    up = spark.createDataFrame([("n1",), ("n2",), ("n4",)], "node_id string")
+    writes = spark.createDataFrame([("a", "1", False, None, 2), ("z", None, True, {"n9": 4}, 3), ("", "x", False, None, 0), ("b", "2", False, None, 4)], "key string, value string, deleted boolean, context map<string,int>, quorum int")
+    stored, outcomes = coordination.coordinate_writes(writes, ranges, up, "n1", 2, 77)
+    assert {(r["key"], r["acks"], r["status"]) for r in outcomes.collect()} == {("a", 2, "ok"), ("z", 2, "unavailable"), ("", 0, "invalid"), ("b", 2, "invalid")}
+    kept = {(r["node_id"], r["key"]): r["envelope"] for r in stored.collect()}
+    assert {k for k in kept if k[1] == "a"} == {("n1", "a"), ("n2", "a")} and kept["n2", "z"]["deleted"] and kept["n2", "z"]["value"] == ""
+    assert {k: int(v) for k, v in kept["n4", "z"]["vector_clock"].items()} == {"n9": 4, "n1": 1}
+    reads = {r["key"]: r for r in coordination.coordinate_reads(spark.createDataFrame([("a",), ("q",), ("z",)], "key string"), ranges, stored, up, 2).collect()}
+    assert reads["a"]["status"] == "ok" and reads["a"]["versions"][0]["value"] == "1"
+    assert reads["q"]["status"] == "not_found" and reads["z"]["versions"][0]["deleted"]
+
+
+def test_ownership_gate_and_addresses(spark):
+    ranges = spark.createDataFrame([("", "m", ["n1"]), ("m", "", ["n2"])], "start string, end string, replicas array<string>")
+    keys = spark.createDataFrame([("a",), ("z",)], "key string")
+    assert [r["key"] for r in coordination.owned(keys, ranges, "n1", strict=False).collect()] == ["a"]
+    with pytest.raises(PermissionError):
+        coordination.owned(keys, ranges, "n1")
+    members = spark.createDataFrame([("n1", "host:1")], "node_id string, advertise_addr string")
+    got = coordination.with_addresses(spark.createDataFrame([("n1",), ("n7",)], "node_id string"), members).collect()
+    assert {tuple(r) for r in got} == {("n1", "host:1"), ("n7", None)}
+    e = spark.createDataFrame([("k", versioning.MAGIC + '{"version":1,"vector_clock":{"a":2},"updated_at_unix_nano":5,"deleted":false,"value":"v"}')], "key string, value string")
+    assert coordination.decoded(e).first()["envelope"]["value"] == "v"
