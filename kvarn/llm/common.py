@@ -70,6 +70,17 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return out
 
 
+def six_bytes(x: np.ndarray) -> bytes:
+    """The low six bytes of 64-bit hashes: enough to tell apart what meets in one of many buckets."""
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that further columns with any names don't matter."""
     return df.select(*[df[n] for n in names])
@@ -117,7 +128,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round sends a node's least known neighbour to all its neighbours and jumps pointers, aggregated before the
     shuffle; every round is written to the shared folder. Nothing is collected but a count of changed rows.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = materialise(edges.select("a", "b"), "edges")  # else both directions would be computed apart
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = materialise(both.distinct(), "links")
     label = materialise(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
     for _ in range(max_rounds):

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, components, materialise, pack_numbers, release, unpack_numbers
+from .common import columns, components, from_six, materialise, pack_numbers, release, six_bytes, unpack_numbers
 
 GROUP_SHINGLES = 2_000_000
 BUCKET_BYTES = 12_000_000
@@ -234,7 +234,7 @@ def _described(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame
                 order = np.argsort(bucket, kind="stable")  # so senders stay in order
                 k, v, cuts = k[order], v[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cuts))
-                sent = [(k[cuts[b] : cuts[b + 1]].tobytes(), pack_numbers(np.diff(v[cuts[b] : cuts[b + 1]], prepend=0))) for b in full]
+                sent = [(six_bytes(k[cuts[b] : cuts[b + 1]]), pack_numbers(np.diff(v[cuts[b] : cuts[b + 1]], prepend=0))) for b in full]
                 m = len(full)
                 yield pa.RecordBatch.from_arrays(
                     [*[pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64())], pa.array(full, pa.int32()), pa.array([base] * m, pa.int64()), pa.array([x for x, _ in sent], pa.binary()), pa.array([x for _, x in sent], pa.binary())],
@@ -249,7 +249,7 @@ _FIELDS = ["doc_id", "n_shingles", "sig", "node", "bucket", "base", "keys", "who
 
 def _meet(table: pa.Table) -> pa.Table:
     """Edges (a, b) between nodes that send the same key: a spanning forest of the bucket's."""
-    k = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()])
+    k = np.concatenate([from_six(x) for x in table.column("keys").to_pylist()])
     v = np.concatenate([np.cumsum(unpack_numbers(w)) + b for w, b in zip(table.column("who").to_pylist(), table.column("base").to_pylist(), strict=True)])
     order = np.argsort(k, kind="stable")
     k, v = k[order], v[order]
@@ -275,7 +275,7 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, group_shingl
     """doc_id, n_shingles, component_id for every row of ``docs``; documents link when their sets' similarity is at least ``percent`` / 100."""
     docs, spark = columns(docs, "doc_id", "text"), docs.sparkSession
     words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    buckets = int(max(8, -(-9 * (4 * words * (100 - percent) // (100 + percent) + 1) // BUCKET_BYTES)))
+    buckets = int(max(8, -(-7 * (4 * words * (100 - percent) // (100 + percent) + 1) // BUCKET_BYTES)))
     written = materialise(_described(docs, n, percent, buckets), "sets")
     told = written.filter("bucket is null").select("doc_id", "n_shingles", "sig", "node")
     sent = written.filter("bucket is not null").select("bucket", "base", "keys", "who")

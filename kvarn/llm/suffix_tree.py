@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, materialise, pack_numbers, release, unpack_numbers
+from .common import columns, from_six, materialise, pack_numbers, release, six_bytes, unpack_numbers
 
 DEPTH, MIN_COUNT, MIN_SHARE, MIN_DIVERGENCE = 2, 16, 2e-6, 0.05
 BLOCK_DOCS, BLOCK_BYTES, BUCKET_BYTES = 4000, 6_000_000, 16_000_000
@@ -40,16 +40,6 @@ _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64((1 << 48) - 1)  # hashes of pairs (within their bucket) and contexts travel in six bytes
 
 
-def six_bytes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def from_six(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
