@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, from_six, materialise, pack_numbers, release, six_bytes, unpack_numbers
+from .common import columns, discard, from_six, materialise, pack_numbers, release, six_bytes, unpack_numbers
 
 DEPTH, MIN_COUNT, MIN_SHARE, MIN_DIVERGENCE = 2, 16, 2e-6, 0.05
 BLOCK_DOCS, BLOCK_BYTES, BUCKET_BYTES = 4000, 6_000_000, 16_000_000
@@ -254,7 +254,6 @@ def scores(docs: DataFrame) -> DataFrame:
     buckets = int(max(8, -(-bytes_in // BUCKET_BYTES)))
     blocks = materialise(_blocks(docs, buckets), "blocks")
     words = blocks.filter("bucket >= 0").select("block", "bucket", "a", "b", "c")
-    texts = blocks.filter("bucket = -1").select("block", "ids", "a", "b", "c", "d")
 
     def tell(table: pa.Table) -> pa.Table:
         names, total, where = _words_of(table)
@@ -276,6 +275,9 @@ def scores(docs: DataFrame) -> DataFrame:
 
     answer = "block string, level int, bucket int, a binary, b binary, c binary"
     told = materialise(words.groupBy("bucket").applyInArrow(tell, answer + ", tokens long, kinds long"), "told")
+    texts = materialise(blocks.filter("bucket = -1").select("block", "ids", "a", "b", "c", "d"), "texts")
+    discard(blocks)
+    del words
     release(spark)
     sums = told.agg(F.sum("tokens"), F.sum("kinds")).first()
     tokens, kinds = int(sums[0] or 0), int(sums[1] or 0)
