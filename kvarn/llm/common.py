@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -17,6 +18,7 @@ SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_dir: list[str] = []
+_written: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,17 +35,31 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it cuts the lineage, and a lost executor loses nothing of it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clean, df.sparkSession)
+    _written.add(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written.discard(name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote, once nothing that is still to be computed reads it."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.written_to)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this process has written to the shared folder: after results are stored, and at its end."""
+    for name in sorted(_written):
+        with contextlib.suppress(Exception):  # the session may have ended
+            _delete(spark, name)
 
 
 def release(spark: SparkSession) -> None:

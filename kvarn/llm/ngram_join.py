@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, components, from_six, materialise, pack_numbers, release, six_bytes, unpack_numbers
+from .common import columns, components, discard, from_six, materialise, pack_numbers, release, six_bytes, unpack_numbers
 
 GROUP_SHINGLES = 2_000_000
 BUCKET_BYTES = 12_000_000
@@ -280,6 +280,8 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, group_shingl
     told = written.filter("bucket is null").select("doc_id", "n_shingles", "sig", "node")
     sent = written.filter("bucket is not null").select("bucket", "base", "keys", "who")
     met = components(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, "a long, b long"))
+    told = materialise(told, "told")
+    discard(written)
     release(spark)
 
     nodes = told.filter("n_shingles > 0").groupBy("sig").agg(F.min("node").alias("node"), F.min("doc_id").alias("least"))
