@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kvarn.session import ship
 
-from . import decontaminate, license_scan, ngram_join, packing, quality_bt, quality_rules, sharding, suffix_tree, surrogates, warc
+from . import decontaminate, license_scan, ngram_join, oracles, packing, quality_bt, quality_rules, sharding, suffix_tree, surrogates, warc
 from .common import columns
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,7 +40,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op5_packing, op7_sharding, op9_quality_bt, op10_warc)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracles.SQL
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
