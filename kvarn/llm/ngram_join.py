@@ -5,7 +5,9 @@ all documents. Equal sets are one node of the join.
 
 *Which sets meet.* Sets of Jaccard similarity ``p / 100`` or more differ in few elements, so if elements are dealt by
 hash into one more part than that, both agree wholly in at least one part (small sets are dealt several times). Each set therefore sends, for its size band and
-the next one, the hash of every part; only sets that agree in a whole part meet, however common a single n-gram is.
+the next one, the hash of every part; only sets that agree in a whole part meet, however common a single n-gram is. N-grams that stand in at least
+``COMMON_SHARE`` of the documents are left out of the parts, as leaving out a fixed set cannot add differences; so documents do not meet over a
+passage that many hold. A set with less than three quarters of its elements left sends the parts of all elements as well.
 Those hashes travel in packed arrays, a few for each input batch, so rows and memory stay bounded.
 
 *How they are joined.* The sets that meet, directly or through others, form groups; each group is stored in a
@@ -33,6 +35,7 @@ from .common import columns, components, discard, from_six, materialise, pack_nu
 GROUP_SHINGLES = 2_000_000
 BUCKET_BYTES = 12_000_000
 BLOCK_DOCS = 4000
+COMMON_SHARE, COMMON_IN_BLOCK = 5e-4, 4
 MAX_WORDS = 150_000  # hashes remembered in a worker
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _words: dict[bytes, int] = {}
@@ -87,13 +90,14 @@ def differing(largest: int, percent: int) -> int:
     return 2 * largest * (100 - percent) // (100 + percent)
 
 
-def part_keys(items: np.ndarray, edges: np.ndarray, percent: int) -> np.ndarray:
-    """The keys a set sends: for its band and the next, the hash of each part of its elements."""
-    own, found = int(np.searchsorted(edges, len(items), side="right")) - 1, []
+def part_keys(items: np.ndarray, edges: np.ndarray, percent: int, size: int | None = None, kind: int = 0) -> np.ndarray:
+    """The keys a set of ``size`` elements sends: for its band and the next, the hash of each part of the ``items``."""
+    size = len(items) if size is None else size
+    own, found = int(np.searchsorted(edges, size, side="right")) - 1, []
     for band in (own, own + 1):
         parts = differing(int(edges[band + 1]) - 1, percent) + 1
         for deal in range(1 if parts == 1 else _deals(len(items))):
-            seed = np.array([(band << 8) + deal + 1], dtype=np.uint64)
+            seed = np.array([(kind << 40) + (band << 8) + deal + 1], dtype=np.uint64)
             part = (mix(items ^ mix(seed + _P2)) % np.uint64(parts)).astype(np.int64)
             total = np.zeros(parts, dtype=np.uint64)
             np.add.at(total, part, mix(items * _P2 + seed))
@@ -102,6 +106,39 @@ def part_keys(items: np.ndarray, edges: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found)
 
 
+def all_keys(items: np.ndarray, edges: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """Parts of the elements that are not common and, if these are too few, parts of all."""
+    rare = items[~np.isin(items, common, assume_unique=True)] if len(common) else items
+    found = [part_keys(rare, edges, percent, len(items))] if len(rare) else []
+    if 4 * len(rare) < 3 * len(items):
+        found.append(part_keys(items, edges, percent, kind=1))
+    return np.concatenate(found)
+
+
+def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted n-grams that at least COMMON_SHARE of the documents hold, counted where a block holds them COMMON_IN_BLOCK times: at most 1 / COMMON_SHARE times the mean size of a set."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_DOCS):
+                sets = [shingles(t, n) for t in batch.column(0).slice(at, BLOCK_DOCS).to_pylist()]
+                every, counts = np.unique(np.concatenate(sets), return_counts=True)
+                some = counts >= COMMON_IN_BLOCK
+                yield pa.RecordBatch.from_arrays([pa.array([every[some].tobytes()], pa.binary()), pa.array([pack_numbers(counts[some])], pa.binary()), pa.array([len(sets)], pa.int64())], names=["h", "c", "docs"])
+
+    def open_up(batches):
+        for batch in batches:
+            for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, "<i8")), pa.array(unpack_numbers(c))], names=["h", "c"])
+
+    found = materialise(docs.select("text").mapInArrow(run, "h binary, c binary, docs long"), "common")
+    total = found.agg(F.sum("docs")).first()[0] or 0
+    counted = found.select("h", "c").mapInArrow(open_up, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    kept = counted.filter(F.col("c") >= max(COMMON_IN_BLOCK, COMMON_SHARE * total)).select("h").toPandas()["h"].to_numpy()
+    discard(found)
+    return np.sort(kept.astype(np.int64).view(np.uint64))
+
+
 def _deals(size: int) -> int:
     """How many independent deals a set takes part in. A link is missed only if in every deal the parts that agree hold nothing; small sets need more deals for that to be as unlikely (below 1e-9) as a clash of hashes."""
     return 1 if size >= 100 else 3 if size >= 40 else 6 if size >= 12 else 12
@@ -196,7 +233,7 @@ def trie_components(sets: list[np.ndarray], percent: int, probes: list[int] | No
     return [find(i) for i in range(len(sets))]
 
 
-def _described(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+def _described(docs: DataFrame, n: int, percent: int, buckets: int, common) -> DataFrame:
     """Rows of two kinds, from one pass over the texts. For each document: doc_id, n_shingles, sig, and node, which equal
     sets of a block share. For each block of documents and bucket of keys: bucket, base (of the block's nodes), the keys,
     and who sends them, as differences of node numbers."""
@@ -221,7 +258,7 @@ def _described(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame
                     sig.append(signature(items))
                     if sig[-1] not in number:
                         number[sig[-1]] = len(number)
-                        k = part_keys(items, edges, percent)
+                        k = all_keys(items, edges, percent, common.value)
                         keys.append(k)
                         who.append(np.full(len(k), number[sig[-1]], dtype=np.int64))
                     node.append(base | number[sig[-1]])
@@ -276,7 +313,8 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, group_shingl
     docs, spark = columns(docs, "doc_id", "text"), docs.sparkSession
     words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     buckets = int(max(8, -(-7 * (4 * words * (100 - percent) // (100 + percent) + 1) // BUCKET_BYTES)))
-    written = materialise(_described(docs, n, percent, buckets), "sets")
+    common = spark.sparkContext.broadcast(common_shingles(docs, n))
+    written = materialise(_described(docs, n, percent, buckets, common), "sets")
     told = written.filter("bucket is null").select("doc_id", "n_shingles", "sig", "node")
     sent = written.filter("bucket is not null").select("bucket", "base", "keys", "who")
     met = components(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, "a long, b long"))
