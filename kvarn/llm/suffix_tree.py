@@ -66,12 +66,12 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
         tokens = np.array([number[w] for own in split for w in own], dtype=np.int64)
         sizes = np.array([len(own) for own in split], dtype=np.int64)
         train = np.repeat(~np.array(held, dtype=bool), sizes)
-        counted = np.bincount(tokens[train], minlength=len(words)).astype("<u4")
-        yield block, -1, ids, [pack_numbers(tokens), sizes.astype("<u4").tobytes(), np.array(held, "u1").tobytes(), str(number[b""]).encode()]
+        counted = np.bincount(tokens[train], minlength=len(words))
+        yield block, -1, ids, [pack_numbers(tokens), sizes.astype("<u4").tobytes(), np.array(held, "u1").tobytes(), f"{number[b'']};{counted.sum()}".encode()]
         at = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in words], dtype=np.int64)
         for b in np.unique(at).tolist():
             mine = np.flatnonzero(at == b)
-            yield block, b, None, [b"\n".join(words[i] for i in mine.tolist()), pack_numbers(mine), pack_numbers(counted[mine]), b""]
+            yield block, b, None, [b"\n".join(words[i] for i in mine.tolist()), pack_numbers(np.diff(mine, prepend=0)), pack_numbers(counted[mine]), b""]
 
     def run(batches):
         part, turn = TaskContext.get().partitionId(), 0
@@ -134,14 +134,14 @@ class Block:
         self.count, mark = np.zeros(n_words, dtype=np.int64), np.zeros(n_words, dtype=np.uint64)
         for row in told:
             if row["level"] == 0:
-                number, c = unpack_numbers(row["a"]), unpack_numbers(row["b"])
+                number, c = np.cumsum(unpack_numbers(row["a"])), unpack_numbers(row["b"])
                 self.count[number] = c
-                mark[number[c >= least]] = np.frombuffer(row["c"], "<u8")
+                mark[number[c >= least]] = from_six(row["c"])
         self.base = (self.count + 1) / (tokens + kinds + 1)
         self.p = self.base[self.tok]
         first = np.zeros(len(self.tok), dtype=bool)
         first[self.starts] = True
-        end = int(texts["d"])
+        end = int(texts["d"].split(b";")[0])
         before = np.where(first, end, np.concatenate([[0], self.tok[:-1]]))
         ctx, c_ctx, self.symbol, self.first = mark[before], self.count[before], mark[self.tok], first
         for level in range(1, DEPTH + 1):
@@ -255,11 +255,15 @@ def scores(docs: DataFrame) -> DataFrame:
     blocks = materialise(_blocks(docs, buckets), "blocks")
     words = blocks.filter("bucket >= 0").select("block", "bucket", "a", "b", "c")
 
+    trained = blocks.filter("bucket = -1").agg(F.sum(F.split(F.col("d").cast("string"), ";")[1].cast("long")))
+    tokens = int(trained.first()[0] or 0)
+    least = int(max(MIN_COUNT, np.ceil(MIN_SHARE * tokens)))
+
     def tell(table: pa.Table) -> pa.Table:
         names, total, where = _words_of(table)
         mark = np.array([xxhash.xxh3_64_intdigest(w, seed=1) | 1 for w in names], dtype=np.uint64)
         own = table.num_rows
-        marks = [mark[at][total[at] >= MIN_COUNT] for at in where]
+        marks = [six_bytes(mark[at][total[at] >= least]) for at in where]
         return pa.table(
             {
                 "block": pa.concat_arrays([table.column("block").combine_chunks(), pa.array([None], pa.string())]),
@@ -267,31 +271,24 @@ def scores(docs: DataFrame) -> DataFrame:
                 "bucket": pa.array([0] * (own + 1), pa.int32()),
                 "a": pa.concat_arrays([table.column("b").combine_chunks(), pa.array([None], pa.binary())]),
                 "b": pa.array([*[pack_numbers(total[at]) for at in where], None], pa.binary()),
-                "c": pa.array([*[m.astype("<u8").tobytes() for m in marks], None], pa.binary()),
-                "tokens": pa.array([*[None] * own, int(total.sum())], pa.int64()),
+                "c": pa.array([*marks, None], pa.binary()),
                 "kinds": pa.array([*[None] * own, int((total > 0).sum())], pa.int64()),
             }
         )
 
     answer = "block string, level int, bucket int, a binary, b binary, c binary"
-    told = materialise(words.groupBy("bucket").applyInArrow(tell, answer + ", tokens long, kinds long"), "told")
+    told = materialise(words.groupBy("bucket").applyInArrow(tell, answer + ", kinds long"), "told")
     texts = materialise(blocks.filter("bucket = -1").select("block", "ids", "a", "b", "c", "d"), "texts")
     discard(blocks)
     del words
     release(spark)
-    sums = told.agg(F.sum("tokens"), F.sum("kinds")).first()
-    tokens, kinds = int(sums[0] or 0), int(sums[1] or 0)
-    least = int(max(MIN_COUNT, np.ceil(MIN_SHARE * tokens)))
+    kinds = int(told.agg(F.sum("kinds")).first()[0] or 0)
     names = ["block", "level", "bucket", "a", "b", "c"]
     known = told.filter("block is not null").select(*names)
     retained: list[Contexts] = []
 
     def block_of(left: pa.Table, right: pa.Table, held: list[Contexts]) -> Block:
         rows = right.to_pylist()
-        for r in rows:  # marks of words that are frequent enough for this corpus
-            if r["level"] == 0:
-                c = unpack_numbers(r["b"])
-                r["c"] = np.frombuffer(r["c"], "<u8")[c[c >= MIN_COUNT] >= least].tobytes()
         return Block(left.to_pylist()[0], rows, tokens, kinds, least, held, buckets)
 
     def sender(shipped):
