@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -68,6 +69,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system, so that workers kept for later tasks stay small."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack_numbers(x: np.ndarray) -> bytes:
     """Numbers of 0 and more in variable-length bytes: seven bits each, the last with its high bit set."""
     x = x.astype(np.uint64)

@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, components, discard, from_six, materialise, pack_numbers, release, six_bytes, unpack_numbers
+from .common import columns, components, discard, from_six, materialise, pack_numbers, release, six_bytes, trim, unpack_numbers
 
 GROUP_SHINGLES = 2_000_000
 BUCKET_BYTES = 12_000_000
 BLOCK_DOCS = 4000
 COMMON_SHARE, COMMON_IN_BLOCK = 5e-4, 4
-MAX_WORDS = 150_000  # hashes remembered in a worker
+MAX_WORDS = 50_000  # hashes remembered in a worker
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _words: dict[bytes, int] = {}
 
@@ -125,6 +125,8 @@ def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
                 every, counts = np.unique(np.concatenate(sets), return_counts=True)
                 some = counts >= COMMON_IN_BLOCK
                 yield pa.RecordBatch.from_arrays([pa.array([every[some].tobytes()], pa.binary()), pa.array([pack_numbers(counts[some])], pa.binary()), pa.array([len(sets)], pa.int64())], names=["h", "c", "docs"])
+                del sets, every, counts
+                trim()
 
     def open_up(batches):
         for batch in batches:
@@ -277,6 +279,8 @@ def _described(docs: DataFrame, n: int, percent: int, buckets: int, common) -> D
                     [*[pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64())], pa.array(full, pa.int32()), pa.array([base] * m, pa.int64()), pa.array([x for x, _ in sent], pa.binary()), pa.array([x for _, x in sent], pa.binary())],
                     names=_FIELDS,
                 )
+                del keys, who, k, v, sent
+                trim()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, sig string, node long, bucket int, base long, keys binary, who binary")
 
@@ -334,6 +338,7 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90, group_shingl
             text, sig, root = (batch.column(i).to_pylist() for i in range(3))
             out = [(r, s, items.tobytes()) for t, s, r in zip(text, sig, root, strict=True) if signature(items := shingles(t, n)) == s]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.binary())], names=["root", "sig", "items"])
+            trim()
 
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["least"])).select("text", "sig", "root")
     sets = materialise(texts.mapInArrow(rebuild, "root long, sig string, items binary"), "groups")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns, materialise, ranked
+from .common import columns, materialise, ranked, trim
 
 SEQ_LEN, GRAIN, END_ID = 2048, 4, 1
 
@@ -205,6 +205,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN) -> Data
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+            del out, cols
+        trim()
 
     return columns(docs, "doc_id", "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, discard, from_six, materialise, pack_numbers, release, six_bytes, unpack_numbers
+from .common import columns, discard, from_six, materialise, pack_numbers, release, six_bytes, trim, unpack_numbers
 
 DEPTH, MIN_COUNT, MIN_SHARE, MIN_DIVERGENCE = 2, 16, 2e-6, 0.05
 BLOCK_DOCS, BLOCK_BYTES, BUCKET_BYTES = 4000, 6_000_000, 16_000_000
@@ -88,6 +88,7 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
                         names=["block", "bucket", "ids", "a", "b", "c", "d"],
                     )
                 turn, at = turn + 1, to
+                trim()
 
     return docs.mapInArrow(run, "block string, bucket int, ids array<long>, a binary, b binary, c binary, d binary")
 
