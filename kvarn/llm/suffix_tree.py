@@ -1,8 +1,8 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 *Model.* Symbols are the tokens: lower-cased (A-Z) words and the end of a text. A context is the one or more tokens before
-a token, in its text (before the first stands an end). Contexts that stand at least ``max(MIN_COUNT, MIN_SHARE * N)``
-times in the training tokens are candidates; one is retained if its next-symbol distribution differs from its parent's
+a token, in its text (before the first stands an end). Contexts that stand at least ``MIN_COUNT`` times in the training
+tokens, however many these are, are candidates; one is retained if its next-symbol distribution differs from its parent's
 (the context without its oldest token) by at least ``MIN_DIVERGENCE`` nats. A token is predicted by the longest
 retained suffix of what stands before it, smoothed with the shorter ones (Witten-Bell):
 P(w | s) = (c(sw) + T(s) P(w | parent)) / (c(s) + T(s)). The root is (c(w) + 1) / (N + V + 1), with one share for all
@@ -11,8 +11,9 @@ words that training has not seen. Counts of single words are kept whole, however
 *Flow.* Input blocks (a few thousand texts) are written once as token numbers and a list of distinct words. Words are
 counted by hash over all blocks, and the counts go back to the blocks that hold the words. Then, for each length of
 context, blocks send their distinct (context, token) pairs, packed in arrays, to buckets by the pair's hash; the totals
-go back in the same order. No text is shuffled, and a hot word or pair is one entry a block. The driver and the
-executors get only the statistics of retained contexts, at most ``1 / MIN_SHARE`` for each length.
+go back in the same order. Retained contexts are a table; a block also sends its distinct contexts to buckets by their
+hash, where they meet that table, and hears which are retained. No text is shuffled, a hot word or pair is one entry a
+block, and neither the driver nor a broadcast holds contexts, so their number may grow with the input.
 
 Null and empty texts are one end token. A null doc_id counts as a training row; repeated rows count each time.
 """
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import columns, discard, from_six, materialise, pack_numbers, release, six_bytes, trim, unpack_numbers
 
-DEPTH, MIN_COUNT, MIN_SHARE, MIN_DIVERGENCE = 2, 16, 2e-6, 0.05
+DEPTH, MIN_COUNT, MIN_DIVERGENCE = 2, 16, 0.05
+MIN_SHARE = 0.0  # no share of the training tokens is asked for: what is gathered grows with the input
 BLOCK_DOCS, BLOCK_BYTES, BUCKET_BYTES = 4000, 6_000_000, 16_000_000
 _STAT = np.dtype([("ctx", "<u8"), ("c_ctx", "<i8"), ("kinds", "<i8"), ("gain", "<f8"), ("mass", "<f8"), ("below", "<f8")])
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -106,26 +108,10 @@ def _words_of(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray
     return list(place), total, where
 
 
-class Contexts:
-    """Retained contexts of one length: sorted hashes, how often they stand, and their kinds of next symbols."""
-
-    def __init__(self, rows: list):
-        rows = sorted((np.uint64(r["ctx"] & (2**64 - 1)), r["c_ctx"], r["kinds"]) for r in rows)
-        self.ctx = np.array([r[0] for r in rows], dtype=np.uint64)
-        self.total = np.array([r[1] for r in rows], dtype=np.float64)
-        self.kinds = np.array([r[2] for r in rows], dtype=np.float64)
-
-    def find(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.ctx):
-            return np.zeros(len(ctx), dtype=bool), np.zeros(len(ctx), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.ctx, ctx), len(self.ctx) - 1)
-        return self.ctx[at] == ctx, at
-
-
 class Block:
     """A block's tokens with what is known of them so far: counts, and the pairs' totals of each length done."""
 
-    def __init__(self, texts: dict, told: list[dict], tokens: int, kinds: int, least: int, retained: list[Contexts], buckets: int):
+    def __init__(self, texts: dict, told: list[dict], tokens: int, kinds: int, least: int, done: int, buckets: int):
         self.ids, self.tok = texts["ids"], unpack_numbers(texts["a"])
         self.sizes = np.frombuffer(texts["b"], "<u4").astype(np.int64)
         self.held = np.frombuffer(texts["c"], "u1").astype(bool)
@@ -147,11 +133,12 @@ class Block:
         ctx, c_ctx, self.symbol, self.first = mark[before], self.count[before], mark[self.tok], first
         for level in range(1, DEPTH + 1):
             self._pairs(level, ctx, c_ctx)
+            self._ask(ctx)
             rows = [r for r in told if r["level"] == level]
-            if level > len(retained) or (not rows and len(self.valid)):
+            if level > done or (not rows and len(self.valid)):
                 break
             total = self._totals(rows)
-            self._predict(retained[level - 1], ctx, total)
+            self._predict([r for r in told if r["level"] == -level], c_ctx, total)
             key, n = np.zeros(len(self.tok), dtype=np.uint64), np.zeros(len(self.tok), dtype=np.int64)
             key[self.valid], n[self.valid] = self.keys[self.inverse], total[self.inverse]
             long = np.concatenate([[False], (n[:-1] >= least) & ~first[1:]]) if len(n) else first
@@ -168,6 +155,14 @@ class Block:
         self.order = np.argsort(bucket, kind="stable")
         self.cuts = np.searchsorted(bucket[self.order], np.arange(self.buckets + 1))
 
+    def _ask(self, ctx: np.ndarray) -> None:
+        """Distinct contexts, in the order of their bucket."""
+        self.within = np.flatnonzero(ctx > 0)
+        self.asked, self.asked_by = np.unique(ctx[self.within] & _LOW, return_inverse=True)
+        bucket = (self.asked % np.uint64(self.buckets)).astype(np.int64)
+        self.ask_order = np.argsort(bucket, kind="stable")
+        self.ask_cuts = np.searchsorted(bucket[self.ask_order], np.arange(self.buckets + 1))
+
     def _totals(self, rows: list[dict]) -> np.ndarray:
         total = np.zeros(len(self.keys), dtype=np.int64)
         for row in rows:
@@ -175,21 +170,24 @@ class Block:
             total[self.order[self.cuts[b] : self.cuts[b + 1]]] = unpack_numbers(row["a"])
         return total
 
-    def _predict(self, retained: Contexts, ctx: np.ndarray, total: np.ndarray) -> None:
-        at = np.flatnonzero(ctx > 0)
-        known, i = retained.find(ctx[at] & _LOW)
-        at, i = at[known], i[known]
+    def _predict(self, rows: list[dict], c_ctx: np.ndarray, total: np.ndarray) -> None:
+        kinds = np.zeros(len(self.asked), dtype=np.float64)  # 0: not retained
+        for row in rows:
+            own = self.ask_order[self.ask_cuts[row["bucket"]] : self.ask_cuts[row["bucket"] + 1]]
+            kinds[own[np.cumsum(unpack_numbers(row["a"]))]] = unpack_numbers(row["b"])
+        kinds = kinds[self.asked_by]
+        at, kinds = self.within[kinds > 0], kinds[kinds > 0]
         c = np.zeros(len(self.tok), dtype=np.float64)
         c[self.valid] = total[self.inverse]
-        self.p[at] = (c[at] + retained.kinds[i] * self.p[at]) / (retained.total[i] + retained.kinds[i])
+        self.p[at] = (c[at] + kinds * self.p[at]) / (c_ctx[at] + kinds)
 
     def packed(self):
-        """(bucket, columns of its pairs) of the length that is next: pair, context, how often that stands, log10 of the shorter context's probability, training count."""
+        """(bucket, columns of its pairs) of the length that is next: pair, context, how often that stands, log10 of the shorter context's probability, training count; then the bucket's contexts."""
         p = np.log10(self.p[self.valid[self.some]]).astype("<f2")
         n = np.bincount(self.inverse[self.train[self.valid]], minlength=len(self.keys))
-        for b in np.flatnonzero(np.diff(self.cuts)).tolist():
-            own = self.order[self.cuts[b] : self.cuts[b + 1]]
-            yield b, six_bytes(self.keys[own]), six_bytes(self.pair_ctx[own]), pack_numbers(self.pair_c[own]), p[own].tobytes(), pack_numbers(n[own])
+        for b in np.flatnonzero(np.diff(self.cuts) + np.diff(self.ask_cuts)).tolist():
+            own, asked = self.order[self.cuts[b] : self.cuts[b + 1]], self.ask_order[self.ask_cuts[b] : self.ask_cuts[b + 1]]
+            yield b, six_bytes(self.keys[own]), six_bytes(self.pair_ctx[own]), pack_numbers(self.pair_c[own]), p[own].tobytes(), pack_numbers(n[own]), six_bytes(self.asked[asked])
 
     def sums(self, tokens: int) -> pa.Table:
         add_up = lambda x: np.add.reduceat(x, self.starts)
@@ -207,7 +205,7 @@ class Block:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Totals of a bucket's pairs for each block that sent them, and the bucket's part of the contexts' statistics."""
+    """Totals of a bucket's pairs for each block that sent them, with the contexts they ask for, and the bucket's part of the contexts' statistics."""
     column = lambda name, read: [read(x) for x in table.column(name).to_pylist()]
     rows = column("key", from_six)
     keys, first, inverse = np.unique(np.concatenate(rows), return_index=True, return_inverse=True)
@@ -226,11 +224,12 @@ def _meet(table: pa.Table) -> pa.Table:
         stat[name] = np.bincount(back, weights=x, minlength=len(ctx))
     bucket = table.column("bucket")[0].as_py()
     blocks = [*table.column("block").to_pylist(), None]
-    return pa.table({"block": pa.array(blocks, pa.string()), "bucket": pa.array([bucket] * len(blocks), pa.int32()), "a": pa.array([*sent, stat.tobytes()], pa.binary())})
+    asked = pa.concat_arrays([*table.column("asked").chunks, pa.array([None], pa.binary())])
+    return pa.table({"block": pa.array(blocks, pa.string()), "bucket": pa.array([bucket] * len(blocks), pa.int32()), "a": pa.array([*sent, stat.tobytes()], pa.binary()), "asked": asked})
 
 
-def _retained(met: DataFrame) -> Contexts:
-    """The contexts that differ enough from their parents, from the buckets' statistics."""
+def _retained(met: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, ctx, kinds) of the contexts that differ enough from their parents, from the buckets' statistics."""
 
     def rows(batches):
         for batch in batches:
@@ -245,7 +244,27 @@ def _retained(met: DataFrame) -> Contexts:
     sums = each.groupBy("ctx").agg(F.max("c_ctx").alias("c_ctx"), F.sum("kinds").alias("_kinds"), *[F.sum(c).alias(c) for c in ("gain", "mass", "below")])
     # next symbols too rare to be told apart count as kinds of their own
     sums = sums.withColumn("kinds", F.col("_kinds") + 1 + F.greatest(F.lit(0.0), 1 - F.col("mass")) * F.col("c_ctx"))
-    return Contexts(sums.filter(gain >= MIN_DIVERGENCE).select("ctx", "c_ctx", "kinds").collect())  # at most 1 / MIN_SHARE
+    return sums.filter(gain >= MIN_DIVERGENCE).select((F.col("ctx") % buckets).cast("int").alias("bucket"), "ctx", F.round("kinds").cast("long").alias("kinds"))
+
+
+def _answer(level: int):
+    """What blocks hear of the contexts they ask for: the places of the retained ones and their kinds of next symbols."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ctx, kinds = (right.column(n).to_numpy() for n in ("ctx", "kinds"))
+        order = np.argsort(ctx)
+        ctx, kinds = ctx[order].astype(np.uint64), kinds[order]
+        out = []
+        for block, bucket, asked in zip(*(left.column(n).to_pylist() for n in ("block", "bucket", "asked")), strict=True) if len(ctx) else ():
+            asked = from_six(asked)
+            at = np.minimum(np.searchsorted(ctx, asked), len(ctx) - 1)
+            found = np.flatnonzero(ctx[at] == asked)
+            if len(found):
+                out.append((block, bucket, pack_numbers(np.diff(found, prepend=0)), pack_numbers(kinds[at[found]])))
+        column = lambda i, kind: pa.array([x[i] for x in out], kind)
+        return pa.table({"block": column(0, pa.string()), "level": pa.array([-level] * len(out), pa.int32()), "bucket": column(1, pa.int32()), "a": column(2, pa.binary()), "b": column(3, pa.binary()), "c": pa.array([None] * len(out), pa.binary())})
+
+    return run
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -258,7 +277,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
     trained = blocks.filter("bucket = -1").agg(F.sum(F.split(F.col("d").cast("string"), ";")[1].cast("long")))
     tokens = int(trained.first()[0] or 0)
-    least = int(max(MIN_COUNT, np.ceil(MIN_SHARE * tokens)))
+    least = MIN_COUNT
 
     def tell(table: pa.Table) -> pa.Table:
         names, total, where = _words_of(table)
@@ -286,38 +305,34 @@ def scores(docs: DataFrame) -> DataFrame:
     kinds = int(told.agg(F.sum("kinds")).first()[0] or 0)
     names = ["block", "level", "bucket", "a", "b", "c"]
     known = told.filter("block is not null").select(*names)
-    retained: list[Contexts] = []
 
-    def block_of(left: pa.Table, right: pa.Table, held: list[Contexts]) -> Block:
+    def block_of(left: pa.Table, right: pa.Table, done: int) -> Block:
         rows = right.to_pylist()
-        return Block(left.to_pylist()[0], rows, tokens, kinds, least, held, buckets)
+        return Block(left.to_pylist()[0], rows, tokens, kinds, least, done, buckets)
 
-    def sender(shipped):
+    def sender(done: int):
         def emit(left: pa.Table, right: pa.Table) -> pa.Table:
-            got = list(block_of(left, right, shipped.value).packed()) if left.num_rows else []
+            got = list(block_of(left, right, done).packed()) if left.num_rows else []
             name = left.column("block")[0].as_py() if left.num_rows else None
-            sent = {k: pa.array([x[i] for x in got], pa.binary()) for i, k in enumerate(("key", "ctx", "c_ctx", "p", "n"), 1)}
+            sent = {k: pa.array([x[i] for x in got], pa.binary()) for i, k in enumerate(("key", "ctx", "c_ctx", "p", "n", "asked"), 1)}
             return pa.table({"bucket": pa.array([x[0] for x in got], pa.int32()), "block": pa.array([name] * len(got), pa.string()), **sent})
 
         return emit
 
     for level in range(1, DEPTH + 1):
-        shipped = spark.sparkContext.broadcast(list(retained))  # at most level / MIN_SHARE contexts
-
-        pairs = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(sender(shipped), "bucket int, block string, key binary, ctx binary, c_ctx binary, p binary, n binary")
-        met = materialise(pairs.groupBy("bucket").applyInArrow(_meet, "block string, bucket int, a binary"), "met")
-        retained.append(_retained(met))
+        pairs = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(sender(level - 1), "bucket int, block string, key binary, ctx binary, c_ctx binary, p binary, n binary, asked binary")
+        met = materialise(pairs.groupBy("bucket").applyInArrow(_meet, "block string, bucket int, a binary, asked binary"), "met")
+        asked = met.filter("length(asked) > 0").select("block", "bucket", "asked")
+        heard = materialise(asked.groupBy("bucket").cogroup(_retained(met, buckets).groupBy("bucket")).applyInArrow(_answer(level), answer), "heard")
         back = met.filter("block is not null").select("block", F.lit(level).alias("level"), "bucket", "a", F.lit(None).cast("binary").alias("b"), F.lit(None).cast("binary").alias("c"))
-        known = known.unionByName(back)
+        known = known.unionByName(back).unionByName(heard)
         del pairs
         release(spark)
 
-    final = spark.sparkContext.broadcast(list(retained))
-
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.schema(list(zip(_OUT, _KINDS, strict=True))).empty_table()
-        return block_of(left, right, final.value).sums(tokens)
+        return block_of(left, right, DEPTH).sums(tokens)
 
     return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -485,6 +485,18 @@ def test_scores_against_plain_model(spark, monkeypatch):
     assert sum(r["score"] for r in got.values() if r["held_out"]) > sum(r["base_score"] for r in got.values() if r["held_out"])
 
 
+def test_rare_contexts_count_at_every_size(spark):
+    # ten million training tokens of filler; "zig" and "zag" stand 18 times each
+    rare = frame(spark, ["zig zag"] * 20, [i for i in range(100) if not suffix_tree.is_held_out(i)][:20])
+    ids = [i for i in range(1000, 1100) if not suffix_tree.is_held_out(i)][:10]
+    filler = frame(spark, ["x"] * 10, ids).withColumn("text", F.expr("repeat('x ', 1000000)"))
+    got = {r["doc_id"]: r for r in suffix_tree.scores(rare.filter("doc_id <> 0").limit(18).unionByName(filler)).collect()}
+    own = [r for r in got.values() if r["n_tokens"] == 3]
+    assert len(own) == 18 and own[0]["train_tokens"] > 1e7
+    # the end after "zig zag" and "zag" after "zig" are told from the context
+    assert all(r["score"] > r["base_score"] + 6 for r in own)
+
+
 def test_packed_numbers():
     x = np.array([0, 1, 127, 128, 16383, 16384, 2**21, 2**28, 2**32 - 1])
     assert (suffix_tree.unpack_numbers(suffix_tree.pack_numbers(x)) == x).all() and len(suffix_tree.unpack_numbers(b"")) == 0
