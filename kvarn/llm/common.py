@@ -157,24 +157,32 @@ def ranked(df: DataFrame, keys: list[str], name: str = "rank") -> DataFrame:
     )
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """Connected components of ``edges`` (a, b: long or string): rows (node, root), root the least node of each.
 
-    Each round sends a node's least known neighbour to all its neighbours and jumps pointers, aggregated before the
-    shuffle; every round is written to the shared folder. Nothing is collected but a count of changed rows.
+    Large and small stars take turns (Kiveris et al. 2014): a node's greater neighbours, then its lesser ones, are linked
+    to the least node it knows, until nothing changes and every component is one star. Roots are linked as well as
+    nodes, so rounds grow with the logarithm of the nodes. Every step is written to the shared folder and the step before
+    deleted. Nothing is collected but whether a round has changed anything; more than ``max_rounds`` is an error.
     """
     edges = materialise(edges.select("a", "b"), "edges")  # else both directions would be computed apart
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = materialise(both.distinct(), "links")
-    label = materialise(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(max_rounds):
-        heard = links.join(label, links["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("heard"))
-        new = label.join(heard, label["node"] == heard["a"], "left").select("node", F.least("root", F.coalesce("heard", "root")).alias("root"), F.col("root").alias("was"))
-        up = new.select(F.col("node").alias("up"), F.col("root").alias("up_root"))
-        jumped = new.join(up, new["root"] == up["up"], "left").select("node", F.least("root", F.coalesce("up_root", "root")).alias("root"), "was")
-        jumped = materialise(jumped, "labels")
-        changed = jumped.filter("root <> was").limit(1).count()
-        label = jumped.drop("was")
-        if not changed:
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    stars = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(False).alias("changed"))
+    for turn in range(max_rounds):
+        both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).union(stars.select("b", "a"))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"), (F.col("m") != F.col("u")).alias("changed"))
+        large = materialise(large.groupBy("a", "b").agg(F.max("changed").alias("changed")), "large")
+        if turn:
+            discard(stars)
+        own = large.groupBy("a").agg(F.min("b").alias("m"), F.max("changed").alias("changed"))
+        moved = large.select("a", "b").join(own.select("a", "m"), "a").filter("b <> m").select("b", "m", F.lit(True))
+        small = own.select("a", F.col("m").alias("b"), "changed").union(moved)
+        stars = materialise(small.groupBy("a", "b").agg(F.max("changed").alias("changed")), "stars")
+        discard(large)
+        if not stars.filter("changed").limit(1).count():
             break
-    return label
+    else:
+        raise RuntimeError(f"components: labels still change after {max_rounds} rounds")
+    found = nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+    return found.select("node", F.coalesce("root", "node").alias("root"))

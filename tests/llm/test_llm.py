@@ -120,6 +120,17 @@ def test_components(spark):
     assert {got[i] for i in range(51)} == {0} and got[101] == 100
 
 
+def test_components_of_long_chains(spark):
+    rng = random.Random(5)
+    order = rng.sample(range(3000), 3000)
+    far = [1, *range(2, 200), 0]  # the two least ids at the ends
+    edges = [*zip(order, order[1:]), *((a + 5000, b + 5000) for a, b in zip(far, far[1:])), (9000, 9000)]
+    got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {i: 0 for i in range(3000)} | {i + 5000: 5000 for i in range(200)} | {9000: 9000}
+    with pytest.raises(RuntimeError):
+        common.components(spark.createDataFrame(edges, "a long, b long"), max_rounds=2)
+
+
 # ---- packing
 
 
