@@ -405,6 +405,22 @@ def test_candidates_recall_against_brute_force(spark, sf, docs, rows):
     assert want and found >= 0.9 * want
 
 
+def test_changed_copies_are_found_in_a_large_corpus(spark, sf, docs, rows):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    index, plain = decontaminate.Index(items), docs.select("text")
+    counts = {r["k"]: r["n"] for r in index.count_documents(plain).collect()}
+    index.weigh({k: n * 5_000_000 // counts[-1] for k, n in counts.items()})
+    index.fit(plain.repartition(4))
+    rng, found, want = random.Random(3), 0, 0
+    corpus = [w.decode() for _, t in rows for w in decontaminate.words(t)]
+    for item, pattern, _ in index.items * 8:
+        own = [rng.choice(corpus) if rng.random() < 0.25 else w.decode() for w in pattern]
+        if decontaminate.common_subsequence(pattern, [w.encode() for w in own]) >= decontaminate.SURE_LCS * len(pattern):
+            want += 1
+            found += item in {hit[0] for hit in index.search(" ".join(rng.choices(corpus, k=43) + own + rng.choices(corpus, k=50)))}
+    assert want > 50 and found >= 0.99 * want, (found, want)
+
+
 def test_common_subsequence():
     rng = random.Random(0)
     for _ in range(50):
