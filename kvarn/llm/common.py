@@ -23,10 +23,12 @@ _written: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local one if the driver is the only machine (tests), else an error."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="kvarn-shared-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)

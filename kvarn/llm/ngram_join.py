@@ -1,20 +1,24 @@
 """Exact n-gram Jaccard join: tries of globally ordered n-gram sets, traversed with shared partial overlaps.
 
-A document's set holds the 64-bit hashes of its distinct word n-grams, in the order of the hash, which is the same for
-all documents. Equal sets are one node of the join.
+A document's set holds the 64-bit hashes of its distinct word n-grams. Equal sets are one node of the join.
 
-*Which sets meet.* Sets of Jaccard similarity ``p / 100`` or more differ in few elements, so if elements are dealt by
-hash into one more part than that, both agree wholly in at least one part (small sets are dealt several times). Each set therefore sends, for its size band and
-the next one, the hash of every part; only sets that agree in a whole part meet, however common a single n-gram is. N-grams that stand in at least
-``COMMON_SHARE`` of the documents are left out of the parts, as leaving out a fixed set cannot add differences; so documents do not meet over a
-passage that many hold. A set with less than three quarters of its elements left sends the parts of all elements as well.
-Those hashes travel in packed arrays, a few for each input batch, so rows and memory stay bounded.
+*Which sets meet.* All n-grams are put in one global order: from rare to frequent by the number of sets that hold them,
+ties by hash. Of two sets with a Jaccard similarity of at least p, each holds at least t = ceil(p * size) elements of the
+other, so they share one of their first size - t + 1 elements (the prefix). A set whose elements are shared with others
+in fewer than t places can be linked with nothing and is left out; the others send the shared elements of their prefix.
+Since the prefix holds the rarest n-grams, sets do not meet over a passage that many hold. A key also carries a band of
+sizes, as sets of very different sizes cannot be similar.
 
 *How they are joined.* The sets that meet, directly or through others, form groups; each group is stored in a
-path-compressed trie. A set is run down the trie, and the overlap with a path is counted once for all sets below it. A
-subtree is left when even all remaining elements could not reach the overlap its lengths ask for, or when its sets are
-all known to be in the same component already. A group above ``GROUP_SHINGLES`` is split into blocks that are joined
-pair by pair, so no task holds an unbounded group.
+path-compressed trie, in the order of the hash. A set is run down the trie, and the overlap with a path is counted once
+for all sets below it. A subtree is left when even all remaining elements could not reach the overlap its lengths ask
+for, or when its sets are all known to be in the same component already. A group above ``GROUP_SHINGLES`` is dealt into
+blocks that share a few landmark sets. Only sets that are then not linked to the largest component of the group are
+run down the tries of its other blocks, so a large group of copies is read once.
+
+*Flow.* Input blocks (a few thousand texts) are written once as word numbers of their distinct sets. N-grams and keys
+travel in packed arrays, one for each block and bucket, and a key shared within a block is sent once, so a hot n-gram, set or key is
+one entry a block. No text is shuffled.
 
 Null or empty texts have an empty set, link with nothing and are their own component. A text with fewer than ``n``
 words has one element, its whole sequence. Rows with equal doc_id are joined by their own texts; a null doc_id
@@ -25,20 +29,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns, components, discard, from_six, materialise, pack_numbers, release, six_bytes, trim, unpack_numbers
 
 GROUP_SHINGLES = 2_000_000
-BUCKET_BYTES = 12_000_000
-BLOCK_DOCS = 4000
-COMMON_SHARE, COMMON_IN_BLOCK = 5e-4, 4
-MAX_WORDS = 50_000  # hashes remembered in a worker
+BUCKET_SHINGLES = 2_000_000
+BUNDLE_BYTES = 16_000_000
+BLOCK_DOCS, BLOCK_BYTES = 4000, 6_000_000
+LANDMARKS = 8
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_words: dict[bytes, int] = {}
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,102 +53,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_words) > MAX_WORDS:
-        _words.clear()
-    try:
-        return np.array([_words[w] for w in words], dtype=np.uint64)
-    except KeyError:
-        for w in words:
-            if w not in _words:
-                _words[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array([_words[w] for w in words], dtype=np.uint64)
-
-
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the n-grams of the lower-cased (A-Z) words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = word_hashes(words)
-    k = min(n, len(words))
+def _chained(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words."""
     acc = h[: len(h) - k + 1] * _P1 + np.uint64(k)
     for j in range(1, k):
         acc = mix(acc) * _P2 + h[j : len(h) - k + 1 + j]
-    return np.unique(mix(acc))
-
-
-def signature(items: np.ndarray) -> str:
-    return xxhash.xxh3_128_hexdigest(items.tobytes())
-
-
-def band_edges(percent: int, top: int = 1 << 31) -> np.ndarray:
-    """First sizes of the bands: sets that may be similar are in the same or in neighbouring ones."""
-    edges = [1]
-    while edges[-1] < top:
-        edges.append(max(edges[-1] + 1, (edges[-1] - 1) * 100 // percent + 1))
-    return np.array(edges, dtype=np.int64)
-
+    return mix(acc)
 
-def differing(largest: int, percent: int) -> int:
-    """How many elements two similar sets of at most that size can differ in."""
-    return 2 * largest * (100 - percent) // (100 + percent)
 
+def sets_of(hashes: np.ndarray, sizes: np.ndarray, n: int) -> list[np.ndarray]:
+    """Sorted distinct n-grams of texts of ``sizes`` words whose words' hashes stand one after another."""
+    every = _chained(hashes, n) if len(hashes) >= n else hashes[:0]
+    found, at = [], 0
+    for size in sizes.tolist():
+        own = np.sort(every[at : at + size - n + 1]) if size >= n else _chained(hashes[at : at + size], size) if size else hashes[:0]
+        found.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
+        at += size
+    return found
 
-def part_keys(items: np.ndarray, edges: np.ndarray, percent: int, size: int | None = None, kind: int = 0) -> np.ndarray:
-    """The keys a set of ``size`` elements sends: for its band and the next, the hash of each part of the ``items``."""
-    size = len(items) if size is None else size
-    own, found = int(np.searchsorted(edges, size, side="right")) - 1, []
-    for band in (own, own + 1):
-        parts = differing(int(edges[band + 1]) - 1, percent) + 1
-        for deal in range(1 if parts == 1 else _deals(len(items))):
-            seed = np.array([(kind << 40) + (band << 8) + deal + 1], dtype=np.uint64)
-            part = (mix(items ^ mix(seed + _P2)) % np.uint64(parts)).astype(np.int64)
-            total = np.zeros(parts, dtype=np.uint64)
-            np.add.at(total, part, mix(items * _P2 + seed))
-            filled = np.bincount(part, minlength=parts) > 0
-            found.append(mix(total + _P1 * np.arange(1, parts + 1, dtype=np.uint64) + seed * _P2)[filled])
-    return np.concatenate(found)
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words, A-Z in lower case."""
+    return (text or "").encode().lower().split()
 
-def all_keys(items: np.ndarray, edges: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
-    """Parts of the elements that are not common and, if these are too few, parts of all."""
-    rare = items[~np.isin(items, common, assume_unique=True)] if len(common) else items
-    found = [part_keys(rare, edges, percent, len(items))] if len(rare) else []
-    if 4 * len(rare) < 3 * len(items):
-        found.append(part_keys(items, edges, percent, kind=1))
-    return np.concatenate(found)
 
+def shingles(text: str | None, n: int) -> np.ndarray:
+    """Sorted distinct hashes of the n-grams of a text."""
+    own = words_of(text)
+    return sets_of(np.array([xxhash.xxh3_64_intdigest(w) for w in own], dtype=np.uint64), np.array([len(own)]), n)[0]
 
-def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    """Sorted n-grams that at least COMMON_SHARE of the documents hold, counted where a block holds them COMMON_IN_BLOCK times: at most 1 / COMMON_SHARE times the mean size of a set."""
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_DOCS):
-                sets = [shingles(t, n) for t in batch.column(0).slice(at, BLOCK_DOCS).to_pylist()]
-                every, counts = np.unique(np.concatenate(sets), return_counts=True)
-                some = counts >= COMMON_IN_BLOCK
-                yield pa.RecordBatch.from_arrays([pa.array([every[some].tobytes()], pa.binary()), pa.array([pack_numbers(counts[some])], pa.binary()), pa.array([len(sets)], pa.int64())], names=["h", "c", "docs"])
-                del sets, every, counts
-                trim()
-
-    def open_up(batches):
-        for batch in batches:
-            for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, "<i8")), pa.array(unpack_numbers(c))], names=["h", "c"])
 
-    found = materialise(docs.select("text").mapInArrow(run, "h binary, c binary, docs long"), "common")
-    total = found.agg(F.sum("docs")).first()[0] or 0
-    counted = found.select("h", "c").mapInArrow(open_up, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    kept = counted.filter(F.col("c") >= max(COMMON_IN_BLOCK, COMMON_SHARE * total)).select("h").toPandas()["h"].to_numpy()
-    discard(found)
-    return np.sort(kept.astype(np.int64).view(np.uint64))
+def row_hash(text: str | None) -> int:
+    """What Spark's ``xxhash64`` gives for the text."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def _deals(size: int) -> int:
-    """How many independent deals a set takes part in. A link is missed only if in every deal the parts that agree hold nothing; small sets need more deals for that to be as unlikely (below 1e-9) as a clash of hashes."""
-    return 1 if size >= 100 else 3 if size >= 40 else 6 if size >= 12 else 12
+def band_edges(percent: int, top: int = 1 << 40) -> np.ndarray:
+    """First sizes of the bands: sets that may be similar are in the same or in neighbouring ones."""
+    edges = [1]
+    while edges[-1] < top:
+        edges.append(max(edges[-1] + 1, (edges[-1] - 1) * 100 // percent + 1))
+    return np.array(edges, dtype=np.int64)
 
 
 class _Node:
@@ -235,66 +186,135 @@ def trie_components(sets: list[np.ndarray], percent: int, probes: list[int] | No
     return [find(i) for i in range(len(sets))]
 
 
-def _described(docs: DataFrame, n: int, percent: int, buckets: int, common) -> DataFrame:
-    """Rows of two kinds, from one pass over the texts. For each document: doc_id, n_shingles, sig, and node, which equal
-    sets of a block share. For each block of documents and bucket of keys: bucket, base (of the block's nodes), the keys,
-    and who sends them, as differences of node numbers."""
-    edges = band_edges(percent)
+_CODED = "block long, ids array<long>, rows binary, number binary, sizes binary, tokens binary, words binary, sigs binary, counts binary"
+
+
+def _coded(docs: DataFrame, n: int) -> DataFrame:
+    """A row for each block of documents: their ids and row hashes, the number of each one's set (0: none, else from 1), and for each
+    distinct set its words as numbers, its signature and its size; the block's words as hashes."""
+
+    def code(block: int, ids: list, texts: list) -> pa.RecordBatch:
+        seen: dict[bytes, int] = {}
+        place, kept, count = [], [], {}
+        for text in texts:
+            own = words_of(text)
+            at = seen.setdefault(xxhash.xxh3_128_digest(b" ".join(own)), len(kept) + 1) if own else 0
+            place.append(at)
+            if at > len(kept):
+                kept.append(own)
+                for w in own:
+                    count[w] = count.get(w, 0) + 1
+        order = sorted(count, key=count.get, reverse=True)  # frequent words get short numbers
+        number = {w: k for k, w in enumerate(order)}
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in order], dtype=np.uint64)
+        sizes = np.array([len(own) for own in kept], dtype=np.int64)
+        tokens = np.array([number[w] for own in kept for w in own], dtype=np.int64)
+        sets = sets_of(hashes[tokens] if len(tokens) else hashes, sizes, n)
+        first: dict[bytes, int] = {}
+        to, chosen = [0], []
+        for k, items in enumerate(sets):  # other word sequences may have the same set
+            sig = xxhash.xxh3_128_digest(items.tobytes())
+            if sig not in first:
+                first[sig] = len(first) + 1
+                chosen.append(k)
+            to.append(first[sig])
+        picked = np.zeros(len(kept), dtype=bool)
+        picked[chosen] = True
+        data = [
+            np.array([row_hash(t) for t in texts], "<i8").tobytes(), pack_numbers(np.array(to, dtype=np.int64)[place]), pack_numbers(sizes[picked]),
+            pack_numbers(tokens[np.repeat(picked, sizes)]), hashes.tobytes(), b"".join(first), pack_numbers(np.array([len(sets[k]) for k in chosen], dtype=np.int64)),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *[pa.array([x], pa.binary()) for x in data]], names=[x.split()[0] for x in _CODED.split(", ")])
 
     def run(batches):
         part, turn = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_DOCS):
-                base = (part << 40) | (turn << 20)
-                turn += 1
-                ids, size, sig, node = batch.column(0).slice(at, BLOCK_DOCS), [], [], []
-                number: dict[str, int] = {}
-                keys, who = [], []
-                for text in batch.column(1).slice(at, BLOCK_DOCS).to_pylist():
-                    items = shingles(text, n)
-                    size.append(len(items))
-                    if not len(items):
-                        sig.append(None)
-                        node.append(None)
-                        continue
-                    sig.append(signature(items))
-                    if sig[-1] not in number:
-                        number[sig[-1]] = len(number)
-                        k = all_keys(items, edges, percent, common.value)
-                        keys.append(k)
-                        who.append(np.full(len(k), number[sig[-1]], dtype=np.int64))
-                    node.append(base | number[sig[-1]])
-                none = lambda kind, m=len(size): pa.nulls(m, kind)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(sig, pa.string()), pa.array(node, pa.int64()), none(pa.int32()), none(pa.int64()), none(pa.binary()), none(pa.binary())], names=_FIELDS)
-                if not keys:
-                    continue
-                k, v = np.concatenate(keys), np.concatenate(who)
-                bucket = (k % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")  # so senders stay in order
-                k, v, cuts = k[order], v[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                sent = [(six_bytes(k[cuts[b] : cuts[b + 1]]), pack_numbers(np.diff(v[cuts[b] : cuts[b + 1]], prepend=0))) for b in full]
-                m = len(full)
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64())], pa.array(full, pa.int32()), pa.array([base] * m, pa.int64()), pa.array([x for x, _ in sent], pa.binary()), pa.array([x for _, x in sent], pa.binary())],
-                    names=_FIELDS,
-                )
-                del keys, who, k, v, sent
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            size = np.cumsum(np.array([x or 0 for x in pc.binary_length(texts).to_pylist()], dtype=np.int64))
+            at = 0
+            while at < len(ids):
+                to = min(len(ids), at + BLOCK_DOCS, max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_BYTES, side="right"))))
+                yield code((part << 40) | (turn << 20), ids[at:to], texts.slice(at, to - at).to_pylist())
+                turn, at = turn + 1, to
                 trim()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig string, node long, bucket int, base long, keys binary, who binary")
+    return docs.mapInArrow(run, _CODED)
+
+
+_SETS = ["block", "sizes", "tokens", "words"]
+
+
+def _rebuilt(sizes: bytes, tokens: bytes, words: bytes, n: int) -> list[np.ndarray]:
+    """The distinct sets of a block."""
+    if not sizes:
+        return []
+    return sets_of(np.frombuffer(words, "<u8")[unpack_numbers(tokens)], unpack_numbers(sizes), n)
+
+
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by the upper half of the hash: sorted keys have sorted buckets."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-_FIELDS = ["doc_id", "n_shingles", "sig", "node", "bucket", "base", "keys", "who"]
+def _table(columns_: list, names: list[str], kinds: list) -> pa.Table:
+    return pa.table([pa.array(c, k) for c, k in zip(columns_, kinds, strict=True)], names=names)
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Edges (a, b) between nodes that send the same key: a spanning forest of the bucket's."""
-    k = np.concatenate([from_six(x) for x in table.column("keys").to_pylist()])
-    v = np.concatenate([np.cumsum(unpack_numbers(w)) + b for w, b in zip(table.column("who").to_pylist(), table.column("base").to_pylist(), strict=True)])
+def _counted(coded: DataFrame, n: int, buckets: int) -> DataFrame:
+    """(block, bucket, df): for a block's distinct n-grams in a bucket, in their order, how many sets of all blocks hold them."""
+
+    def send(batches):
+        for batch in batches:
+            for block, *data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                sets = _rebuilt(*data, n)
+                if not sets:
+                    continue
+                keys, count = np.unique(np.concatenate(sets), return_counts=True)
+                cuts = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))
+                full = np.flatnonzero(np.diff(cuts)).tolist()
+                low = (keys & _LOW).astype("<u4")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([low[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), pa.array([pack_numbers(count[cuts[b] : cuts[b + 1]]) for b in full], pa.binary())],
+                    names=["bucket", "block", "keys", "counts"],
+                )
+                del sets, keys, count
+                trim()
+
+    def total(table: pa.Table) -> pa.Table:
+        # the lower halves of two hashes may agree: both then count for both, which brings sets together that need not meet
+        rows = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
+        names, back = np.unique(np.concatenate(rows), return_inverse=True)
+        df = np.bincount(back, weights=np.concatenate([unpack_numbers(x) for x in table.column("counts").to_pylist()]), minlength=len(names)).astype(np.int64)[back]
+        cuts = np.cumsum([0, *map(len, rows)])
+        found = [pack_numbers(df[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "df": pa.array(found, pa.binary())})
+
+    sent = coded.select(*_SETS).mapInArrow(send, "bucket int, block long, keys binary, counts binary")
+    return sent.groupBy("bucket").applyInArrow(total, "block long, bucket int, df binary")
+
+
+def prefix_keys(sets: list[np.ndarray], df: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places of their sets): for the own and the next band of sizes, the shared elements of each set's prefix."""
+    edges, keys, who = band_edges(percent), [], []
+    for i, (items, d) in enumerate(zip(sets, df, strict=True)):
+        size, shared = len(items), d > 1
+        least = -(-percent * size // 100)
+        if int(shared.sum()) < least:
+            continue
+        alone, room = size - int(shared.sum()), size - least + 1
+        some, d = items[shared], d[shared]
+        chosen = some[np.lexsort((some, d))[: room - alone]]
+        band = int(np.searchsorted(edges, size, side="right")) - 1
+        keys += [mix(chosen + np.uint64(b) * _P1) for b in (band, band + 1)]
+        who.append(np.full(2 * len(chosen), i, dtype=np.int64))
+    return (np.concatenate(keys), np.concatenate(who)) if keys else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+
+def forest(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between the nodes ``v`` that have a key ``k`` in common: a star for each component, its least node in the middle."""
     order = np.argsort(k, kind="stable")
     k, v = k[order], v[order]
-    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, dtype=np.int64)
     size = np.diff(np.append(start, len(k)))
     v, group = v[np.repeat(size > 1, size)], np.repeat(np.arange((size > 1).sum()), size[size > 1])
     names, node = np.unique(v, return_inverse=True)
@@ -309,75 +329,192 @@ def _meet(table: pa.Table) -> pa.Table:
             break
         label = new
     other = label != np.arange(len(names))
-    return pa.table({"a": pa.array(names[label[other]], pa.int64()), "b": pa.array(names[other], pa.int64())})
+    return names[label[other]], names[other]
+
+
+_EDGES = ["bucket", "block", "keys", "who", "a", "b"]
+
+
+def _met(coded: DataFrame, counted: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """Edges (a, b) between nodes (a block's number plus the set's) of sets that share a key."""
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+
+    def meet_within(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table([[]] * 6, _EDGES, kinds)
+        block, *data = (left.column(c)[0].as_py() for c in _SETS)
+        sets = _rebuilt(*data, n)
+        buckets_, answers = right.column("bucket").to_pylist(), right.column("df").to_pylist()
+        df = np.concatenate([unpack_numbers(answers[i]) for i in np.argsort(buckets_)])
+        back = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        each = np.split(df[back], np.cumsum([len(s) for s in sets])[:-1])
+        keys, who = prefix_keys(sets, each, percent)
+        a, b = forest(keys, who + 1 + block)
+        keys, first = np.unique(keys, return_index=True)  # a key is sent once for the block
+        who = who[first] + 1
+        cuts = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(cuts)).tolist()
+        m, e = len(full), len(a)
+        out = [
+            [*full, *[None] * e], [block] * (m + e), [*[six_bytes(keys[cuts[x] : cuts[x + 1]]) for x in full], *[None] * e],
+            [*[pack_numbers(who[cuts[x] : cuts[x + 1]]) for x in full], *[None] * e], [*[None] * m, *a.tolist()], [*[None] * m, *b.tolist()],
+        ]
+        trim()
+        return _table(out, _EDGES, kinds)
+
+    def meet_between(table: pa.Table) -> pa.Table:
+        k = np.concatenate([from_six(x) for x in table.column("keys").to_pylist()])
+        v = np.concatenate([unpack_numbers(w) + b for w, b in zip(table.column("who").to_pylist(), table.column("block").to_pylist(), strict=True)])
+        a, b = forest(k, v)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    schema = "bucket int, block long, keys binary, who binary, a long, b long"
+    within = materialise(coded.select(*_SETS).groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(meet_within, schema), "within")
+    discard(counted)
+    release(coded.sparkSession)
+    between = within.filter("bucket is not null").select("bucket", "block", "keys", "who").groupBy("bucket").applyInArrow(meet_between, "a long, b long")
+    edges = materialise(within.filter("bucket is null").select("a", "b").unionByName(between).distinct(), "met")
+    discard(within)
+    return edges
+
+
+def _of_groups(coded: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(root, node, items) of the wanted (block, node, root) sets."""
+    kinds = [pa.int64(), pa.int64(), pa.binary()]
+
+    def rebuild(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table([[]] * 3, ["root", "node", "items"], kinds)
+        block, *data = (left.column(c)[0].as_py() for c in _SETS)
+        sets, nodes = _rebuilt(*data, n), right.column("node").to_pylist()
+        out = _table([right.column("root").to_pylist(), nodes, [sets[x - block - 1].tobytes() for x in nodes]], ["root", "node", "items"], kinds)
+        trim()
+        return out
+
+    return coded.select(*_SETS).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(rebuild, "root long, node long, items binary")
+
+
+def _joined(table: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) of the sets of one unit, group by group. Rows marked ``probe`` are run down the trie of the others only."""
+    found: dict[int, list[tuple[int, np.ndarray, bool]]] = {}
+    for root, node, items, probe in zip(*(table.column(c).to_pylist() for c in ("root", "node", "items", "probe")), strict=True):
+        found.setdefault(root, []).append((node, np.frombuffer(items, dtype=np.uint64), probe))
+    a, b = [], []
+    for rows in found.values():
+        rows.sort(key=lambda x: x[0])
+        probes = [k for k, x in enumerate(rows) if x[2]]
+        stored = [k for k, x in enumerate(rows) if not x[2]]
+        label = trie_components([x[1] for x in rows], percent, probes or None, stored)
+        for k, x in enumerate(label):
+            if x != k:
+                a.append(rows[x][0])
+                b.append(rows[k][0])
+    trim()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _linked(sets: DataFrame, percent: int, group_shingles: int) -> DataFrame:
+    """(node, head) of the sets that are linked with others; head: one of them, the same for all of a component."""
 
-
-def join_components(docs: DataFrame, n: int = 3, percent: int = 90, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``; documents link when their sets' similarity is at least ``percent`` / 100."""
+    def join(table: pa.Table) -> pa.Table:
+        return _joined(table, percent)
+
+    size = F.octet_length("items")
+    groups = sets.groupBy("root").agg(F.sum(size).alias("bytes"), F.count("*").alias("members"), F.ceil(F.sum(size) / 8 / group_shingles).cast("int").alias("blocks"))
+    groups = materialise(groups, "sizes")
+    large = groups.filter("blocks > 1")
+    bundles = int(max(8, (groups.filter("blocks = 1").agg(F.sum("bytes")).first()[0] or 0) // BUNDLE_BYTES))
+    small = sets.join(groups.filter("blocks = 1").select("root"), "root", "left_semi")
+    small = small.select(F.pmod(F.xxhash64("root"), F.lit(bundles)).alias("unit"), F.lit(0).alias("part"), "root", "node", "items", F.lit(False).alias("probe"))
+    schema = "a long, b long"
+    if not large.limit(1).count():
+        links = small.groupBy("unit", "part").applyInArrow(join, schema)
+        return components(links).select("node", F.col("root").alias("head"))
+    dealt = materialise(sets.join(large, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("root", "node", "items", "own", "blocks", "members"), "dealt")
+    marks = dealt.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40)) < F.lit(LANDMARKS * (1 << 40)) / F.col("members"))
+    marks = marks.select("root", "node", "items", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "own").filter("part <> own")
+    unit = lambda df, part, probe: df.select(F.col("root").alias("unit"), F.col(part).alias("part"), "root", "node", "items", F.lit(probe).alias("probe"))
+    first = materialise(small.unionByName(unit(dealt, "own", False)).unionByName(unit(marks, "part", False)).groupBy("unit", "part").applyInArrow(join, schema), "links")
+    label = components(first).select("node", F.col("root").alias("head"))
+    told = materialise(dealt.select("root", "node").join(label, "node", "left").select("root", "node", F.coalesce("head", "node").alias("head")), "told")
+    most = told.groupBy("root", "head").count().groupBy("root").agg(F.max_by("head", F.struct("count", "head")).alias("main"))
+    others = told.join(most, "root").filter("head <> main").select("node")
+    probes = dealt.join(others, "node", "left_semi").select("root", "node", "items", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "own").filter("part <> own")
+    pending = told.join(most, "root").filter("head <> main").select("root").distinct()
+    stored = dealt.join(pending, "root", "left_semi")
+    second = materialise(unit(stored, "own", False).unionByName(unit(probes, "part", True)).groupBy("unit", "part").applyInArrow(join, schema), "links")
+    return components(first.unionByName(second)).select("node", F.col("root").alias("head"))
+
+
+ROWS = "doc_id long, row_hash long, n_shingles long, component long, component_id long"
+
+
+def join_rows(docs: DataFrame, n: int, percent: int, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """doc_id, row_hash (``xxhash64`` of the text), n_shingles, component (a number that all rows of a component share; null without words) and component_id of every row."""
     docs, spark = columns(docs, "doc_id", "text"), docs.sparkSession
-    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    buckets = int(max(8, -(-7 * (4 * words * (100 - percent) // (100 + percent) + 1) // BUCKET_BYTES)))
-    common = spark.sparkContext.broadcast(common_shingles(docs, n))
-    written = materialise(_described(docs, n, percent, buckets, common), "sets")
-    told = written.filter("bucket is null").select("doc_id", "n_shingles", "sig", "node")
-    sent = written.filter("bucket is not null").select("bucket", "base", "keys", "who")
-    met = components(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, "a long, b long"))
-    told = materialise(told, "told")
-    discard(written)
+    coded = materialise(_coded(docs, n), "coded")
+    total = coded.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    buckets = int(max(8, total // 2 // BUCKET_SHINGLES))
+    counted = materialise(_counted(coded, n, buckets), "counted")
     release(spark)
 
-    nodes = told.filter("n_shingles > 0").groupBy("sig").agg(F.min("node").alias("node"), F.min("doc_id").alias("least"))
-    nodes = materialise(nodes, "nodes")
+    def describe(batches):
+        for batch in batches:
+            for block, ids, number, sigs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                least: dict[int, int | None] = {}
+                for i, k in zip(ids, unpack_numbers(number).tolist(), strict=True):
+                    if k and (k not in least or least[k] is None or (i is not None and i < least[k])):
+                        least[k] = i
+                m = len(least)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), pa.array([block + k for k in least], pa.int64()), pa.array([sigs[16 * k - 16 : 16 * k] for k in least], pa.binary()), pa.array(least.values(), pa.int64())], names=["block", "node", "sig", "least"])
+
+    own = materialise(coded.select("block", "ids", "number", "sigs").mapInArrow(describe, "block long, node long, sig binary, least long"), "own")
+    nodes = materialise(own.groupBy("sig").agg(F.min("node").alias("node"), F.min("least").alias("least")), "nodes")
+    met = components(_met(coded, counted, n, percent, buckets))
     # all nodes of a set send the same keys, so they are in one group; a group of one set needs no join
-    grouped = nodes.join(met, "node").select("sig", "least", "root")
+    grouped = nodes.join(met, "node").select("node", "root")
     several = grouped.groupBy("root").count().filter("count > 1").select("root")
-    wanted = grouped.join(several, "root").select("sig", "least", "root")
+    wanted = grouped.join(several, "root", "left_semi").select(F.shiftleft(F.shiftright("node", 20), 20).alias("block"), "node", "root")
+    sets = materialise(_of_groups(coded, wanted, n), "groups")
+    release(spark)
+    linked = _linked(sets, percent, group_shingles)
+    headed = materialise(nodes.join(linked, "node", "left").select("sig", F.coalesce("head", "node").alias("head"), "least"), "headed")
+    heads = headed.groupBy("head").agg(F.min("least").alias("component_id"))
+    final = own.select("block", "node", "sig").join(headed.select("sig", "head"), "sig").join(heads, "head").select("block", "node", "head", "component_id")
 
-    def rebuild(batches):
-        for batch in batches:
-            text, sig, root = (batch.column(i).to_pylist() for i in range(3))
-            out = [(r, s, items.tobytes()) for t, s, r in zip(text, sig, root, strict=True) if signature(items := shingles(t, n)) == s]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.binary())], names=["root", "sig", "items"])
-            trim()
+    kinds = [pa.int64()] * 5
 
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["least"])).select("text", "sig", "root")
-    sets = materialise(texts.mapInArrow(rebuild, "root long, sig string, items binary"), "groups")
-    release(spark)
-    blocks = sets.groupBy("root").agg(F.ceil(F.sum(F.octet_length("items")) / 8 / group_shingles).cast("int").alias("blocks"))
-    dealt = sets.join(blocks, "root").withColumn("own", F.pmod(F.hash("sig"), F.col("blocks")))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    dealt = dealt.withColumn("pair", F.explode(pair)).select("root", "pair.i", "pair.j", "own", "sig", "items")
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = [x.split()[0] for x in ROWS.split(", ")]
+        if not left.num_rows:
+            return _table([[]] * 5, names, kinds)
+        block, ids, rows, number, counts = (left.column(c)[0].as_py() for c in ("block", "ids", "rows", "number", "counts"))
+        told = {x - block: (h, c) for x, h, c in zip(*(right.column(c).to_pylist() for c in ("node", "head", "component_id")), strict=True)}
+        size, number = [0, *unpack_numbers(counts).tolist()], unpack_numbers(number).tolist()
+        out = [told[k] if k else (None, i) for i, k in zip(ids, number, strict=True)]
+        return _table([ids, np.frombuffer(rows, "<i8").tolist(), [size[k] for k in number], [o[0] for o in out], [o[1] for o in out]], names, kinds)
 
-    def join(table: pa.Table) -> pa.Table:
-        by_sig = dict(zip(table.column("sig").to_pylist(), zip(table.column("items").to_pylist(), table.column("own").to_pylist(), strict=True), strict=True))
-        names = sorted(by_sig)
-        found = [np.frombuffer(by_sig[s][0], dtype=np.uint64) for s in names]
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        if i == j:
-            label = trie_components(found, percent)
-        else:
-            own = [by_sig[s][1] for s in names]
-            label = trie_components(found, percent, [k for k, o in enumerate(own) if o == j], [k for k, o in enumerate(own) if o == i])
-        return pa.table({"a": pa.array([names[x] for x in label], pa.string()), "b": pa.array(names, pa.string())})
-
-    links = materialise(dealt.groupBy("root", "i", "j").applyInArrow(join, "a string, b string").filter("a <> b"), "joined")
-    if blocks.filter("blocks > 1").limit(1).count():
-        links = components(links).select(F.col("root").alias("a"), F.col("node").alias("b"))
-    both = links.unionByName(links.select("a", F.col("a").alias("b"))).distinct()
-    least = nodes.select("sig", "least")
-    heads = both.join(least, both["b"] == least["sig"]).groupBy("a").agg(F.min("least").alias("component_id"))
-    linked = both.join(heads, "a").select(F.col("b").alias("sig"), "component_id")
-    final = least.join(linked, "sig", "left").select("sig", F.least(F.coalesce("component_id", "least"), F.coalesce("least", "component_id")).alias("component_id"))
-    some = told.filter("sig is not null").select("doc_id", "n_shingles", "sig").join(final, "sig").select("doc_id", "n_shingles", "component_id")
-    none = told.filter("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return some.unionByName(none)
+    return coded.select("block", "ids", "rows", "number", "counts").groupBy("block").cogroup(final.groupBy("block")).applyInArrow(answer, ROWS)
+
+
+def join_components(docs: DataFrame, n: int = 3, percent: int = 90, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``; documents link when their sets' similarity is at least ``percent`` / 100."""
+    return join_rows(docs, n, percent, group_shingles).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those whose component holds a smaller doc_id. Rows of equal doc_id are one document (the first row); documents without words and null ids stay."""
-    found = materialise(join_components(docs, n, percent), "joined")
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id is null")) if found.filter("doc_id is null").limit(1).count() else out
+    """One row of each component, that with the least doc_id (null after all others; of equal ones, the least ``xxhash64`` of the text), with
+    all its columns. Of rows that agree in doc_id and text one stays, the first by a hash of all columns. Rows without words stay."""
+    found = join_rows(docs, n, percent).filter("component is not null")
+    # a struct with a null sorts first, hence the flag
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "row_hash"))
+    chosen = materialise(found.groupBy("component").agg(least.alias("row")).select("row.doc_id", "row.row_hash"), "chosen")
+    marked = docs.withColumn("_kvarn_key", F.struct(F.coalesce(docs["doc_id"], F.lit(0)).alias("i"), docs["doc_id"].isNull().alias("none"), F.xxhash64(docs["text"]).alias("h")))
+    key = chosen.select(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("none"), F.col("row_hash").alias("h")).alias("_kvarn_key"))
+    kept = marked.join(key, "_kvarn_key", "left_semi")
+    twice = found.groupBy("doc_id", "row_hash").count().filter("count > 1").limit(1).count()
+    if twice:
+        order = F.xxhash64(*[F.to_json(F.struct(docs[c])) for c in docs.columns])
+        kept = kept.withColumn("_kvarn_turn", F.row_number().over(Window.partitionBy("_kvarn_key").orderBy(order))).filter("_kvarn_turn = 1")
+    wordless = docs.filter(~F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return kept.select(*docs.columns).unionByName(wordless)

@@ -93,6 +93,36 @@ def test_join_of_a_split_group(spark):
     assert got == want
 
 
+def test_join_of_a_large_group_of_several_components(spark):
+    """Sets that meet but are not similar stay apart, and those that landmarks do not link are found in other blocks."""
+    rng, shared, texts = random.Random(4), prose(60, 5).split(), []
+    for k in range(12):
+        base = [*prose(180, 50 + k).split(), *shared]
+        for _ in range(8):
+            copy = list(base)
+            copy[rng.randrange(180)] = f"z{rng.randrange(99)}"
+            texts.append(" ".join(copy))
+    for k in range(150):  # every set shares its rarest words with others
+        texts.append(" ".join([*shared, *prose(180, 50 + k % 12).split()[: 60 + k % 120]]))
+    want = brute_components(list(range(len(texts))), sets_of(texts, 5), 80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(frame(spark, texts), 5, 80, group_shingles=3000).collect()}
+    assert got == want
+
+
+def test_join_against_brute_force_over_many_blocks(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 13)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(docs, 5, 80).collect()}
+    assert got == brute_components([i for i, _ in rows], sets_of([t for _, t in rows], 5), 80)
+
+
+def test_keep_one_decides_by_row(spark):
+    w, v, u = prose(60, 1), prose(60, 2), prose(60, 3)
+    got = ngram_join.keep_one(frame(spark, [w, w, v, u, u, u, None, None, " "], [1, 5, 5, 7, 7, None, 8, 8, None])).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(1, w), (5, v), (7, u), (8, ""), (8, ""), (0, " ")])
+    only = ngram_join.keep_one(frame(spark, [w, v], [None, None])).collect()
+    assert {r["text"] for r in only} == {w, v}
+
+
 def test_trie_prunes_nothing_it_should_keep():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(120)]
@@ -112,6 +142,7 @@ def test_join_odd_rows(spark):
     assert by[0] == [(0, 0)] and by[2] == [(0, 2)] and by[3] == [(1, 3)] and by[4] == [(2, 4), (2, 4)] and by[5] == [(1, 5)]
     assert ngram_join.join_components(odd(spark).limit(0), 3, 90).count() == 0
     assert sorted(r["doc_id"] or -1 for r in ngram_join.keep_one(odd(spark)).collect() if r["text"] and r["text"].strip()) == [-1, 3, 4, 5]
+    assert len(ngram_join.keep_one(clashing(spark)).columns) == len(clashing(spark).columns) and ngram_join.keep_one(odd(spark).limit(0)).count() == 0
 
 
 def test_components(spark):
