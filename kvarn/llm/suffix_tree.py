@@ -1,19 +1,21 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-*Model.* Symbols are the tokens: lower-cased (A-Z) words and the end of a text. A context is the one or more tokens before
-a token, in its text (before the first stands an end). Contexts that stand at least ``MIN_COUNT`` times in the training
-tokens, however many these are, are candidates; one is retained if its next-symbol distribution differs from its parent's
-(the context without its oldest token) by at least ``MIN_DIVERGENCE`` nats. A token is predicted by the longest
-retained suffix of what stands before it, smoothed with the shorter ones (Witten-Bell):
-P(w | s) = (c(sw) + T(s) P(w | parent)) / (c(s) + T(s)). The root is (c(w) + 1) / (N + V + 1), with one share for all
-words that training has not seen. Counts of single words are kept whole, however rare.
-
-*Flow.* Input blocks (a few thousand texts) are written once as token numbers and a list of distinct words. Words are
-counted by hash over all blocks, and the counts go back to the blocks that hold the words. Then, for each length of
-context, blocks send their distinct (context, token) pairs, packed in arrays, to buckets by the pair's hash; the totals
-go back in the same order. Retained contexts are a table; a block also sends its distinct contexts to buckets by their
-hash, where they meet that table, and hears which are retained. No text is shuffled, a hot word or pair is one entry a
-block, and neither the driver nor a broadcast holds contexts, so their number may grow with the input.
+*Model.* Symbols are the tokens: lower-cased (A-Z) words and the end of a text. A context is the one to ``DEPTH`` tokens
+before a token, in its text (before the first stands an end). Contexts that stand at least ``MIN_COUNT`` times in the
+training tokens are candidates, at any size of the corpus; one is retained if the divergence (Kullback-Leibler, in nats) of its next symbols
+from what its longest retained suffix predicts for them is at least ``MIN_DIVERGENCE``. A token is predicted by the longest retained
+suffix of what stands before it, smoothed with the shorter ones (Witten-Bell):
+P(w | s) = (c(sw) + T(s) P(w | suffix)) / (c(s) + T(s)), T the number of different next symbols. The root is
+(c(w) + 1) / (N + V + 1), with one share for all words that training has not seen, so every distribution adds up to 1.
+
+*Flow.* Input blocks (a few thousand texts) are written once as word numbers. Words are counted by hash over all blocks; the
+counts and global numbers (small ones for frequent words) go back to the blocks. All contexts with the same last word
+make up one subtree, so each distinct (history, symbol) of a block goes to the bucket of its last word, where the
+subtree is built to its full depth, and its probability comes back: one exchange for all depths.
+
+A context with more than ``HOT`` entries (estimated from one position in ``SAMPLE``; this chooses the plan, not the result) would
+fill a bucket, so it is split: its entries are dealt by one more word of history, and the distributions of the hot contexts themselves are
+counted apart, as (context, symbol) pairs in buckets of symbols. What the driver holds are the hot contexts' totals, at most DEPTH * N / HOT rows.
 
 Null and empty texts are one end token. A null doc_id counts as a training row; repeated rows count each time.
 """
@@ -21,6 +23,7 @@ Null and empty texts are one end token. A null doc_id counts as a training row;
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, discard, from_six, materialise, pack_numbers, release, six_bytes, trim, unpack_numbers
+from .common import columns, discard, materialise, pack_numbers, release, trim, unpack_numbers
 
-DEPTH, MIN_COUNT, MIN_DIVERGENCE = 2, 16, 0.05
-MIN_SHARE = 0.0  # no share of the training tokens is asked for: what is gathered grows with the input
-BLOCK_DOCS, BLOCK_BYTES, BUCKET_BYTES = 4000, 6_000_000, 16_000_000
-_STAT = np.dtype([("ctx", "<u8"), ("c_ctx", "<i8"), ("kinds", "<i8"), ("gain", "<f8"), ("mass", "<f8"), ("below", "<f8")])
-_P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-_LOW = np.uint64((1 << 48) - 1)  # hashes of pairs (within their bucket) and contexts travel in six bytes
+DEPTH, MIN_COUNT, MIN_DIVERGENCE = 5, 2, 0.05
+HOT, SAMPLE = 500_000, 256
+BLOCK_DOCS, BLOCK_BYTES, WORD_BUCKET_BYTES, BUCKET_TOKENS = 4000, 6_000_000, 16_000_000, 700_000
+_P1 = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = 40  # word numbers take 40 bits of a key
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -52,10 +52,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _table(columns_: list, schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns_, names, strict=True)], names=[n for n, _ in names])
+
+
+# ---- words: numbers and counts
+
+_TEXTS = "block long, ids array<long>, held binary, sizes binary, tokens binary, end long"
+_WORDS = "block long, bucket int, words binary, numbers binary, counts binary"
+
+
 def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of two kinds. A block's texts: doc_ids, token numbers, tokens of each text, held-out flags. A block's words in a bucket: their bytes, numbers and training counts."""
+    """Rows of two kinds. A block's texts: doc_ids, held-out flags, sizes, word numbers and that of the end. A block's words in a bucket: their bytes, numbers and training counts."""
+    schema = _TEXTS + ", " + _WORDS.split(", ", 1)[1]
 
-    def reduce_block(block: str, ids: list, texts: list):
+    def reduce_block(block: int, ids: list, texts: list) -> pa.RecordBatch:
         seen: dict[bytes, int] = {}
         split, held = [], [is_held_out(i) for i in ids]
         for text in texts:
@@ -67,13 +80,15 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
         number = {w: k for k, w in enumerate(words)}
         tokens = np.array([number[w] for own in split for w in own], dtype=np.int64)
         sizes = np.array([len(own) for own in split], dtype=np.int64)
-        train = np.repeat(~np.array(held, dtype=bool), sizes)
-        counted = np.bincount(tokens[train], minlength=len(words))
-        yield block, -1, ids, [pack_numbers(tokens), sizes.astype("<u4").tobytes(), np.array(held, "u1").tobytes(), f"{number[b'']};{counted.sum()}".encode()]
+        counted = np.bincount(tokens[np.repeat(~np.array(held, dtype=bool), sizes)], minlength=len(words))
         at = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in words], dtype=np.int64)
-        for b in np.unique(at).tolist():
-            mine = np.flatnonzero(at == b)
-            yield block, b, None, [b"\n".join(words[i] for i in mine.tolist()), pack_numbers(np.diff(mine, prepend=0)), pack_numbers(counted[mine]), b""]
+        rows = [(block, ids, np.array(held, "u1").tobytes(), pack_numbers(sizes), pack_numbers(tokens), number[b""], *[None] * 4)]
+        order = np.argsort(at, kind="stable")
+        cuts = np.searchsorted(at[order], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            mine = order[cuts[b] : cuts[b + 1]]
+            rows.append((block, *[None] * 5, b, b"\n".join(words[i] for i in mine.tolist()), pack_numbers(np.diff(mine, prepend=0)), pack_numbers(counted[mine])))
+        return _table(list(zip(*rows, strict=True)), schema).to_batches()[0]
 
     def run(batches):
         part, turn = TaskContext.get().partitionId(), 0
@@ -84,258 +99,473 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
             while at < len(ids):
                 floor = sizes[at - 1] if at else 0
                 to = min(len(ids), at + BLOCK_DOCS, max(at + 1, int(np.searchsorted(sizes, floor + BLOCK_BYTES, side="right"))))
-                for row in reduce_block(f"{part}-{turn}", ids[at:to], texts.slice(at, to - at).to_pylist()):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row[0]], pa.string()), pa.array([row[1]], pa.int32()), pa.array([row[2]], pa.list_(pa.int64())), *[pa.array([x], pa.binary()) for x in row[3]]],
-                        names=["block", "bucket", "ids", "a", "b", "c", "d"],
-                    )
+                yield reduce_block((part << 40) | turn, ids[at:to], texts.slice(at, to - at).to_pylist())
                 turn, at = turn + 1, to
                 trim()
 
-    return docs.mapInArrow(run, "block string, bucket int, ids array<long>, a binary, b binary, c binary, d binary")
+    return docs.mapInArrow(run, schema)
+
+
+_TOLD = "block long, numbers binary, globals binary, counts binary, tokens long, kinds long"
+
+
+def _tell(buckets: int):
+    """Each block's words with their training counts and global numbers, which begin at 1 and are smaller for the frequent words of a bucket; and a row for the bucket's tokens and kinds."""
+
+    def run(table: pa.Table) -> pa.Table:
+        place: dict[bytes, int] = {}
+        where, counts = [], []
+        for joined, c in zip(table.column("words").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            where.append(np.array([place.setdefault(w, len(place)) for w in joined.split(b"\n")], dtype=np.int64))
+            counts.append(unpack_numbers(c))
+        total = np.bincount(np.concatenate(where), weights=np.concatenate(counts), minlength=len(place)).astype(np.int64)
+        names, left = list(place), total.tolist()
+        number = np.empty(len(names), dtype=np.int64)
+        number[sorted(range(len(names)), key=lambda i: (-left[i], names[i]))] = np.arange(len(names))
+        number = number * buckets + table.column("bucket")[0].as_py() + 1
+        n = table.num_rows
+        return _table(
+            [[*table.column("block").to_pylist(), None], [*table.column("numbers").to_pylist(), None], [*[pack_numbers(number[at]) for at in where], None], [*[pack_numbers(total[at]) for at in where], None], [*[None] * n, int(total.sum())], [*[None] * n, int((total > 0).sum())]],
+            _TOLD,
+        )
+
+    return run
+
+
+_CODED = "block long, ids array<long>, held binary, sizes binary, tokens binary, end long, globals binary, counts binary"
+
 
+def _coded(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A block's texts with the global numbers and counts of its words."""
+    if not left.num_rows:
+        return _table([[]] * 8, _CODED)
+    number = np.concatenate([np.cumsum(unpack_numbers(x)) for x in right.column("numbers").to_pylist()])
+    order = np.argsort(number)
+    globals_, counts = (np.concatenate([unpack_numbers(x) for x in right.column(c).to_pylist()])[order] for c in ("globals", "counts"))
+    return _table([*[left.column(c).to_pylist() for c in ("block", "ids", "held", "sizes", "tokens", "end")], [pack_numbers(globals_)], [pack_numbers(counts)]], _CODED)
 
-def _words_of(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
-    """The distinct words of a bucket, their training counts, and for each row the places of its words among them."""
-    place: dict[bytes, int] = {}
-    where, counts = [], []
-    for joined, c in zip(table.column("a").to_pylist(), table.column("c").to_pylist(), strict=True):
-        where.append(np.array([place.setdefault(w, len(place)) for w in joined.split(b"\n")], dtype=np.int64))
-        counts.append(unpack_numbers(c))
-    total = np.zeros(len(place), dtype=np.int64)
-    for at, c in zip(where, counts, strict=True):
-        np.add.at(total, at, c)
-    return list(place), total, where
+
+# ---- a block's distinct histories
+
+
+@dataclass
+class Settings:
+    """What all steps share: totals of the training tokens, the plan, and the hot contexts (for each length, sorted keys ``parent << 40 | word`` and their numbers)."""
+
+    tokens: int
+    kinds: int
+    depth: int
+    least: int
+    divergence: float
+    buckets: int
+    keys: list[np.ndarray] = field(default_factory=list)
+    numbers: list[np.ndarray] = field(default_factory=list)
+    parent: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    length: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    count: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    following: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    retained: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=bool))
+
+    def root(self, count: np.ndarray) -> np.ndarray:
+        return (count + 1) / (self.tokens + self.kinds + 1)
+
+    def add_hot(self, paths: list[tuple[int, ...]]) -> None:
+        """Number the hot contexts, given as their words from the last backwards; with a context come all its suffixes."""
+        number = {(): 0}
+        for path in sorted(paths, key=lambda x: (len(x), x)):
+            number[path] = len(number)
+        for n in range(1, 1 + max((len(p) for p in paths), default=0)):
+            level = sorted(((number[p[:-1]] << _SHIFT) | p[-1], number[p]) for p in paths if len(p) == n)
+            self.keys.append(np.array([k for k, _ in level], dtype=np.int64))
+            self.numbers.append(np.array([k for _, k in level], dtype=np.int64))
+        self.parent = np.array([number[p[:-1]] if p else 0 for p in number], dtype=np.int64)
+        self.length = np.array([len(p) for p in number], dtype=np.int64)
+        self.count, self.following = np.zeros(len(number)), np.zeros(len(number))
+        self.retained = np.zeros(len(number), dtype=bool)
 
 
 class Block:
-    """A block's tokens with what is known of them so far: counts, and the pairs' totals of each length done."""
-
-    def __init__(self, texts: dict, told: list[dict], tokens: int, kinds: int, least: int, done: int, buckets: int):
-        self.ids, self.tok = texts["ids"], unpack_numbers(texts["a"])
-        self.sizes = np.frombuffer(texts["b"], "<u4").astype(np.int64)
-        self.held = np.frombuffer(texts["c"], "u1").astype(bool)
-        self.starts, self.least, self.buckets = np.cumsum(self.sizes) - self.sizes, least, buckets
-        self.train = np.repeat(~self.held, self.sizes)
-        n_words = int(self.tok.max()) + 1
-        self.count, mark = np.zeros(n_words, dtype=np.int64), np.zeros(n_words, dtype=np.uint64)
-        for row in told:
-            if row["level"] == 0:
-                number, c = np.cumsum(unpack_numbers(row["a"])), unpack_numbers(row["b"])
-                self.count[number] = c
-                mark[number[c >= least]] = from_six(row["c"])
-        self.base = (self.count + 1) / (tokens + kinds + 1)
-        self.p = self.base[self.tok]
+    """A block's tokens, and its distinct (history, symbol) entries in a fixed order."""
+
+    def __init__(self, row: dict, of: Settings):
+        self.of, self.ids = of, row["ids"]
+        self.sizes, self.held = unpack_numbers(row["sizes"]), np.frombuffer(row["held"], "u1").astype(bool)
+        self.tok, self.word, self.count = unpack_numbers(row["tokens"]), unpack_numbers(row["globals"]), unpack_numbers(row["counts"])
+        self.end, self.starts = row["end"], np.cumsum(self.sizes) - self.sizes
+        self.block = row["block"]
+
+    def histories(self) -> list[np.ndarray]:
+        """For each length, the local number + 1 of the word so far back, 0 where none stands or a word since then is rare."""
+        number = np.where(self.count >= self.of.least, np.arange(1, len(self.count) + 1), 0)
         first = np.zeros(len(self.tok), dtype=bool)
         first[self.starts] = True
-        end = int(texts["d"].split(b";")[0])
-        before = np.where(first, end, np.concatenate([[0], self.tok[:-1]]))
-        ctx, c_ctx, self.symbol, self.first = mark[before], self.count[before], mark[self.tok], first
-        for level in range(1, DEPTH + 1):
-            self._pairs(level, ctx, c_ctx)
-            self._ask(ctx)
-            rows = [r for r in told if r["level"] == level]
-            if level > done or (not rows and len(self.valid)):
-                break
-            total = self._totals(rows)
-            self._predict([r for r in told if r["level"] == -level], c_ctx, total)
-            key, n = np.zeros(len(self.tok), dtype=np.uint64), np.zeros(len(self.tok), dtype=np.int64)
-            key[self.valid], n[self.valid] = self.keys[self.inverse], total[self.inverse]
-            long = np.concatenate([[False], (n[:-1] >= least) & ~first[1:]]) if len(n) else first
-            ctx = np.where(long, np.concatenate([key[:1], key[:-1]]), np.uint64(0))
-            c_ctx = np.where(long, np.concatenate([n[:1], n[:-1]]), 0)
-
-    def _pairs(self, level: int, ctx: np.ndarray, c_ctx: np.ndarray) -> None:
-        """Distinct pairs of a frequent context and a frequent token, in the order of their hash."""
-        self.valid = np.flatnonzero((ctx > 0) & (self.symbol > 0))
-        key = _mix(ctx[self.valid] * _P1 + self.symbol[self.valid] * _P2 + np.uint64(level))
-        self.keys, self.some, self.inverse = np.unique(key, return_index=True, return_inverse=True)
-        self.pair_ctx, self.pair_c = ctx[self.valid][self.some], c_ctx[self.valid][self.some]
-        bucket = (self.keys % np.uint64(self.buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
-        self.cuts = np.searchsorted(bucket[self.order], np.arange(self.buckets + 1))
-
-    def _ask(self, ctx: np.ndarray) -> None:
-        """Distinct contexts, in the order of their bucket."""
-        self.within = np.flatnonzero(ctx > 0)
-        self.asked, self.asked_by = np.unique(ctx[self.within] & _LOW, return_inverse=True)
-        bucket = (self.asked % np.uint64(self.buckets)).astype(np.int64)
-        self.ask_order = np.argsort(bucket, kind="stable")
-        self.ask_cuts = np.searchsorted(bucket[self.ask_order], np.arange(self.buckets + 1))
-
-    def _totals(self, rows: list[dict]) -> np.ndarray:
-        total = np.zeros(len(self.keys), dtype=np.int64)
-        for row in rows:
-            b = row["bucket"]
-            total[self.order[self.cuts[b] : self.cuts[b + 1]]] = unpack_numbers(row["a"])
-        return total
-
-    def _predict(self, rows: list[dict], c_ctx: np.ndarray, total: np.ndarray) -> None:
-        kinds = np.zeros(len(self.asked), dtype=np.float64)  # 0: not retained
-        for row in rows:
-            own = self.ask_order[self.ask_cuts[row["bucket"]] : self.ask_cuts[row["bucket"] + 1]]
-            kinds[own[np.cumsum(unpack_numbers(row["a"]))]] = unpack_numbers(row["b"])
-        kinds = kinds[self.asked_by]
-        at, kinds = self.within[kinds > 0], kinds[kinds > 0]
-        c = np.zeros(len(self.tok), dtype=np.float64)
-        c[self.valid] = total[self.inverse]
-        self.p[at] = (c[at] + kinds * self.p[at]) / (c_ctx[at] + kinds)
-
-    def packed(self):
-        """(bucket, columns of its pairs) of the length that is next: pair, context, how often that stands, log10 of the shorter context's probability, training count; then the bucket's contexts."""
-        p = np.log10(self.p[self.valid[self.some]]).astype("<f2")
-        n = np.bincount(self.inverse[self.train[self.valid]], minlength=len(self.keys))
-        for b in np.flatnonzero(np.diff(self.cuts) + np.diff(self.ask_cuts)).tolist():
-            own, asked = self.order[self.cuts[b] : self.cuts[b + 1]], self.ask_order[self.ask_cuts[b] : self.ask_cuts[b + 1]]
-            yield b, six_bytes(self.keys[own]), six_bytes(self.pair_ctx[own]), pack_numbers(self.pair_c[own]), p[own].tobytes(), pack_numbers(n[own]), six_bytes(self.asked[asked])
-
-    def sums(self, tokens: int) -> pa.Table:
-        add_up = lambda x: np.add.reduceat(x, self.starts)
-        return pa.table(
-            {
-                "doc_id": pa.array(self.ids, pa.int64()),
-                "held_out": pa.array(self.held),
-                "n_tokens": pa.array(self.sizes),
-                "n_known": pa.array(add_up((self.count[self.tok] > 0).astype(np.int64))),
-                "train_tokens": pa.array(np.full(len(self.sizes), tokens, dtype=np.int64)),
-                "base_score": pa.array(add_up(np.log10(self.base)[self.tok])),
-                "score": pa.array(add_up(np.log10(self.p))),
-            }
-        )
+        back = np.concatenate([[0], number[self.tok[:-1]]])
+        back[first] = number[self.end]
+        found = [back]
+        for _ in range(1, self.of.depth):
+            back = np.concatenate([[0], back[:-1]])
+            back[first] = 0
+            back[found[-1] == 0] = 0
+            found.append(back)
+        return found
+
+    def entries(self) -> None:
+        """``history`` (a list of columns, local), ``symbol``, training counts ``n``, and which entry each token is in ``where``."""
+        cols = [*self.histories(), self.tok + 1]
+        bits, packed, room = int(len(self.word) + 1).bit_length(), [], 0
+        for c in cols:
+            if room < bits:
+                packed.append(c.astype(np.uint64))
+                room = 64 - bits
+            else:
+                packed[-1] = (packed[-1] << np.uint64(bits)) | c.astype(np.uint64)
+                room -= bits
+        order = np.lexsort(packed[::-1])
+        other = np.zeros(len(order), dtype=bool)
+        for p in packed:
+            q = p[order]
+            other[1:] |= q[1:] != q[:-1]
+        other[:1] = True
+        place = np.cumsum(other) - 1
+        self.where = np.empty(len(order), dtype=np.int64)
+        self.where[order] = place
+        some = order[other]
+        words = np.concatenate([[0], self.word])
+        self.history = [words[c[some]] for c in cols[:-1]]
+        self.symbol, self.seen = self.word[self.tok[some]], self.count[self.tok[some]]
+        self.n = np.bincount(self.where[np.repeat(~self.held, self.sizes)], minlength=len(some))
+
+    def hot(self) -> np.ndarray:
+        """Numbers of the hot contexts of each entry, a column for each length (0: not hot)."""
+        found, own = [], np.zeros(len(self.symbol), dtype=np.int64)
+        for keys, numbers, words in zip(self.of.keys, self.of.numbers, self.history, strict=False):
+            if found:
+                words = np.where(own > 0, words, 0)
+            key = (own << _SHIFT) | words
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            own = np.where((keys[at] == key) & (words > 0), numbers[at], 0)
+            found.append(own)
+        return np.array(found)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (hot context, symbol) keys in the order of their buckets, cuts of the buckets, training counts, and the symbols' counts."""
+        hot = self.hot()
+        level, entry = np.nonzero(hot)
+        symbols, back = np.unique(self.symbol[entry], return_inverse=True)  # pairs by (context, place of the symbol)
+        key = (hot[level, entry] << np.int64(22)) | back if len(symbols) < 1 << 22 else None
+        if key is None:
+            raise ValueError("a block has more than four million distinct words")
+        names, first, where = np.unique(key, return_index=True, return_inverse=True)
+        n = np.bincount(where, weights=self.n[entry], minlength=len(names)).astype(np.int64)
+        context, symbol, seen = names >> 22, self.symbol[entry][first], self.seen[entry][first]
+        bucket = (_mix(symbol.astype(np.uint64)) % np.uint64(self.of.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(self.of.buckets + 1))
+        self.pair_of = (hot, level, entry, where, order)
+        return (context[order], symbol[order], n[order], seen[order]), cuts
+
+    def known(self, answers: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of each entry after its hot contexts, and the length of the longest of these."""
+        p, length = self.of.root(self.seen), np.zeros(len(self.symbol), dtype=np.int64)
+        if self.of.keys:
+            self.pairs()
+            hot, level, entry, where, order = self.pair_of
+            told = np.empty(len(order))
+            told[order] = np.concatenate([answers[b] for b in sorted(answers)]) if len(order) else 0
+            length = (hot > 0).sum(axis=0)
+            last = level + 1 == length[entry]
+            p[entry[last]] = told[where[last]]
+        return p, length
+
+    def dealt(self, p: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries whose next longer context is yet to be looked up, in the order of their buckets, and cuts of the buckets."""
+        key = np.zeros(len(self.symbol), dtype=np.uint64)
+        open_ = np.zeros(len(self.symbol), dtype=bool)
+        for n in range(self.of.depth):
+            used = length >= n
+            key[used] = _mix(key[used] + _P1 * self.history[n][used].astype(np.uint64))
+            open_ |= (length == n) & (self.history[n] > 0)
+        some = np.flatnonzero(open_)
+        bucket = (key[some] % np.uint64(self.of.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return some[order], np.searchsorted(bucket[order], np.arange(self.of.buckets + 1))
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    """Small numbers of either sign as small numbers of 0 and more."""
+    return np.where(x < 0, -2 * x - 1, 2 * x)
+
+
+def _unsigned(x: np.ndarray) -> np.ndarray:
+    return np.where(x & 1, -(x + 1) // 2, x // 2)
+
+
+# ---- hot contexts
+
+
+def _hot_paths(coded: DataFrame, of: Settings, blocks: int, hot: int, sample: int) -> list[tuple[int, ...]]:
+    """Contexts with about ``hot`` positions or more, as their words from the last backwards; from one position in ``sample``."""
+    least = max(1, int(hot / sample / 4 / max(1, blocks)))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                block, found = Block(row, of), []
+                words = np.concatenate([[0], block.word])
+                drawn = _mix(np.arange(len(block.tok), dtype=np.uint64) + np.uint64(block.block & 0xFFFF) * _P1) % np.uint64(sample) == 0
+                cols = [words[c[drawn]] for c in block.histories()]
+                alive, group = np.arange(int(drawn.sum())), np.zeros(int(drawn.sum()), dtype=np.int64)
+                for n, col in enumerate(cols):
+                    keep = col[alive] > 0
+                    alive, group = alive[keep], group[keep]
+                    _, first, back, count = np.unique((group << _SHIFT) | col[alive], return_index=True, return_inverse=True, return_counts=True)
+                    for i in np.flatnonzero(count >= least).tolist():
+                        found.append(([int(c[alive[first[i]]]) for c in cols[: n + 1]], int(count[i])))
+                    keep = count[back] >= least
+                    alive, group = alive[keep], back[keep]
+                yield from _table([[x for x, _ in found], [x for _, x in found]], "path array<long>, n long").to_batches()
+
+    sums = coded.mapInArrow(run, "path array<long>, n long").groupBy("path").agg(F.sum("n").alias("n"))
+    return [tuple(r["path"]) for r in sums.filter(F.col("n") >= max(1, hot // sample)).select("path").collect()]
+
+
+_PAIRS = "bucket int, block long, context binary, symbol binary, n binary, seen binary"
+
+
+def _send_pairs(of: Settings):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row, of)
+                block.entries()
+                data, cuts = block.pairs()
+                full = np.flatnonzero(np.diff(cuts)).tolist()
+                packed = [[pack_numbers(x[cuts[b] : cuts[b + 1]]) for b in full] for x in data]
+                yield from _table([full, [block.block] * len(full), *packed], _PAIRS).to_batches()
+                trim()
+
+    return run
+
+
+def _totals(table: pa.Table) -> pa.Table:
+    """The bucket's distinct pairs and their counts over all blocks."""
+    context, symbol, n, seen = (np.concatenate([unpack_numbers(x) for x in table.column(c).to_pylist()]) for c in ("context", "symbol", "n", "seen"))
+    order = np.lexsort((symbol, context))
+    context, symbol, n, seen = context[order], symbol[order], n[order], seen[order]
+    first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])]))
+    data = context[first], symbol[first], np.add.reduceat(n, first), seen[first]
+    return _table([[table.column("bucket")[0].as_py()], *[[x.astype("<i8").tobytes()] for x in data]], "bucket int, context binary, symbol binary, n binary, seen binary")
+
 
+def _chain(of: Settings, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, seen: np.ndarray, to: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs sorted by (context, symbol): what the contexts of up to ``to`` words predict, and what their longest retained suffix does."""
+    after, before = np.zeros(len(n)), np.zeros(len(n))
+    symbols, back = np.unique(symbol, return_inverse=True)
+    key = context * len(symbols) + back
+    for length in range(1, to + 1):
+        own = np.flatnonzero(of.length[context] == length)
+        up = of.parent[context[own]]
+        before[own] = of.root(seen[own]) if length == 1 else after[np.searchsorted(key, up * len(symbols) + back[own])]
+        c, kinds = of.count[context[own]], of.following[context[own]]
+        after[own] = np.where(of.retained[context[own]], (n[own] + kinds * before[own]) / np.maximum(c + kinds, 1), before[own])
+    return after, before
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Totals of a bucket's pairs for each block that sent them, with the contexts they ask for, and the bucket's part of the contexts' statistics."""
-    column = lambda name, read: [read(x) for x in table.column(name).to_pylist()]
-    rows = column("key", from_six)
-    keys, first, inverse = np.unique(np.concatenate(rows), return_index=True, return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(column("n", unpack_numbers)), minlength=len(keys)).astype(np.int64)
-    cuts = np.cumsum([0, *map(len, rows)])
-    sent = [pack_numbers(total[inverse[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    first = first[total > 0]
-    c, p = total[total > 0], 10 ** np.concatenate(column("p", lambda x: np.frombuffer(x, "<f2")))[first].astype(np.float64)
-    c_ctx = np.concatenate(column("c_ctx", unpack_numbers))[first]
-    share = c / np.maximum(c_ctx, 1)
-    ctx, at, back = np.unique(np.concatenate(column("ctx", from_six))[first], return_index=True, return_inverse=True)
-    stat = np.zeros(len(ctx), dtype=_STAT)
-    stat["ctx"], stat["c_ctx"] = ctx, c_ctx[at]
-    stat["kinds"] = np.bincount(back, minlength=len(ctx))
-    for name, x in (("gain", share * np.log(share / p)), ("mass", share), ("below", p)):
-        stat[name] = np.bincount(back, weights=x, minlength=len(ctx))
-    bucket = table.column("bucket")[0].as_py()
-    blocks = [*table.column("block").to_pylist(), None]
-    asked = pa.concat_arrays([*table.column("asked").chunks, pa.array([None], pa.binary())])
-    return pa.table({"block": pa.array(blocks, pa.string()), "bucket": pa.array([bucket] * len(blocks), pa.int32()), "a": pa.array([*sent, stat.tobytes()], pa.binary()), "asked": asked})
-
-
-def _retained(met: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, ctx, kinds) of the contexts that differ enough from their parents, from the buckets' statistics."""
-
-    def rows(batches):
+
+def _read_totals(row: dict) -> list[np.ndarray]:
+    return [np.frombuffer(row[c], "<i8") for c in ("context", "symbol", "n", "seen")]
+
+
+def _describe_hot(totals: DataFrame, of: Settings) -> None:
+    """Fill in the counts, next symbols and verdicts of the hot contexts, the shorter ones first."""
+
+    def sizes(batches):
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                s = np.frombuffer(data, _STAT)
-                yield pa.RecordBatch.from_arrays([pa.array(s["ctx"].astype(np.int64)), *[pa.array(s[n]) for n in ("c_ctx", "kinds", "gain", "mass", "below")]], names=["ctx", "c_ctx", "kinds", "gain", "mass", "below"])
+            for row in batch.to_pylist():
+                context, _, n, _ = _read_totals(row)
+                names, back = np.unique(context, return_inverse=True)
+                yield from _table([names, np.bincount(back, weights=n).astype(np.int64), np.bincount(back, weights=n > 0).astype(np.int64)], "context long, n long, kinds long").to_batches()
+
+    for r in totals.mapInArrow(sizes, "context long, n long, kinds long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
+        of.count[r["context"]], of.following[r["context"]] = r["n"], r["kinds"]
+    for length in range(1, len(of.keys) + 1):
 
-    each = met.filter("block is null").select("a").mapInArrow(rows, "ctx long, c_ctx long, kinds long, gain double, mass double, below double")
-    # what the pairs do not cover is one more next symbol
-    left, under = (F.greatest(F.lit(1e-9), 1 - F.col(c)) for c in ("mass", "below"))
-    gain = F.col("gain") + left * F.ln(left / under)
-    sums = each.groupBy("ctx").agg(F.max("c_ctx").alias("c_ctx"), F.sum("kinds").alias("_kinds"), *[F.sum(c).alias(c) for c in ("gain", "mass", "below")])
-    # next symbols too rare to be told apart count as kinds of their own
-    sums = sums.withColumn("kinds", F.col("_kinds") + 1 + F.greatest(F.lit(0.0), 1 - F.col("mass")) * F.col("c_ctx"))
-    return sums.filter(gain >= MIN_DIVERGENCE).select((F.col("ctx") % buckets).cast("int").alias("bucket"), "ctx", F.round("kinds").cast("long").alias("kinds"))
+        def gains(batches, length=length):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    context, symbol, n, seen = _read_totals(row)
+                    _, before = _chain(of, context, symbol, n, seen, length)
+                    own = np.flatnonzero((of.length[context] == length) & (n > 0))
+                    share = n[own] / of.count[context[own]]
+                    names, back = np.unique(context[own], return_inverse=True)
+                    yield from _table([names, np.bincount(back, weights=share * np.log(share / before[own]), minlength=len(names))], "context long, gain double").to_batches()
 
+        for r in totals.mapInArrow(gains, "context long, gain double").groupBy("context").agg(F.sum("gain").alias("gain")).collect():
+            of.retained[r["context"]] = of.count[r["context"]] >= of.least and r["gain"] >= of.divergence
 
-def _answer(level: int):
-    """What blocks hear of the contexts they ask for: the places of the retained ones and their kinds of next symbols."""
 
+_ANSWERS = "block long, bucket int, p binary"
+
+
+def _answer_pairs(of: Settings):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ctx, kinds = (right.column(n).to_numpy() for n in ("ctx", "kinds"))
-        order = np.argsort(ctx)
-        ctx, kinds = ctx[order].astype(np.uint64), kinds[order]
-        out = []
-        for block, bucket, asked in zip(*(left.column(n).to_pylist() for n in ("block", "bucket", "asked")), strict=True) if len(ctx) else ():
-            asked = from_six(asked)
-            at = np.minimum(np.searchsorted(ctx, asked), len(ctx) - 1)
-            found = np.flatnonzero(ctx[at] == asked)
-            if len(found):
-                out.append((block, bucket, pack_numbers(np.diff(found, prepend=0)), pack_numbers(kinds[at[found]])))
-        column = lambda i, kind: pa.array([x[i] for x in out], kind)
-        return pa.table({"block": column(0, pa.string()), "level": pa.array([-level] * len(out), pa.int32()), "bucket": column(1, pa.int32()), "a": column(2, pa.binary()), "b": column(3, pa.binary()), "c": pa.array([None] * len(out), pa.binary())})
+        if not left.num_rows:
+            return _table([[]] * 3, _ANSWERS)
+        context, symbol, n, seen = _read_totals(right.to_pylist()[0])
+        after, _ = _chain(of, context, symbol, n, seen, len(of.keys))
+        symbols = np.unique(symbol)
+        key, out = context * len(symbols) + np.searchsorted(symbols, symbol), []
+        for c, s in zip(left.column("context").to_pylist(), left.column("symbol").to_pylist(), strict=True):
+            at = np.searchsorted(key, unpack_numbers(c) * len(symbols) + np.searchsorted(symbols, unpack_numbers(s)))
+            out.append(after[at].astype("<f8").tobytes())
+        return _table([left.column("block").to_pylist(), left.column("bucket").to_pylist(), out], _ANSWERS)
 
     return run
 
 
-def scores(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
-    spark, docs = docs.sparkSession, columns(docs, "doc_id", "text")
-    bytes_in = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(max(8, -(-bytes_in // BUCKET_BYTES)))
-    blocks = materialise(_blocks(docs, buckets), "blocks")
-    words = blocks.filter("bucket >= 0").select("block", "bucket", "a", "b", "c")
-
-    trained = blocks.filter("bucket = -1").agg(F.sum(F.split(F.col("d").cast("string"), ";")[1].cast("long")))
-    tokens = int(trained.first()[0] or 0)
-    least = MIN_COUNT
-
-    def tell(table: pa.Table) -> pa.Table:
-        names, total, where = _words_of(table)
-        mark = np.array([xxhash.xxh3_64_intdigest(w, seed=1) | 1 for w in names], dtype=np.uint64)
-        own = table.num_rows
-        marks = [six_bytes(mark[at][total[at] >= least]) for at in where]
-        return pa.table(
-            {
-                "block": pa.concat_arrays([table.column("block").combine_chunks(), pa.array([None], pa.string())]),
-                "level": pa.array([0] * (own + 1), pa.int32()),
-                "bucket": pa.array([0] * (own + 1), pa.int32()),
-                "a": pa.concat_arrays([table.column("b").combine_chunks(), pa.array([None], pa.binary())]),
-                "b": pa.array([*[pack_numbers(total[at]) for at in where], None], pa.binary()),
-                "c": pa.array([*marks, None], pa.binary()),
-                "kinds": pa.array([*[None] * own, int((total > 0).sum())], pa.int64()),
-            }
-        )
+# ---- subtrees
 
-    answer = "block string, level int, bucket int, a binary, b binary, c binary"
-    told = materialise(words.groupBy("bucket").applyInArrow(tell, answer + ", kinds long"), "told")
-    texts = materialise(blocks.filter("bucket = -1").select("block", "ids", "a", "b", "c", "d"), "texts")
-    discard(blocks)
-    del words
-    release(spark)
-    kinds = int(told.agg(F.sum("kinds")).first()[0] or 0)
-    names = ["block", "level", "bucket", "a", "b", "c"]
-    known = told.filter("block is not null").select(*names)
-
-    def block_of(left: pa.Table, right: pa.Table, done: int) -> Block:
-        rows = right.to_pylist()
-        return Block(left.to_pylist()[0], rows, tokens, kinds, least, done, buckets)
-
-    def sender(done: int):
-        def emit(left: pa.Table, right: pa.Table) -> pa.Table:
-            got = list(block_of(left, right, done).packed()) if left.num_rows else []
-            name = left.column("block")[0].as_py() if left.num_rows else None
-            sent = {k: pa.array([x[i] for x in got], pa.binary()) for i, k in enumerate(("key", "ctx", "c_ctx", "p", "n", "asked"), 1)}
-            return pa.table({"bucket": pa.array([x[0] for x in got], pa.int32()), "block": pa.array([name] * len(got), pa.string()), **sent})
-
-        return emit
-
-    for level in range(1, DEPTH + 1):
-        pairs = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(sender(level - 1), "bucket int, block string, key binary, ctx binary, c_ctx binary, p binary, n binary, asked binary")
-        met = materialise(pairs.groupBy("bucket").applyInArrow(_meet, "block string, bucket int, a binary, asked binary"), "met")
-        asked = met.filter("length(asked) > 0").select("block", "bucket", "asked")
-        heard = materialise(asked.groupBy("bucket").cogroup(_retained(met, buckets).groupBy("bucket")).applyInArrow(_answer(level), answer), "heard")
-        back = met.filter("block is not null").select("block", F.lit(level).alias("level"), "bucket", "a", F.lit(None).cast("binary").alias("b"), F.lit(None).cast("binary").alias("c"))
-        known = known.unionByName(back).unionByName(heard)
-        del pairs
-        release(spark)
 
-    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+def _entry_schema(depth: int) -> str:
+    return "bucket int, block long, " + "".join(f"h{n} binary, " for n in range(1, depth + 1)) + "symbol binary, n binary, seen binary, skip binary, p binary"
+
+
+def _send_entries(of: Settings):
+    """A block's entries for the buckets. Where a hot context has been looked up, its length and the probability after it come along."""
+    schema = _entry_schema(of.depth)
+
+    def emit(row: dict, answers: dict[int, np.ndarray]) -> pa.Table:
+        block = Block(row, of)
+        block.entries()
+        p, length = block.known(answers)
+        some, cuts = block.dealt(p, length)
+        full, out = np.flatnonzero(np.diff(cuts)).tolist(), []
+        for b in full:
+            own = some[cuts[b] : cuts[b + 1]]
+            skip = length[own]
+            history = [pack_numbers(_signed(np.diff(block.history[0][own], prepend=0))), *[pack_numbers(h[own]) for h in block.history[1:]]]
+            out.append((b, block.block, *history, pack_numbers(block.symbol[own]), pack_numbers(block.n[own]), pack_numbers(block.seen[own]), skip.astype("u1").tobytes(), p[own][skip > 0].astype("<f8").tobytes()))
+        trim()
+        return _table(list(zip(*out, strict=True)) or [[]] * (of.depth + 7), schema)
+
+    def alone(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from emit(row, {}).to_batches()
+
+    def with_answers(left: pa.Table, right: pa.Table) -> pa.Table:
+        return emit(left.to_pylist()[0], _answers(right)) if left.num_rows else _table([[]] * (of.depth + 7), schema)
+
+    return with_answers if of.keys else alone
+
+
+def _answers(table: pa.Table) -> dict[int, np.ndarray]:
+    return {b: np.frombuffer(p, "<f8") for b, p in zip(table.column("bucket").to_pylist(), table.column("p").to_pylist(), strict=True)}
+
+
+def subtree(history: list[np.ndarray], symbol: np.ndarray, n: np.ndarray, p: np.ndarray, skip: np.ndarray, least: int, divergence: float) -> np.ndarray:
+    """The probabilities of entries (history from the last word backwards, symbol, training count) after all their contexts. ``p``: before, ``skip``: how many words of history that has used."""
+    p, group, alive = p.copy(), np.zeros(len(symbol), dtype=np.int64), np.arange(len(symbol))
+    for length, words in enumerate(history, 1):
+        alive = alive[words[alive] > 0]
+        if not len(alive):
+            break
+        _, g = np.unique((group[alive] << _SHIFT) | words[alive], return_inverse=True)
+        own, stands = skip[alive] < length, np.bincount(g, weights=n[alive])
+        stay = ~own | (stands[g] >= least)
+        alive, g, own = alive[stay], g[stay], own[stay]
+        pairs, first, back = np.unique((g << _SHIFT) | symbol[alive], return_index=True, return_inverse=True)
+        c, context = np.bincount(back, weights=n[alive], minlength=len(pairs)), pairs >> _SHIFT
+        seen = c > 0
+        share = c[seen] / stands[context[seen]]
+        kinds = np.bincount(context[seen], minlength=len(stands))
+        gain = np.bincount(context[seen], weights=share * np.log(share / p[alive[first[seen]]]), minlength=len(stands))
+        use = own & (gain >= divergence)[g]
+        at, g_at = alive[use], g[use]
+        p[at] = (c[back[use]] + kinds[g_at] * p[at]) / (stands[g_at] + kinds[g_at])
+        group[alive] = g
+    return p
+
+
+def _grow(of: Settings):
+    def run(table: pa.Table) -> pa.Table:
+        read = lambda c: [unpack_numbers(x) for x in table.column(c).to_pylist()]
+        first = [np.cumsum(_unsigned(x)) for x in read("h1")]
+        cuts = np.cumsum([0, *map(len, first)])
+        if cuts[-1] >= 1 << 23:
+            raise ValueError("a bucket has more than eight million entries: lower HOT or BUCKET_TOKENS")
+        history = [np.concatenate(first), *[np.concatenate(read(f"h{n}")) for n in range(2, of.depth + 1)]]
+        del first
+        skip = np.concatenate([np.frombuffer(x, "u1") for x in table.column("skip").to_pylist()]).astype(np.int64)
+        p = of.root(np.concatenate(read("seen")))
+        p[skip > 0] = np.concatenate([np.frombuffer(x, "<f8") for x in table.column("p").to_pylist()])
+        p = subtree(history, np.concatenate(read("symbol")), np.concatenate(read("n")), p, skip, of.least, of.divergence)
+        out = [p[a:b].astype("<f4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        trim()
+        return _table([table.column("block").to_pylist(), table.column("bucket").to_pylist(), out], _ANSWERS)
+
+    return run
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _add_up(of: Settings):
+    """The rows of a block's texts from the answers: kind 0 of the pairs with hot contexts, kind 1 of the subtrees."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.schema(list(zip(_OUT, _KINDS, strict=True))).empty_table()
-        return block_of(left, right, DEPTH).sums(tokens)
+            return _table([[]] * 7, _SCORES)
+        block = Block(left.to_pylist()[0], of)
+        block.entries()
+        kind = right.column("kind").to_numpy() if right.num_rows else np.zeros(0)
+        p, length = block.known(_answers(right.filter(pa.array(kind == 0))) if right.num_rows else {})
+        some, _ = block.dealt(p, length)
+        if len(some):
+            told = right.filter(pa.array(kind == 1))
+            rows = told.column("p").to_pylist()
+            p[some] = np.concatenate([np.frombuffer(rows[i], "<f4") for i in np.argsort(told.column("bucket").to_numpy())])
+        add = lambda x: np.add.reduceat(x, block.starts)
+        base = np.log10(of.root(block.count))[block.tok]
+        out = [block.ids, block.held, block.sizes, add((block.count[block.tok] > 0).astype(np.int64)), [of.tokens] * len(block.ids), add(base), add(np.log10(p)[block.where])]
+        trim()
+        return _table(out, _SCORES)
 
-    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return run
 
 
-_OUT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-_KINDS = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+def scores(docs: DataFrame, depth: int = DEPTH, least: int = MIN_COUNT, divergence: float = MIN_DIVERGENCE, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
+    spark, docs = docs.sparkSession, columns(docs, "doc_id", "text")
+    bytes_in = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    word_buckets = int(max(8, -(-bytes_in // WORD_BUCKET_BYTES)))
+    blocks = materialise(_blocks(docs, word_buckets), "blocks")
+    words = blocks.filter("bucket is not null").select(*[x.split()[0] for x in _WORDS.split(", ")])
+    told = materialise(words.groupBy("bucket").applyInArrow(_tell(word_buckets), _TOLD), "told")
+    totals = told.agg(F.sum("tokens"), F.sum("kinds")).first()
+    texts = blocks.filter("bucket is null").select(*[x.split()[0] for x in _TEXTS.split(", ")])
+    coded = materialise(texts.groupBy("block").cogroup(told.filter("block is not null").select("block", "numbers", "globals", "counts").groupBy("block")).applyInArrow(_coded, _CODED), "coded")
+    discard(blocks)
+    discard(told)
+    release(spark)
+    held = coded.agg(F.count("*"), F.sum(F.octet_length("tokens"))).first()
+    of = Settings(int(totals[0] or 0), int(totals[1] or 0), depth, least, divergence, int(max(8, (held[1] or 0) // 2 // BUCKET_TOKENS)))
+    of.add_hot(_hot_paths(coded, of, held[0], hot, sample))
+
+    answers = None
+    if of.keys:
+        sent = materialise(coded.mapInArrow(_send_pairs(of), _PAIRS), "pairs")
+        pairs = materialise(sent.groupBy("bucket").applyInArrow(_totals, "bucket int, context binary, symbol binary, n binary, seen binary"), "totals")
+        _describe_hot(pairs, of)
+        told_pairs = sent.select("bucket", "block", "context", "symbol").groupBy("bucket").cogroup(pairs.groupBy("bucket"))
+        answers = materialise(told_pairs.applyInArrow(_answer_pairs(of), _ANSWERS), "answers")
+        discard(sent)
+        discard(pairs)
+        release(spark)
+        entries = coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_entries(of), _entry_schema(depth))
+    else:
+        entries = coded.mapInArrow(_send_entries(of), _entry_schema(depth))
+    grown = materialise(entries.groupBy("bucket").applyInArrow(_grow(of), _ANSWERS), "grown").withColumn("kind", F.lit(1))
+    del entries
+    release(spark)
+    heard = grown if answers is None else grown.unionByName(answers.withColumn("kind", F.lit(0)))
+    return coded.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(_add_up(of), _SCORES)
