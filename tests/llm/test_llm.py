@@ -567,19 +567,21 @@ def test_recall_of_paraphrases_against_brute_force(spark, sf, docs, rows, monkey
     assert len(got) >= 0.9 * len(want), (len(got), len(want))
 
 
-def test_all_passages_are_tried(spark):
+def test_all_passages_are_tried(spark, docs, rows):
     """A window with the longer subsequence, but not the answer, does not hide one with the answer."""
-    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi rho sigma tau upsilon. The answer is seven."
-    ws = item.split()
-    leak = [*ws[:4], "x1", "x2", "x3", "x4", "x5", "x6", "x7", "x8", *ws[12:16], "x9", "x10", "x11", *ws[19:]]
-    other = [*ws[:15], "y1", "y2", "y3", "y4", "y5", "y6", "y7", "y8"]
-    far = [f"z{i}" for i in range(200)]
-    docs = frame(spark, [" ".join([*far, *leak, *far]), " ".join([*far, *leak, *far, *other, *far]), " ".join([*far, *other, *far])])
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    index = decontaminate.Index(decontaminate.learn(docs.select("doc_id", "text")), [(1, item)])
-    want = {k for k, t in enumerate(docs.orderBy("doc_id").collect()) if held_by_brute_force(index, decontaminate.words(t["text"]))}
-    assert {0, 1} <= want
-    assert {r["doc_id"] for r in decontaminate.leaks(docs, bench).collect()} == want
+    corpus = [w.decode() for _, t in rows for w in decontaminate.words(t)]
+    pick = random.Random(9)
+    words = lambda n: pick.sample(corpus, n)
+    ws = [*words(19), "the", "answer", "is", "seven"]
+    item = " ".join(ws[:19]) + ". The answer is seven."
+    leak, other = [*ws[:4], *words(6), *ws[10:16], *words(3), *ws[19:]], [*ws[:15], *words(8)]
+    texts = [" ".join(x) for x in ([*words(200), *leak, *words(200)], [*words(200), *leak, *words(200), *other, *words(200)], [*words(200), *other, *words(200)])]
+    made = frame(spark, texts, [10_000, 10_001, 10_002])
+    every, bench = docs.unionByName(made), spark.createDataFrame([(1, item)], "item_id long, text string")
+    index = decontaminate.Index(decontaminate.learn(every.select("doc_id", "text")), [(1, item)])
+    want = {10_000 + k for k, t in enumerate(texts) if held_by_brute_force(index, decontaminate.words(t))}
+    assert want == {10_000, 10_001}
+    assert {r["doc_id"] for r in decontaminate.leaks(every, bench).collect()} == want
 
 
 def test_large_benchmarks_are_read_in_blocks(spark, sf, docs, monkeypatch):
