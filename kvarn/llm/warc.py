@@ -5,7 +5,8 @@ with its plain text and a ``metadata`` record with its title, language and links
 id and keep its target URI, date, source headers and digests. ``serialise`` and ``parse`` write and read the records'
 bytes as WARC 1.1, so archives round-trip.
 
-Null urls become ``urn:page:<id>``, null html is an empty payload; identical rows give identical records.
+Null urls become ``urn:page:<id>``, null html is an empty payload; identical rows give identical records. Long pages and pages
+with elements, comments or quotes left open are read in time proportional to their length; see ``scan``.
 """
 
 from __future__ import annotations
@@ -17,22 +18,28 @@ import json
 import re
 import uuid
 import zlib
+from dataclasses import dataclass, field
 from urllib.parse import urljoin
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import columns
 
 CRLF = b"\r\n"
 RECORD_DATE = "1970-01-01T00:00:00Z"  # pages carry no date
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head)\b.*?</\1\s*>", re.I | re.S)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|nav|header|footer|blockquote|pre|td|th|title|hr)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_BLANKS, _LINES = re.compile(r"[ \t\r\f\v]+"), re.compile(r"\s*\n\s*")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<(a|link|img|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements that begin a line, those that may stand in a head, those whose content is not shown.
+_BREAKS = set("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article nav header footer blockquote pre td th hr".split())
+_OF_HEAD = set("head title meta link script style base noscript template".split())
+_UNSEEN = {"noscript", "template"}
+_LINKS = {"a": "href", "link": "href", "img": "src", "script": "src", "iframe": "src"}
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in ("script", "style", "title")}
+_ATTRIBUTE = re.compile(r"(?<![\w:-])([a-zA-Z][\w:-]*+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+_BLANKS = re.compile(r"[ \t\r\f\v]+")
+PART_BYTES = 8_000_000
 
 
 def digest(block: bytes) -> str:
@@ -44,22 +51,108 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(parts))}>"
 
 
+@dataclass
+class Page:
+    """What a page shows and points to."""
+
+    text: str = ""
+    title: str = ""
+    language: str = ""
+    links: list[tuple[str, str, str]] = field(default_factory=list)  # element, attribute, value
+
+
+def _attributes(tag: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(tag):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def scan(page: str) -> Page:
+    """Read a page from front to back, once: time grows with its length, whatever is left open.
+
+    A comment, script, style or title without an end goes on to the end of the page, as in browsers; a head ends at the
+    first element that cannot stand in one. A tag ends at the next ``>``; a ``<`` that no letter, slash, ``!`` or ``?`` follows is text.
+    """
+    out, shown, at, end = Page(), [], 0, len(page)
+    hidden: list[str] = []  # open noscript and template elements
+    in_head = False
+    titled = False
+    while at < end:
+        lt = page.find("<", at)
+        if lt < 0:
+            lt = end
+        if lt > at and not hidden and not in_head:
+            shown.append(page[at:lt])
+        if lt == end:
+            break
+        if page.startswith("<!--", lt):
+            stop = page.find("-->", lt + 4)
+            at = end if stop < 0 else stop + 3
+            shown.append(" ")
+            continue
+        stop = page.find(">", lt)
+        follows = page[lt + 1 : lt + 2]
+        if not (follows.isascii() and follows.isalpha() or follows in ("/", "!", "?")) or stop < 0:
+            # text; without any further ">" no tag can come, and the rest is text as well
+            to = lt + 1 if stop >= 0 else end
+            if not hidden and not in_head:
+                shown.append(page[lt:to])
+            at = to
+            continue
+        at, m = stop + 1, _NAME.match(page, lt, stop)
+        if m is None:
+            continue
+        name, closing, tag = m[1].lower(), follows == "/", page[lt:stop]
+        if in_head and (name == "head" and closing or name not in _OF_HEAD):
+            in_head = False
+        if name in _UNSEEN:
+            if not closing:
+                hidden.append(name)
+            elif name in hidden:
+                while hidden.pop() != name:
+                    pass
+            shown.append(" ")
+        elif name == "head" and not closing:
+            in_head = True
+            shown.append(" ")
+        if closing:
+            if name in _BREAKS:
+                shown.append("\n")
+            continue
+        if name in _LINKS and (value := _attributes(tag).get(_LINKS[name])) is not None:
+            out.links.append((name, _LINKS[name], value))
+        if name == "html" and not out.language:
+            out.language = _attributes(tag).get("lang", "").lower()
+        if name in _RAW_END:
+            found = _RAW_END[name].search(page, at)
+            stop = end if found is None else found.start()
+            if name == "title" and not titled and "template" not in hidden:
+                out.title, titled = entities.unescape(page[at:stop]).strip(), True
+            at = stop
+            shown.append(" ")
+        elif name in _BREAKS:
+            shown.append("\n")
+    plain = _BLANKS.sub(" ", entities.unescape("".join(shown)))
+    out.text = "\n".join(x for line in plain.split("\n") if (x := line.strip()))
+    return out
+
+
 def text_of(page: str) -> str:
     """The visible text: a line for each block element, entities decoded, blanks collapsed."""
-    shown = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
-    return _LINES.sub("\n", _BLANKS.sub(" ", entities.unescape(shown))).strip()
+    return scan(page).text
 
 
-def links_of(page: str, base: str) -> list[dict[str, str]]:
+def links_of(page: str | Page, base: str) -> list[dict[str, str]]:
     """Links in their order: the element and attribute, and the absolute address."""
     found = []
-    for tag, attr, a, b, c in _LINK.findall(page):
-        at = entities.unescape(a or b or c).strip()
+    for tag, attr, value in (scan(page) if isinstance(page, str) else page).links:
+        at = entities.unescape(value).strip()
         try:
             full = urljoin(base, at)
         except ValueError:
             full = at
-        found.append({"path": f"{tag.upper()}@/{attr.lower()}", "url": full})
+        found.append({"path": f"{tag.upper()}@/{attr}", "url": full})
     return found
 
 
@@ -112,7 +205,8 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[str, list[t
     page, target, source = payload.decode("utf-8", "replace"), headers["WARC-Target-URI"], headers["WARC-Record-ID"]
     status, *fields = http.decode("utf-8", "replace").split("\r\n")
     kept = {k: v for k, _, v in (x.partition(": ") for x in fields)}
-    text, links = text_of(page), links_of(page, target)
+    read = scan(page)
+    links = links_of(read, target)
     about = {
         "Envelope": {
             "WARC-Header-Metadata": headers,
@@ -121,8 +215,8 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[str, list[t
                     "Response-Message": status,
                     "Headers": kept,
                     "HTML-Metadata": {
-                        "Title": entities.unescape(m[1]).strip() if (m := _TITLE.search(page)) else "",
-                        "Language": m[1].lower() if (m := _LANG.search(page)) else "",
+                        "Title": read.title,
+                        "Language": read.language,
                         "Links": links,
                     },
                 }
@@ -149,7 +243,7 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[str, list[t
         )
 
     return [
-        record("conversion", "text/plain; charset=utf-8", text.encode()),
+        record("conversion", "text/plain; charset=utf-8", read.text.encode()),
         record("metadata", "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True).encode()),
     ]
 
@@ -162,8 +256,12 @@ def derive(pages: DataFrame) -> DataFrame:
 
     def build(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # a few MB of records at a time
-                part, out = batch.slice(at, 256), []
+            size = np.cumsum(np.array([x or 0 for x in pc.binary_length(batch.column(2)).to_pylist()], dtype=np.int64))
+            at = 0
+            while at < batch.num_rows:  # a few MB of records at a time
+                to = min(batch.num_rows, at + 256, max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART_BYTES, side="right"))))
+                part, out = batch.slice(at, to - at), []
+                at = to
                 for page_id, url, page in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     headers, block = response(page_id, url, page)
                     source = dict(headers)
