@@ -1,25 +1,28 @@
-"""License scans: an exact set-similarity join of text blocks (lines) with license templates, and named phrases.
+"""License scans: an exact set-similarity join of text blocks with license templates, and named phrases.
 
-A block meets a template if it holds at least ``CONTAINMENT`` of the template's distinct words. Template words are
-ordered from rare to frequent by the number of documents that have them, counted over all documents; a block that meets
+A block is a line, or a run of 2 to ``RUN`` adjacent lines without a blank one among them, as notices are often wrapped.
+It meets a template if it holds at least ``CONTAINMENT`` of the template's distinct words; a run must also have at most ``DILUTION``
+times as many distinct words as the template, so that long paragraphs do not gather its words by chance.
+Template words are ordered from rare to frequent by the number of documents that have them, counted over all documents; a block that meets
 a template of n words with need k = ceil(CONTAINMENT * n) must hold one of its first n - k + 1 words (prefix), have at
 least k words itself (length), and, where its first common word is the template's p-th, still have n - p >= k - 1
-words to come (position). Blocks that pass are compared in full, so the join is exact. The templates are fixed and few;
-the index of their prefixes is part of the plan, each row is joined where it is read, and no text is shuffled.
+words to come (position). Blocks that pass are compared in full, so the join is exact. The index from prefix words to templates is a
+constant of the plan, so any table of a few hundred templates can be given; each row is joined where it is read, and no text is shuffled.
 
 Phrases are found anywhere, also across lines. Null and empty texts hold nothing; repeated rows are scanned one by one.
 """
 
 from __future__ import annotations
 
+import json
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import ascii_lower, columns
 
-CONTAINMENT = 0.8
+CONTAINMENT, RUN, DILUTION = 0.8, 4, 2
 #: Phrases and the labels of places where their words stand one after another.
 PHRASES = {
     "under the mit license": "mit",
@@ -59,7 +62,7 @@ def n_words(text: Column) -> Column:
 
 def block_words(block: Column) -> Column:
     """The distinct words of a block, in lower case."""
-    return F.array_distinct(F.split(F.lower(block), _GAP + "+"))
+    return F.array_distinct(F.split(ascii_lower(block), _GAP + "+"))
 
 
 def need(n: int, containment: float = CONTAINMENT) -> int:
@@ -69,7 +72,7 @@ def need(n: int, containment: float = CONTAINMENT) -> int:
 def frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
     """How many documents hold each template word: one pass over all texts, a row for each template word."""
     known = sorted({w for _, t in templates for w in t.split()})
-    held = F.array_intersect(F.split(F.lower(F.coalesce("text", F.lit(""))), _GAP + "+"), F.array(*[F.lit(w) for w in known]))
+    held = F.array_intersect(F.split(ascii_lower(F.coalesce("text", F.lit(""))), _GAP + "+"), F.array(*[F.lit(w) for w in known]))
     got = docs.select(F.explode(held).alias("w")).groupBy("w").count().collect()
     return {w: 0 for w in known} | {r["w"]: r["count"] for r in got}
 
@@ -84,42 +87,62 @@ def prefixes(frequency: dict[str, int], templates=TEMPLATES, containment: float
     return found
 
 
-def _met(label: str, ordered: list[str], k: int, prefix: list[str]) -> Column:
-    """The blocks of ``_blocks`` that meet one template."""
-    n, full, first = len(ordered), F.array(*[F.lit(w) for w in ordered]), F.array(*[F.lit(w) for w in prefix])
-
-    def common(b: Column) -> Column:
-        return F.array_intersect(full, b["words"])
-
-    def meets(b: Column) -> Column:
-        # the template's words are in order, so the first common one comes first in the intersection
-        position = F.array_position(full, F.get(common(b), F.lit(0)))
-        return (F.size(b["words"]) >= k) & F.arrays_overlap(b["words"], first) & (n - position >= k - 1) & (F.size(common(b)) >= k)
-
-    def pair(b: Column) -> Column:
-        return F.struct(b["block"].alias("block"), F.lit(label).alias("label"), (F.size(common(b)) / n).alias("containment"))
-
-    return F.transform(F.filter("_blocks", meets), pair)
+def _constant(value, kind: str) -> Column:
+    """A nested value, folded to a constant of the plan."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """The row as ``_row`` and ``_text``, with ``_found``: an array of (block, label, containment), one for each block and template that meet."""
+    """The row as ``_row`` and ``_text``, with ``_found``: an array of (block, lines, label, containment), one for each block and template that meet."""
     index = prefixes(frequencies(docs, templates), templates, containment)
     rare = sorted({w for _, _, _, prefix in index for w in prefix})
     any_rare = f"(?i)(?<!{_WORD})(?:{'|'.join(rare)})(?!{_WORD})"
+    of_word = _constant({w: [i for i, entry in enumerate(index) if w in entry[3]] for w in rare}, "map<string,array<int>>")
+    entries = _constant([{"label": label, "words": ordered, "need": k} for label, ordered, k, _ in index], "array<struct<label:string,words:array<string>,need:int>>")
     step = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(docs["text"], F.lit("")).alias("_text"))
-    numbered = F.transform(F.split("_text", "\n"), lambda b, i: F.struct(i.alias("block"), b.alias("text")))
-    likely = F.filter(numbered, lambda b: b["text"].rlike(any_rare))
-    blocks = F.transform(likely, lambda b: F.struct(b["block"].alias("block"), block_words(b["text"]).alias("words")))
-    step = step.withColumn("_blocks", F.when(F.col("_text").rlike(any_rare), blocks))
-    found = [_met(*entry) for entry in index]
-    return step.withColumn("_found", F.when(F.col("_blocks").isNotNull(), F.concat(*found))).drop("_blocks")
+    step = step.withColumn("_lines", F.when(F.col("_text").rlike(any_rare), F.split("_text", "\n")))
+    marked = F.transform("_lines", lambda b: F.struct(b.alias("text"), b.rlike(_WORD).alias("full"), b.rlike(any_rare).alias("rare")))
+    step = step.withColumn("_marked", marked)
+
+    def runs(lines: int) -> Column:
+        """Runs of so many lines that may meet a template: all have a word, and one has a prefix word."""
+        at = F.sequence(F.lit(0), F.size("_marked") - lines)
+        part = lambda i: F.slice("_marked", i + 1, lines)
+        whole = lambda i: F.exists(part(i), lambda b: b["rare"]) & F.forall(part(i), lambda b: b["full"])
+        words = lambda i: block_words(F.array_join(F.transform(part(i), lambda b: b["text"]), "\n"))
+        found = F.transform(F.filter(at, whole), lambda i: F.struct(i.alias("block"), F.lit(lines).alias("lines"), words(i).alias("words")))
+        return F.when(F.size("_marked") >= lines, found).otherwise(F.slice(F.array(F.struct(F.lit(0).alias("block"), F.lit(0).alias("lines"), F.array().cast("array<string>").alias("words"))), 1, 0))
+
+    step = step.withColumn("_blocks", F.when(F.col("_marked").isNotNull(), F.concat(*[runs(n) for n in range(1, RUN + 1)])))
+    # blocks and the templates that they share a prefix word with
+    candidates = F.flatten(
+        F.transform(
+            "_blocks",
+            lambda b: F.transform(
+                F.array_distinct(F.flatten(F.transform(b["words"], lambda w: F.coalesce(F.element_at(of_word, w), F.array().cast("array<int>"))))),
+                lambda t: F.struct(b["block"].alias("block"), b["lines"].alias("lines"), b["words"].alias("words"), F.get(entries, t).alias("t")),
+            ),
+        )
+    )
+    step = step.withColumn("_candidates", candidates)
+
+    def compared(c: Column) -> Column:
+        # the template's words are in order, so the first common one comes first in the intersection
+        common = F.array_intersect(c["t"]["words"], c["words"])
+        position = F.array_position(c["t"]["words"], F.get(common, F.lit(0)))
+        return F.struct(c["block"].alias("block"), c["lines"].alias("lines"), c["t"]["label"].alias("label"), c["t"]["need"].alias("need"), F.size(c["t"]["words"]).alias("n"), position.alias("position"), F.size(common).alias("common"))
+
+    long_enough = F.filter("_candidates", lambda c: (F.size(c["words"]) >= c["t"]["need"]) & ((c["lines"] == 1) | (F.size(c["words"]) <= DILUTION * F.size(c["t"]["words"]))))
+    step = step.withColumn("_compared", F.transform(long_enough, compared))
+    met = F.filter("_compared", lambda c: (c["n"] - c["position"] >= c["need"] - 1) & (c["common"] >= c["need"]))
+    found = F.transform(met, lambda c: F.struct(c["block"].alias("block"), c["lines"].alias("lines"), c["label"].alias("label"), (c["common"] / c["n"]).alias("containment")))
+    return step.withColumn("_found", found).select("_row", "_text", "_found")
 
 
 def block_matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """The join's pairs: doc_id, block (line number from 0), label, containment."""
+    """The join's pairs: doc_id, block (number of its first line from 0), lines, label, containment."""
     hit = matches(columns(docs, "doc_id", "text"), templates, containment).select(F.col("_row.doc_id").alias("doc_id"), F.explode("_found").alias("m"))
-    return hit.select("doc_id", "m.block", "m.label", "m.containment")
+    return hit.select("doc_id", "m.block", "m.lines", "m.label", "m.containment")
 
 
 def scan(docs: DataFrame) -> DataFrame:

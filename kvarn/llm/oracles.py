@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER
-from .license_scan import PHRASES, TEMPLATES, need
+from .license_scan import DILUTION, PHRASES, RUN, TEMPLATES, need
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -13,7 +13,7 @@ def _list(words) -> str:
 
 
 def license_sql() -> str:
-    """Base phrases by word positions; templates by the words that lines share with them, without filters."""
+    """Base phrases by word positions; templates by the words that lines and runs of lines share with them, without filters."""
     places, labels = [], []
     for k, (phrase, label) in enumerate(PHRASES.items()):
         test = " and ".join(f"w[i+{j}]='{x}'" for j, x in enumerate(phrase.split()))
@@ -22,14 +22,21 @@ def license_sql() -> str:
     best, found, scores = [], [], []
     for k, (label, text) in enumerate(TEMPLATES):
         words = sorted(set(text.split()))
-        best.append(f"coalesce(list_max(list_transform(blocks, lambda b: len(list_intersect(b, {_list(words)})))),0) as m{k}")
+        fits = f"b.n=1 or len(b.w)<={DILUTION * len(words)}"
+        best.append(f"coalesce(list_max(list_transform(list_filter(blocks, lambda b: {fits}), lambda b: len(list_intersect(b.w, {_list(words)})))),0) as m{k}")
         found.append(f"case when m{k}>={need(len(words))} then ['{label}'] else [] end")
         scores.append(f"case when m{k}>={need(len(words))} then m{k}/{len(words)}.0::double else 0.0::double end")
     every = lambda parts: "flatten([" + ",".join(parts) + "])"
     joined = lambda parts: f"coalesce(array_to_string(list_sort(list_distinct({every(parts)})), ','),'')"
+    # blocks: lines, and runs of adjacent lines that all have a word
+    runs = [
+        f"list_transform(list_filter(range(1,len(l)-{n}+2), lambda i: len(list_filter(l[i:i+{n}-1], lambda x: len(x)=0))=0), lambda i: {{'n':{n}, 'w':list_distinct(flatten(l[i:i+{n}-1]))}})"
+        for n in range(1, RUN + 1)
+    ]
     return (
-        f"with d as (select doc_id, regexp_extract_all(translate(coalesce(text,''),'{UPPER}','{LOWER}'), '{_WORDS}') as w, "
-        f"list_transform(string_split(coalesce(text,''), chr(10)), lambda l: list_distinct(regexp_extract_all(lower(l), '{_WORDS}'))) as blocks from documents), "
+        f"with t as (select doc_id, translate(coalesce(text,''),'{UPPER}','{LOWER}') as x from documents), "
+        f"s as (select doc_id, regexp_extract_all(x, '{_WORDS}') as w, list_transform(string_split(x, chr(10)), lambda y: regexp_extract_all(y, '{_WORDS}')) as l from t), "
+        f"d as (select doc_id, w, {'||'.join(runs)} as blocks from s), "
         f"p as (select doc_id, w, {', '.join(places)}, {', '.join(best)} from d) "
         f"select doc_id, len(w) as n_words, len(p0)+len(p1)+len(p2) as n_base, list_min(p0||p1||p2)-1 as first_word, list_max(p0||p1||p2)-1 as last_word, "
         f"{joined(labels)} as base_labels, {joined(labels + found)} as labels, greatest({', '.join(scores)}, case when len(p0)+len(p1)+len(p2)>0 then 1.0::double else 0.0::double end) as score from p"
