@@ -5,11 +5,14 @@ hexadecimal secrets, and persons after a form of address (which tells the gender
 the key, the type, the entity in lower case and a try number: digits stand for digits, letters for letters of the same
 case and script, a phone keeps its country code, a card its check digit's validity, a person its form of address and
 gender. So an entity has one replacement in the whole corpus (coreference). Different entities that draw the same replacement, or
-a replacement that is itself an entity of the corpus, draw again, all but the least of them, until all are distinct.
-
-The table of entities is built by distributed aggregation and joined by entity; only texts that hold entities are
-written and rejoined, by their digest. Null and empty texts stay as they are, as does every text without entities;
-repeated rows and equal texts get equal results.
+a replacement that is itself an entity of the corpus, draw again, all but the least of them, until all are distinct. Family
+names are entities of their own and settled first, so that "Mr X" and "Ms Y X" keep one family name whatever is drawn again.
+No format is ever exhausted: from the second draw on family names have more syllables and persons more given names, and from
+draw ``LONGER`` on the other types (but for IP addresses, of which there are four billion) grow by a character a draw.
+
+The table of entities is built by distributed aggregation and joined by entity, salted, as one may stand in a third of the texts;
+only texts that hold entities are written and rejoined, by their digest, salted alike. Null and empty texts stay as they are, as does every
+text without entities; repeated rows and equal texts get equal results.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 KEY = "kvarn-surrogates-1"
-MAX_TRIES = 24
+LONGER, ROUNDS, SALTS = 8, 1000, 8
 _NAME = r"(?:\p{Lu}[\p{L}\p{M}'’-]+)"
 #: Forms of address by the gender they tell (m, f, or n for none).
 TITLES = {
@@ -158,54 +161,96 @@ def _pick(values: list[str], n: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(n, F.lit(len(values))))
 
 
-def _person(entity: Column, turn: Column) -> Column:
-    """The form of address stays; the given name has its gender; a family name has the same replacement after every given name, unless the draw is repeated."""
-    title = F.regexp_extract(entity, rf"^(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?", 0)
-    names = F.split(F.substring(entity, F.length(title) + 2, F.length(entity)), " ")
+_TITLE = rf"^(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.?"
+
+
+def _names(entity: Column) -> Column:
+    """The names after the form of address."""
+    return F.split(F.substring(entity, F.length(F.regexp_extract(entity, _TITLE, 0)) + 2, F.length(entity)), " ")
+
+
+def _is_cyrillic(name: Column) -> Column:
+    return name.rlike(r"^[\p{IsCyrillic}'’-]+$")
+
+
+def _family(name: Column, digest: Column, turn: Column) -> Column:
+    """A made-up family name of three or four syllables, and one more for each draw after the first."""
+
+    def made(script: str) -> Column:
+        count = 3 + F.pmod(_number(digest, 31), F.lit(2)) + turn
+        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda k: _pick(SYLLABLES[script], _number(digest, 3 * k))), ""))
+
+    return F.when(_is_cyrillic(name), made("cyrillic")).otherwise(made("latin"))
+
+
+def _person(entity: Column, family: Column, turn: Column) -> Column:
+    """The form of address stays; the given names (one, and one more for each draw after the first) have its gender; ``family`` is the family name's replacement."""
+    title, names = F.regexp_extract(entity, _TITLE, 0), _names(entity)
     bare = F.regexp_replace(title, r"\.$", "")
     gender = F.when(bare.isin(TITLES["m"]), "m").when(bare.isin(TITLES["f"]), "f").otherwise("n")
-    last, first = F.get(names, F.size(names) - 1), F.get(names, 0)
-    family_digest, given_digest = _digest(F.lit("family"), last, turn), _digest(F.concat(F.lit("given-"), gender), first, turn)
-
-    def family(script: str) -> Column:
-        parts = [_pick(SYLLABLES[script], _number(family_digest, 3 * k)) for k in range(4)]
-        return F.initcap(F.concat(*parts[:3], F.when(_number(family_digest, 31) % 2 == 0, parts[3]).otherwise("")))
+    digest = _digest(F.concat(F.lit("given-"), gender), F.get(names, 0), F.lit(0))
 
     def given(script: str) -> Column:
-        own = [F.when(gender == g, _pick(GIVEN[script][g], _number(given_digest, 1))) for g in "mfn"]
-        return F.coalesce(*own)
+        first = F.coalesce(*[F.when(gender == g, _pick(GIVEN[script][g], _number(digest, 1))) for g in "mfn"])
+        redrawn = _digest(F.lit("more"), entity, turn)
+        more = F.transform(F.sequence(F.lit(1), turn), lambda k: F.coalesce(*[F.when(gender == g, _pick(GIVEN[script][g], _number(redrawn, 5 * k))) for g in "mfn"]))
+        return F.when(turn == 0, first).otherwise(F.concat_ws("-", first, F.array_join(more, "-")))
 
-    cyrillic = last.rlike(r"^[\p{IsCyrillic}'’-]+$")
-    made_family = F.when(cyrillic, family("cyrillic")).otherwise(family("latin"))
-    made_given = F.when(cyrillic, given("cyrillic")).otherwise(given("latin"))
-    return F.concat_ws(" ", title, F.when(F.size(names) > 1, made_given), made_family)
+    made = F.when(_is_cyrillic(F.get(names, F.size(names) - 1)), given("cyrillic")).otherwise(given("latin"))
+    return F.concat_ws(" ", title, F.when(F.size(names) > 1, made), family)
+
+
+def _longer(kind: Column, value: Column, digest: Column, turn: Column) -> Column:
+    """From draw LONGER on, one more character a draw: a letter before an e-mail address, a digit after all else."""
+    more = F.transform(F.sequence(F.lit(LONGER), F.greatest(turn, F.lit(LONGER))), lambda k: F.pmod(_number(digest, 3 * k), F.lit(10)).cast("string"))
+    digits = F.array_join(more, "")
+    grown = F.when(kind == "email", F.concat(F.translate(digits, "0123456789", "abcdefghij"), value)).otherwise(F.concat(value, digits))
+    return F.when((turn < LONGER) | (kind == "ip"), value).otherwise(grown)
 
 
 def drawn(table: DataFrame) -> DataFrame:
-    """``table`` (entity, kind, turn) with ``surrogate``."""
+    """``table`` (entity, kind, turn) with ``surrogate``, for all kinds but persons."""
     e, turn = F.col("entity"), F.col("turn")
     out = table.withColumn("_digest", _digest(F.col("kind"), e, turn))
     d = F.col("_digest")
-    by_kind = {"email": _email(e, d), "secret": _secret(e, d), "iban": _iban(e, d), "card": _card(e, d), "phone": _phone(e, d), "ip": _ip(e, d), "ssn": _redrawn(e, d), "person": _person(e, turn)}
-    value = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in by_kind.items()])
-    return out.withColumn("surrogate", value).drop("_digest")
+    by_kind = {"email": _email(e, d), "secret": _secret(e, d), "iban": _iban(e, d), "card": _card(e, d), "phone": _phone(e, d), "ip": _ip(e, d), "ssn": _redrawn(e, d)}
+    value = _longer(F.col("kind"), F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in by_kind.items()]), d, turn)
+    return out.withColumn("surrogate", F.when(F.col("kind") == "family", _family(e, d, turn)).otherwise(value)).drop("_digest")
 
 
-def assigned(found: DataFrame) -> DataFrame:
-    """entity, kind, surrogate for each distinct entity of ``found``, all surrogates distinct and none an entity itself. Entities that differ in case only share one."""
-    table = materialise(found.select("entity").distinct().withColumn("kind", kind_of(F.col("entity"))).withColumn("turn", F.lit(0)), "entities")
-    known = table.select(F.lower("entity").alias("taken")).distinct()
-    for _ in range(MAX_TRIES):
-        table = materialise(drawn(table), "drawn")
+def persons(table: DataFrame) -> DataFrame:
+    """``table`` (entity, family, turn) of persons with ``surrogate``."""
+    return table.withColumn("surrogate", _person(F.col("entity"), F.col("family"), F.col("turn")))
+
+
+def _settled(table: DataFrame, draw, known: DataFrame) -> DataFrame:
+    """``table`` (entity, turn and more) with surrogates that are all distinct and not among ``known`` (taken)."""
+    for _ in range(ROUNDS):
+        table = materialise(draw(table), "drawn")
         own = table.select(F.lower("entity").alias("e"), F.lower("surrogate").alias("s")).distinct()
         first = own.groupBy("s").agg(F.min("e").alias("keeper"), F.count("*").alias("n"))
         clash = first.join(known, first["s"] == known["taken"], "left").filter("n > 1 or taken is not null")
         clash = clash.select("s", F.when(F.col("taken").isNull(), F.col("keeper")).alias("keeper"))
         if not clash.limit(1).count():
-            return table.select("entity", "kind", "surrogate")
+            return table
         again = (F.col("s").isNotNull()) & (F.col("keeper").isNull() | (F.lower("entity") != F.col("keeper")))
-        table = table.join(clash, F.lower("surrogate") == clash["s"], "left").select("entity", "kind", (F.col("turn") + again.cast("int")).alias("turn"))
-    raise RuntimeError(f"surrogates still clash after {MAX_TRIES} draws")
+        rest = [c for c in table.columns if c not in ("turn", "surrogate")]
+        table = table.join(clash, F.lower("surrogate") == clash["s"], "left").select(*rest, (F.col("turn") + again.cast("int")).alias("turn"))
+    raise RuntimeError(f"surrogates still clash after {ROUNDS} draws")
+
+
+def assigned(found: DataFrame) -> DataFrame:
+    """entity, kind, surrogate for each distinct entity of ``found``, all surrogates distinct and none an entity itself. Entities that differ in case only share one."""
+    table = materialise(found.select("entity").distinct().withColumn("kind", kind_of(F.col("entity"))).withColumn("turn", F.lit(0)), "entities")
+    named = table.filter("kind = 'person'").withColumn("_last", F.lower(F.element_at(_names(F.col("entity")), -1)))
+    families = named.select(F.col("_last").alias("entity"), F.lit("family").alias("kind"), F.lit(0).alias("turn")).distinct()
+    plain = table.filter("kind <> 'person'").unionByName(families)
+    known = plain.select(F.lower("entity").alias("taken")).distinct()
+    settled = _settled(plain, drawn, known).select("entity", "kind", "surrogate")
+    family = settled.filter("kind = 'family'").select(F.col("entity").alias("_last"), F.col("surrogate").alias("family"))
+    known = named.select(F.lower("entity").alias("taken")).distinct()
+    people = _settled(named.join(family, "_last").select("entity", "kind", "family", "turn"), persons, known)
+    return settled.filter("kind <> 'family'").unionByName(people.select("entity", "kind", "surrogate"))
 
 
 def _in_row(docs: DataFrame) -> DataFrame:
@@ -220,8 +265,11 @@ def replaced(docs: DataFrame) -> DataFrame:
     plain = every.filter(~F.coalesce(held, F.lit(False))).select("_row", "_text", F.array().cast("array<string>").alias("_entities"))
     with_some = materialise(every.filter(held).withColumn("_h", F.md5(F.encode("_text", "UTF-8"))), "held")
     pairs = with_some.select("_h", F.explode(F.array_distinct("_entities")).alias("entity")).distinct()
-    table = assigned(pairs)
-    maps = pairs.join(table, "entity").groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_map"))
-    joined = with_some.join(maps, "_h").withColumn("_parts", F.split("_text", PATTERN, -1))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    table = assigned(pairs).select("entity", "surrogate", salts)
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("_h"), F.lit(SALTS)).cast("int"))
+    maps = salted.join(table, ["entity", "_salt"]).groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_map"))
+    dealt = with_some.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(maps.select("_h", "_map", salts), ["_h", "_salt"]).withColumn("_parts", F.split("_text", PATTERN, -1))
     new = F.array_join(F.transform("_parts", lambda p, i: F.concat(p, F.coalesce(F.col("_map")[F.get("_entities", i)], F.lit("")))), "")
     return joined.select("_row", new.alias("_text"), "_entities").unionByName(plain)
