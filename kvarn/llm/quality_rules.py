@@ -1,8 +1,8 @@
 """Quality rules: text measures, and the log-likelihood ratio of hashed n-grams between a trusted and the raw corpus.
 
 Words and pairs of words are hashed into ``BUCKETS`` features. Two multinomials with add-one smoothing are counted over
-them: one over all documents, one over trusted documents (labelled of good quality; at most about ``MAX_TRUSTED`` of
-them, by hash of doc_id, so that their ids may be broadcast). A document's ratio is the mean over its features of
+them: one over all documents, one over all trusted documents (labelled of good quality; their ids are broadcast up to
+``BROADCAST_IDS`` of them and joined by a shuffle beyond). A document's ratio is the mean over its features of
 log p_trusted - log p_raw; it is kept if it passes the base rules and its ratio reaches ``THRESHOLD``, whatever the
 other documents are. All is built-in expressions; texts are not shuffled and a feature table of BUCKETS rows is all
 that leaves the executors.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, columns
 
-BUCKETS, MAX_TRUSTED, THRESHOLD = 16384, 20000, -0.065
+BUCKETS, BROADCAST_IDS, THRESHOLD = 16384, 2_000_000, -0.065
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -67,9 +67,10 @@ def features(hashes: Column) -> Column:
     return F.concat(one, two)
 
 
-def ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """log p_trusted - log p_raw of each bucket. ``trusted``: doc_ids, bounded; they are broadcast."""
-    marked = docs.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("_trusted"))), "doc_id", "left")
+def ratios(docs: DataFrame, trusted: DataFrame, most: int = BROADCAST_IDS) -> list[float]:
+    """log p_trusted - log p_raw of each bucket. ``trusted``: distinct doc_ids; they are broadcast if there are at most ``most``."""
+    ids = trusted.select("doc_id", F.lit(1).alias("_trusted"))
+    marked = docs.join(F.broadcast(ids) if trusted.count() <= most else ids.hint("merge"), "doc_id", "left")
     hashed = marked.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.transform(words(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(w)).alias("_hashes"))
     seen = hashed.select("t", F.explode(features(F.col("_hashes"))).alias("bucket"))
     counts = seen.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("t").alias("t")).collect()  # at most BUCKETS rows
@@ -83,12 +84,9 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     return [log(g) - log(r) + shift for g, r in zip(good, raw, strict=True)]
 
 
-def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
-    """doc_ids labelled good: all, or about ``limit`` of them by hash."""
-    good = columns(labels, "doc_id", "quality").filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    n = good.count()
-    share = 1_000_000 if n <= limit else limit * 1_000_000 // n
-    return good.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The distinct doc_ids labelled good."""
+    return columns(labels, "doc_id", "quality").filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
