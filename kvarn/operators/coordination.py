@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kvarn.schema import DELETE, PUT
+
 from .ring import owners
-from .versioning import decode, envelope, in_order, increment, merge_all, reconcile
+from .versioning import decode, encode, envelope, in_order, increment, merge_all, reconcile
 
 
 def required(asked: Column, default: int, n_owners: Column, key: Column) -> tuple[Column, Column]:
@@ -73,6 +75,13 @@ def with_addresses(rows: DataFrame, members: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(members.select("node_id", "advertise_addr")), "node_id", "left")  # nodes of a cluster
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """op, key, value as a replica logs envelopes (op, key, envelope): a delete is a put of an envelope that says so. A row whose op and envelope disagree, or without an envelope, fails."""
+    agree = (F.col("op") == DELETE) == F.col("envelope.deleted")
+    value = F.when(F.coalesce(agree, F.lit(False)), encode(F.col("envelope"))).otherwise(F.raise_error(F.concat(F.lit("operation and envelope disagree: "), F.coalesce("key", F.lit("")))))
+    return rows.select(F.lit(PUT).alias("op"), "key", value.alias("value"))
+
+
 def decoded(state: DataFrame) -> DataFrame:
     """key, envelope of a state whose values are encoded envelopes; others are null."""
     return state.select("key", decode(F.col("value")).alias("envelope"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .folds import ordered_fold
+
 
 def refill(tokens: int, last: int, now: int, rate: float, most: int) -> int:
     return min(most, tokens + int((now - last) * rate))
@@ -19,12 +20,9 @@ def take(tokens: int, last: int, now: int, rate: float, most: int) -> tuple[bool
 def token_bucket(requests: DataFrame, rate: float = 100.0, most: int = 10000) -> DataFrame:
     """user, seq, ts_seconds, allowed for requests (user, seq, ts_seconds). A bucket is full at the user's first request; time is whole seconds."""
 
-    def fold(keys, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts_seconds", "seq"])
-        tokens, last, out = most, None, []
-        for now in rows["ts_seconds"]:
-            ok, tokens, last = take(tokens, now if last is None else last, now, rate, most)
-            out.append(ok)
-        return rows.assign(allowed=out)[["user", "seq", "ts_seconds", "allowed"]]
+    def step(state, user, seq, now):
+        tokens, last = state
+        ok, tokens, last = take(tokens, now if last is None else last, now, rate, most)
+        return (tokens, last), ok
 
-    return requests.select("user", "seq", "ts_seconds").groupBy("user").applyInPandas(fold, "user long, seq long, ts_seconds long, allowed boolean")
+    return ordered_fold(requests.select("user", "seq", "ts_seconds"), "user", ["ts_seconds", "seq"], lambda: (most, None), step, "allowed boolean")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import ordered_fold
+
 RANK = {"unknown": 0, "alive": 1, "suspect": 2, "dead": 3}
 
 
@@ -32,23 +34,43 @@ def merge(records: DataFrame, cluster_id: str, local_id: str, local_incarnation:
 def detect(probes: DataFrame, suspect_after: int) -> DataFrame:
     """target, tick, status after each probe (target, tick, direct_ok, indirect_ok): a failed probe makes an alive node suspect, suspicion that lasts ``suspect_after`` ticks makes it dead, an answer clears it; the dead stay dead.
 
-    A fold for each target; a target's probes are one group, sorted in the worker.
+    A fold for each target, in bounded memory.
     """
 
-    def fold(keys, rows: pd.DataFrame) -> pd.DataFrame:
-        status, since, out = "alive", None, []
-        for tick, direct, indirect in rows.sort_values("tick")[["tick", "direct_ok", "indirect_ok"]].itertuples(index=False):
-            if status != "dead":
-                if direct or indirect:
-                    status, since = "alive", None
-                elif status == "alive":
-                    status, since = "suspect", tick
-                elif tick - since >= suspect_after:
-                    status = "dead"
-            out.append((keys[0], tick, status))
-        return pd.DataFrame(out, columns=["target", "tick", "status"])
-
-    return probes.groupBy("target").applyInPandas(fold, "target long, tick long, status string")
+    def step(state, target, tick, direct, indirect):
+        status, since = state
+        if status != "dead":
+            if direct or indirect:
+                status, since = "alive", None
+            elif status == "alive":
+                status, since = "suspect", tick
+            elif tick - since >= suspect_after:
+                status = "dead"
+        return (status, since), status
+
+    rows = probes.select("target", "tick", "direct_ok", "indirect_ok")
+    return ordered_fold(rows, "target", ["tick"], lambda: ("alive", None), step, "status string").select("target", "tick", "status")
+
+
+def upsert(members: DataFrame, records: DataFrame) -> DataFrame:
+    """``members`` with the rows of ``records`` put in place of theirs, whatever precedence says."""
+    return members.join(records.select("node_id"), "node_id", "left_anti").select(*members.columns).unionByName(records.select(*members.columns))
+
+
+def stamped(members: DataFrame, epoch: int, changed: DataFrame) -> DataFrame:
+    """``members`` with ``epoch`` as the membership_epoch of the ``changed`` nodes; an epoch never goes back."""
+    mark = changed.select("node_id", F.lit(True).alias("_changed")).distinct()
+    now = F.when(F.col("_changed"), F.greatest(F.col("membership_epoch"), F.lit(epoch).cast("long"))).otherwise(F.col("membership_epoch"))
+    return members.join(mark, "node_id", "left").withColumn("membership_epoch", now).select(*members.columns)
+
+
+def probe_plan(members: list[str], local_id: str, seed: int, helpers: int = 3, seeds: list[str] | None = None) -> dict[str, list[str]]:
+    """Whom a node probes in a round, drawn by the seed: seeds that are not members yet, one other member, and who is asked to probe it as well."""
+    rng = random.Random(seed)
+    others = sorted(set(members) - {local_id})
+    target = rng.choice(others) if others else None
+    rest = [n for n in others if n != target]
+    return {"seeds": sorted(set(seeds or []) - set(members) - {local_id}), "direct": [target] if target else [], "indirect": sorted(rng.sample(rest, min(helpers, len(rest))))}
 
 
 def snapshot(members: DataFrame) -> DataFrame:

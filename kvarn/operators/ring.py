@@ -6,10 +6,10 @@ Whole maps are small (a row for each tablet) and are handled as Python values; l
 from __future__ import annotations
 
 import hashlib
+import random
 from bisect import bisect_right
 from dataclasses import dataclass, replace
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from kvarn.functions.bytes_and_hashes import length_prefixed, u64
 from .scan import within
 
 MAX_GENERATION = (1 << 64) - 1
-NESTED_LOOP_RANGES, MAX_RANGES = 256, 1_000_000
+MAX_RANGES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -79,27 +79,35 @@ def violations(ranges: DataFrame) -> DataFrame:
     return row.select("start", F.explode("_bad").alias("code"))
 
 
+def few(ranges: DataFrame) -> DataFrame:
+    """A map that may be broadcast: its number of ranges has been checked."""
+    if (n := ranges.count()) > MAX_RANGES:
+        raise ValueError(f"{n} ranges; at most {MAX_RANGES} can be searched")
+    return ranges
+
+
 def owners(keys: DataFrame, ranges: DataFrame) -> DataFrame:
     """``keys`` (with ``key``) and the start, end and replicas of the range that holds each.
 
-    A few ranges are joined by condition; many by binary search over the sorted starts, which are sent to the executors
-    after a check of their number.
+    By binary search over the sorted starts, which are sent to the executors after a check of their number. Keys that no
+    range holds (before the first, in a gap, after the last) have no row, nor have null keys.
     """
-    n = ranges.count()
-    if n > MAX_RANGES:
-        raise ValueError(f"{n} ranges; at most {MAX_RANGES} can be searched")
-    few = ranges.select(F.col("start").alias("range_start"), F.col("end").alias("range_end"), "replicas")
-    if n <= NESTED_LOOP_RANGES:
-        return keys.join(F.broadcast(few), within(F.col("key"), F.col("range_start"), F.col("range_end")))
-    rows = sorted(((r[0].encode(), r[1], r[2]) for r in few.collect()), key=lambda r: r[0])
+    rows = sorted(((r[0].encode(), r[1], r[2]) for r in few(ranges).select("start", "end", "replicas").collect()), key=lambda r: r[0])
     starts, ends, replicas = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+    bytes_ends = [e.encode() for e in ends]
     at, schema = keys.columns.index("key"), keys.schema
 
     def search(batches):
         for batch in batches:
-            where = np.array([bisect_right(starts, k.encode()) - 1 for k in batch.column(at).to_pylist()], dtype=np.int64)
-            more = [pa.array([starts[i].decode() for i in where]), pa.array([ends[i] for i in where]), pa.array([replicas[i] for i in where], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "range_start", "range_end", "replicas"])
+            took, where = [], []
+            for i, k in enumerate(batch.column(at).to_pylist()):
+                r = bisect_right(starts, k := k.encode()) - 1
+                if r >= 0 and (not bytes_ends[r] or k < bytes_ends[r]):
+                    took.append(i)
+                    where.append(r)
+            held = batch.take(pa.array(took, pa.int64()))
+            more = [pa.array([starts[r].decode() for r in where], pa.string()), pa.array([ends[r] for r in where], pa.string()), pa.array([replicas[r] for r in where], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*held.columns, *more], names=[*batch.schema.names, "range_start", "range_end", "replicas"])
 
     more_fields = [T.StructField("range_start", T.StringType()), T.StructField("range_end", T.StringType()), T.StructField("replicas", T.ArrayType(T.StringType()))]
     out = T.StructType([*schema.fields, *more_fields])
@@ -111,7 +119,7 @@ def holders(scans: DataFrame, ranges: DataFrame, closed: bool) -> DataFrame:
 
     ``closed``: the end belongs to the scan. Otherwise an empty end is unbounded.
     """
-    r = ranges.select(F.col("start").alias("range_start"), F.col("end").alias("range_end"), "replicas")
+    r = few(ranges).select(F.col("start").alias("range_start"), F.col("end").alias("range_end"), "replicas")
     inside = (F.col("range_start") == "") | (F.col("start") >= F.col("range_start"))
     if closed:
         ends = (F.col("range_end") == "") | (F.col("end") < F.col("range_end"))
@@ -168,7 +176,7 @@ def overlay(local: DataFrame, incoming: DataFrame) -> DataFrame:
     pieces = cuts.withColumn("end", F.coalesce(F.lead("start").over(Window.orderBy("start")), F.lit("")))  # a row for each tablet
 
     def side(ranges: DataFrame, name: str) -> DataFrame:
-        return F.broadcast(ranges.select(*[F.col(c).alias(f"{name}_{c}") for c in ("start", "end", "generation", "proposal_id")]))
+        return F.broadcast(few(ranges).select(*[F.col(c).alias(f"{name}_{c}") for c in ("start", "end", "generation", "proposal_id")]))
 
     at = lambda name: within(F.col("start"), F.col(f"{name}_start"), F.col(f"{name}_end"))
     both = pieces.join(side(local, "l"), at("l")).join(side(incoming, "r"), at("r"))
@@ -204,7 +212,10 @@ class RangeTable:
         self.ranges, changed = merge_maps(self.ranges, incoming)
         return changed
 
-    def sync(self, peers: dict[str, tuple[int, list[Range]]]) -> bool:
-        """Merge maps (epoch, ranges) of peers ahead of this one until one changes it, from the highest epoch on."""
+    def sync(self, peers: dict[str, tuple[int, list[Range]]], seed: int = 0) -> bool:
+        """Merge maps (epoch, ranges) of peers ahead of this one until one changes it, from the highest epoch on; if none does, that of one other peer, drawn by the seed."""
         ahead = sorted((p for p in peers.items() if p[1][0] > self.epoch()), key=lambda p: (-p[1][0], p[0]))
-        return any(self.merge(ranges) for _, (_, ranges) in ahead)
+        if any(self.merge(ranges) for _, (_, ranges) in ahead):
+            return True
+        others = sorted(name for name, (_, ranges) in peers.items() if ranges and name not in dict(ahead))
+        return bool(others) and self.merge(peers[random.Random(seed).choice(others)][1])

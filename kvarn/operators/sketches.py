@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
+from collections import Counter
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kvarn.functions.bytes_and_hashes import md5_bits, md5_high, prefixed, utf8
 
-MAX_PREFIX = 128
+MAX_PREFIX, MAX_KNOWN = 128, 100_000
 
 
 def bloom_size(n: int, p: float) -> tuple[int, int]:
@@ -103,11 +110,30 @@ def hll_estimate(registers: DataFrame, p: int, by: list[str] | None = None) -> D
     return sums.select(*(by or []), F.floor(value).cast("long").alias("estimate"))
 
 
-def simhash(tokens: DataFrame, key: str, token: str) -> DataFrame:
-    """key, fingerprint: 64 bits as text, 1 where more token hashes have 1 than 0. Every token counts as often as it stands."""
-    votes = tokens.groupBy(key, token).agg(F.count("*").alias("_n")).select(key, "_n", md5_bits(utf8(F.col(token))).alias("_b"))
-    sums = [F.sum(F.when(F.substring("_b", i, 1) == "1", F.col("_n")).otherwise(-F.col("_n"))).alias(f"_v{i}") for i in range(1, 65)]
-    return votes.groupBy(key).agg(*sums).select(key, F.concat(*[F.when(F.col(f"_v{i}") > 0, "1").otherwise("0") for i in range(1, 65)]).alias("fingerprint"))
+def simhash(texts: DataFrame, key: str, text: str, separator: str = " ") -> DataFrame:
+    """key, fingerprint of each row's tokens (the parts of ``text`` between separators): 64 bits as text, 1 where more token hashes have 1 than 0. Every token counts
+    as often as it stands; rows without tokens have none. Made where the row is read: nothing is shuffled."""
+
+    def run(batches):
+        known: dict[str, np.ndarray] = {}
+        for batch in batches:
+            ids, prints = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                count = Counter(x for x in (t or "").split(separator) if x)
+                if not count:
+                    continue
+                if len(known) > MAX_KNOWN:
+                    known.clear()
+                for x in count:
+                    if x not in known:
+                        known[x] = np.unpackbits(np.frombuffer(hashlib.md5(x.encode()).digest()[:8], dtype=np.uint8))
+                ones = np.array(list(count.values())) @ np.array([known[x] for x in count], dtype=np.int64)
+                ids.append(i)
+                prints.append("".join("1" if v else "0" for v in 2 * ones > sum(count.values())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(prints, pa.string())], names=[key, "fingerprint"])
+
+    rows = texts.select(key, text)
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("fingerprint", T.StringType())]))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -122,29 +148,57 @@ def similar(a: Column, b: Column, threshold: int) -> Column:
     return hamming(a, b) <= threshold
 
 
-def near_fingerprints(prints: DataFrame, key: str, threshold: int = 3) -> DataFrame:
-    """a, b, distance of keys whose distinct fingerprints differ in at most ``threshold`` bits: such prints agree in one of threshold + 1 bands. Keys of equal prints are represented by the least."""
-    reps = prints.groupBy("fingerprint").agg(F.min(key).alias("id"))
-    width = 64 // (threshold + 1)
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.substring("fingerprint", i * width + 1, width if i < threshold else 64).alias("part")) for i in range(threshold + 1)])
-    rows = reps.select("id", "fingerprint", F.explode(bands).alias("_x")).select("id", "fingerprint", "_x.band", "_x.part")
-    other = rows.select(F.col("id").alias("b"), F.col("fingerprint").alias("_f"), "band", "part")
-    met = rows.join(other, ["band", "part"]).filter("id < b").select(F.col("id").alias("a"), "b", "fingerprint", "_f").distinct()
-    return met.withColumn("distance", hamming(F.col("fingerprint"), F.col("_f")).cast("int")).filter(F.col("distance") <= threshold).select("a", "b", "distance")
+def fingerprint_groups(prints: DataFrame, key: str) -> DataFrame:
+    """key, representative: the least key of those with an equal fingerprint."""
+    least = prints.groupBy("fingerprint").agg(F.min(key).alias("representative"))
+    return prints.join(least, "fingerprint").select(key, "representative")
 
 
-def merkle_leaves(rows: DataFrame, by: str) -> DataFrame:
-    """by, idx, hash: leaves of length-prefixed key and value, in key order."""
-    from pyspark.sql import Window
+def near_fingerprints(prints: DataFrame, key: str, threshold: int = 3) -> DataFrame:
+    """a, b, distance of representatives (see ``fingerprint_groups``) whose fingerprints differ in at most ``threshold`` bits.
 
+    Prints are cut into ``threshold + 3`` blocks. Differing bits are in at most ``threshold`` of these, so two near prints agree in three
+    blocks at least; each print is indexed under every three blocks, keys of 32 bits and more for a threshold of 3, so that few prints meet by chance.
+    """
+    reps = prints.groupBy("fingerprint").agg(F.min(key).alias("id"))
+    blocks = threshold + 3
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    part = [F.substring("fingerprint", a + 1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    keys = F.array(*[F.struct(F.lit(i).alias("chosen"), F.concat(*[part[k] for k in some]).alias("part")) for i, some in enumerate(combinations(range(blocks), 3))])
+    rows = reps.select("id", "fingerprint", F.explode(keys).alias("_x")).select("id", "fingerprint", "_x.chosen", "_x.part")
+    other = rows.select(F.col("id").alias("b"), F.col("fingerprint").alias("_f"), "chosen", "part")
+    met = rows.join(other, ["chosen", "part"]).filter("id < b").withColumn("distance", hamming(F.col("fingerprint"), F.col("_f")).cast("int"))
+    return met.filter(F.col("distance") <= threshold).select(F.col("id").alias("a"), "b", "distance").distinct()
+
+
+def merkle_leaves(rows: DataFrame, by: str, chunk_chars: int = 12) -> DataFrame:
+    """by, idx, hash: leaves of length-prefixed key and value, numbered in key order: by ranks within chunks of keys that share their first characters, and a running count of chunks."""
     own = F.sha2(F.concat(prefixed(F.col("key")), prefixed(F.col("value"))), 256)
-    return rows.select(by, (F.row_number().over(Window.partitionBy(by).orderBy("key")) - 1).alias("idx"), own.alias("hash"))
+    cut = rows.select(by, "key", own.alias("hash"), F.substring("key", 1, chunk_chars).alias("_chunk"))
+    before = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chunk
+    starts = cut.groupBy(by, "_chunk").count().select(by, "_chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    ranked = cut.withColumn("_own", F.row_number().over(Window.partitionBy(by, "_chunk").orderBy("key")) - 1)
+    return ranked.join(starts, [by, "_chunk"]).select(by, (F.col("_before") + F.col("_own")).alias("idx"), "hash")
 
 
-def merkle_root(leaves: DataFrame, by: str, most: int) -> DataFrame:
-    """by, root of trees of at most ``most`` leaves: pairs are hashed level by level; a missing right child is empty text."""
-    level = leaves
-    for _ in range(max(1, math.ceil(math.log2(max(2, most))))):
+def merkle_root(leaves: DataFrame, by: str, most: int = 2) -> DataFrame:
+    """by, root of trees for ``most`` leaves, or more if any tree has more: pairs are hashed level by level; a missing right child is empty text."""
+    level, most = leaves, max(2, most, 1 + (leaves.agg(F.max("idx")).first()[0] or 0))
+    for _ in range(math.ceil(math.log2(most))):
         pair = F.concat_ws("", F.max(F.when(F.col("idx") % 2 == 0, F.col("hash"))), F.max(F.when(F.col("idx") % 2 == 1, F.col("hash"))))
         level = level.groupBy(by, F.floor(F.col("idx") / 2).alias("_i")).agg(F.sha2(pair, 256).alias("hash")).select(by, F.col("_i").alias("idx"), "hash")
     return level.select(by, F.col("hash").alias("root"))
+
+
+def save(sketch: DataFrame, path: str, **about: int | float | str) -> None:
+    """Write a sketch (a filter's bits, a sketch's cells or registers, fingerprints, tree levels) with its kind and sizes."""
+    sketch.write.parquet(f"{path}/rows")
+    sketch.sparkSession.createDataFrame([(k, json.dumps(v)) for k, v in about.items()], "name string, value string").coalesce(1).write.parquet(f"{path}/about")
+
+
+def load(spark: SparkSession, path: str, **about: int | float | str) -> tuple[DataFrame, dict]:
+    """A saved sketch and its sizes; sizes given must be those saved, as sketches of other sizes cannot be asked or merged."""
+    saved = {r["name"]: json.loads(r["value"]) for r in spark.read.parquet(f"{path}/about").collect()}
+    if other := {k: saved.get(k) for k, v in about.items() if saved.get(k) != v}:
+        raise ValueError(f"saved with {other}")
+    return spark.read.parquet(f"{path}/rows"), saved

@@ -108,3 +108,15 @@ def decode(text: Column) -> Column:
     """The envelope, or null if the text has no magic, another version, or no time."""
     got = F.from_json(F.substring(text, len(MAGIC) + 1, 1 << 30), ENVELOPE)
     return F.when(is_encoded(text) & (got["version"] == 1) & (got["updated_at_unix_nano"] != 0), got)
+
+
+def from_entries(entries: Column) -> Column:
+    """A clock of (node, counter) entries as they are sent: those with an empty node id are left out; of a node sent twice the highest counts."""
+    held = F.filter(entries, lambda e: e["node"].isNotNull() & (e["node"] != ""))
+    nodes = F.array_sort(F.array_distinct(F.transform(held, lambda e: e["node"])))
+    return F.map_from_arrays(nodes, F.transform(nodes, lambda n: F.array_max(F.transform(F.filter(held, lambda e: e["node"] == n), lambda e: e["counter"].cast("decimal(20,0)")))))
+
+
+def to_entries(clock: Column) -> Column:
+    """(node, counter) entries in the order of their nodes, without empty node ids."""
+    return F.transform(F.array_sort(F.filter(F.map_entries(clock), lambda e: e["key"] != "")), lambda e: F.struct(e["key"].alias("node"), e["value"].alias("counter")))

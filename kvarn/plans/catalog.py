@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvarn.operators import antientropy, compaction, coordination, limits, membership, ring, scan, sketches, state, tablet, versioning
+from kvarn.session import scratch
 from kvarn.sources import views, wal
+from kvarn.sources.store import KVStore
+from kvarn.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -152,12 +156,12 @@ def log_tail_after_lsn(spark, sf):
     return _log(spark, sf).filter("lsn > 700 and lsn <= 1200").select("lsn", "key", "op", "value")
 
 
-_MERGED = "select key, op, value, lsn from (select *, row_number() over (partition by key order by lsn desc) r2 from kv_log where (lsn-1)%5<4) t where r2=1"
+_MERGED = "select key, op, value, lsn from (select *, row_number() over (partition by key order by lsn desc) r2 from kv_log ) t where r2=1"
 
 
 def _level_tables(spark, sf) -> list[DataFrame]:
     log = _log(spark, sf)
-    return [log.filter((F.col("lsn") - 1) % 5 == i) for i in range(4)]
+    return [log.filter((F.col("lsn") - 1) % 4 == i) for i in range(4)]
 
 
 @query(f"with {_LOG} {_MERGED}")
@@ -166,7 +170,7 @@ def compact_levels(spark, sf):
 
 
 @query(
-    f"with {_LOG}, m as ({_MERGED}), top as (select max(lsn) as top from kv_log where (lsn-1)%5<4), cases as (select * from (values ('inner',0),('last_open',0),('last_reached',1000000000),('last_ahead',1)) t(gate,safe)) "
+    f"with {_LOG}, m as ({_MERGED}), top as (select max(lsn) as top from kv_log), cases as (select * from (values ('inner',0),('last_open',0),('last_reached',1000000000),('last_ahead',1)) t(gate,safe)) "
     "select gate, cast(count(*) as bigint) as n, cast(sum(case when op=2 then 1 else 0 end) as bigint) as tombstones from m cross join top cross join cases where not (op=2 and gate<>'inner' and (safe=0 or (top>0 and top<=safe))) group by gate"
 )
 def tombstone_gc_gate(spark, sf):
@@ -179,11 +183,11 @@ def tombstone_gc_gate(spark, sf):
 
 
 @query(
-    "with m as (select cast(o_orderkey%4 as int) as level, cast(o_orderkey as varchar) as path, o_orderkey as seq from orders where o_orderkey<=70), n as (select *, row_number() over (partition by level order by seq)-1 as r, count(*) over (partition by level) as c from m where level<3) "
+    "with m as (select cast(o_orderkey%4 as int) as level, cast(o_orderkey as varchar) as path, o_orderkey as seq from orders), n as (select *, row_number() over (partition by level order by seq)-1 as r, count(*) over (partition by level) as c from m where level<3) "
     "select level, cast(r//4 as bigint) as batch, path, seq from n where r < (c//4)*4"
 )
 def compaction_plan(spark, sf):
-    o = views.table(spark, sf, "orders").filter("o_orderkey <= 70")
+    o = views.table(spark, sf, "orders")
     return compaction.plan(o.select((F.col("o_orderkey") % 4).cast("int").alias("level"), F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderkey").alias("seq")))
 
 
@@ -243,7 +247,7 @@ def tablet_merge_candidates(spark, sf):
     return tablet.merge_candidates(tablet.sizes(_tablets(spark, sf)).withColumnRenamed("tablet", "start"), 40000)
 
 
-_OBS = "select o_custkey%10 as range, o_orderkey as tick, case when o_orderkey%7=0 then 2 else 1 end as generation from orders where o_orderkey<=2000"
+_OBS = "select o_custkey%10 as range, o_orderkey as tick, case when o_orderkey%7=0 then 2 else 1 end as generation from orders"
 
 
 @query(
@@ -251,7 +255,7 @@ _OBS = "select o_custkey%10 as range, o_orderkey as tick, case when o_orderkey%7
     "i as (select *, sum(new) over (partition by range order by tick) as island from n) select range, tick, row_number() over (partition by range, island order by tick) as run, row_number() over (partition by range, island order by tick)>=2 as settled from i"
 )
 def settled_ticks(spark, sf):
-    o = views.table(spark, sf, "orders").filter("o_orderkey <= 2000")
+    o = views.table(spark, sf, "orders")
     obs = o.select((F.col("o_custkey") % 10).alias("range"), F.col("o_orderkey").alias("tick"), F.when(F.col("o_orderkey") % 7 == 0, 2).otherwise(1).alias("generation"))
     return tablet.settled(obs, 2).withColumn("run", F.col("run").cast("long"))
 
@@ -308,34 +312,73 @@ def half_open_single_owner(spark, sf):
     return ring.holders(_scans(spark, sf), views.ranges(spark), closed=False).select("id", "range_start", F.array_join("replicas", ",").alias("owners"))
 
 
-_BROKEN = [("", "c", ["n1"], 1, "p"), ("d", "f", ["n1"], 0, "p"), ("f", "f", [], 1, "")]
+# two maps with boundaries at tablets' first keys
+_MAPS = (
+    _LOG
+    + """, ta as (select substr(key,1,5) as t, count(*) as n from kv_state group by 1), tb as (select substr(key,1,6) as t, count(*) as n from kv_state where cast(substr(key,6,1) as int)%3=0 group by 1),
+ am as (select *, lead(s,1,'') over (order by s) as e from (select case when t=(select min(t) from ta) then '' else t end as s, n, n%3+1 as g, concat('a', cast(n%2 as varchar)) as p from ta) x),
+ bm as (select *, lead(s,1,'') over (order by s) as e from (select case when t=(select min(t) from tb) then '' else t end as s, n, n%4+1 as g, concat('b', cast(n%2 as varchar)) as p from tb) x),
+ pieces as (select s, lead(s,1,'') over (order by s) as e from (select s from am union select s from bm) c),
+ both_ as (select pieces.s, pieces.e, am.g as lg, am.p as lp, am.s as ls, am.e as le, bm.g as rg, bm.p as rp, bm.s as rs, bm.e as re from pieces join am on (am.s='' or pieces.s>=am.s) and (am.e='' or pieces.s<am.e) join bm on (bm.s='' or pieces.s>=bm.s) and (bm.e='' or pieces.s<bm.e)),
+ won as (select *, lg>rg or (lg=rg and (lp<rp or (lp=rp and (ls<rs or (ls=rs and le<=re))))) as l from both_),
+ picked as (select s, e, case when l then lg else rg end as g, case when l then lp else rp end as p, case when l then ls else rs end as src, l, lg=rg as tied from won),
+ bumped as (select distinct p, g from picked where tied),
+ merged as (select picked.s, picked.e, picked.g+case when bumped.p is null then 0 else 1 end as g, picked.p, src, l from picked left join bumped on bumped.p=picked.p and bumped.g=picked.g)"""
+)
 
 
-@query("select * from (values ('','not_contiguous'),('d','generation'),('f','degenerate'),('f','replicas'),('f','proposal_id'),('f','bounded_end')) t(start,code)")
-def range_map_validate(spark, sf):
-    return ring.violations(spark.createDataFrame(_BROKEN, "start string, end string, replicas array<string>, generation long, proposal_id string"))
+def _map(spark, sf, chars: int, step: int, levels: int, name: str) -> DataFrame:
+    """Tablets by the first characters of live keys as a map; generations and proposals by the number of keys."""
+    keys = state.live(_log(spark, sf)).select(F.substring("key", 1, chars).alias("t"))
+    n = keys.filter(F.substring("t", chars, 1).cast("int") % step == 0).groupBy("t").agg(F.count("*").alias("n"))
+    w = Window.orderBy("t")  # a row for each tablet
+    own = n.select(F.when(F.row_number().over(w) == 1, "").otherwise(F.col("t")).alias("start"), F.coalesce(F.lead("t").over(w), F.lit("")).alias("end"), "n")
+    return own.select("start", "end", F.array(F.lit("n1"), F.lit("n2")).alias("replicas"), (F.col("n") % levels + 1).alias("generation"), F.concat(F.lit(name), (F.col("n") % 2).cast("string")).alias("proposal_id"), "n")
 
 
-def _two_maps():
-    a = [ring.Range("", "m", ("n1", "n2"), 2, "a"), ring.Range("m", "", ("n1", "n2"), 2, "a")]
-    b = [ring.Range("", "n", ("n2", "n3"), 2, "b"), ring.Range("n", "t", ("n2", "n3"), 3, "b"), ring.Range("t", "", ("n2", "n3"), 2, "b")]
-    return a, b
+def _maps(spark, sf):
+    return _map(spark, sf, 5, 1, 3, "a"), _map(spark, sf, 6, 3, 4, "b")
+
+
+_WRONG = "x as (select s, case when n%5=0 then concat(e,'x') else e end as e, case when n%7=0 then 0 else g end as g, case when n%3=0 then '' else p end as p, n%4=0 as bare from am where s<>''), v as (select *, lead(s) over (order by s) as nx, row_number() over (order by s) as rn from x)"
+
+
+@query(
+    f"with {_MAPS}, {_WRONG} select s as start, 'bounded_start' as code from v where rn=1 and s<>'' union all select s, 'bounded_end' from v where nx is null and e<>'' union all select s, 'not_contiguous' from v where nx is not null and (e='' or e<>nx) "
+    "union all select s, 'degenerate' from v where s<>'' and e<>'' and s>=e union all select s, 'generation' from v where g<=0 union all select s, 'proposal_id' from v where p='' union all select s, 'replicas' from v where bare"
+)
+def range_map_validate(spark, sf):
+    """A map with faults put in by the number of keys."""
+    n = F.col("n")
+    wrong = _maps(spark, sf)[0].filter("start <> ''").select(
+        "start", F.when(n % 5 == 0, F.concat("end", F.lit("x"))).otherwise(F.col("end")).alias("end"), F.when(n % 4 == 0, F.array().cast("array<string>")).otherwise(F.col("replicas")).alias("replicas"),
+        F.when(n % 7 == 0, 0).otherwise(F.col("generation")).alias("generation"), F.when(n % 3 == 0, "").otherwise(F.col("proposal_id")).alias("proposal_id"),
+    )
+    return ring.violations(wrong)
 
 
 def _rows(spark, ranges):
     return spark.createDataFrame([(r.start, r.end, list(r.replicas), r.generation, r.proposal_id) for r in ranges], "start string, end string, replicas array<string>, generation long, proposal_id string")
 
 
-@query("select * from (values ('','m',3,'a'),('m','n',3,'a'),('n','t',3,'b'),('t','',3,'a')) t(start,\"end\",generation,proposal_id)")
+@query(f"with {_MAPS} select s as start, e as \"end\", cast(g as int) as generation, p as proposal_id from merged")
 def range_map_merge(spark, sf):
-    a, b = _two_maps()
-    return ring.overlay(_rows(spark, a), _rows(spark, b)).select("start", "end", F.col("generation").cast("int").alias("generation"), "proposal_id")
+    return ring.overlay(*_maps(spark, sf)).select("start", "end", F.col("generation").cast("int").alias("generation"), "proposal_id")
 
 
-@query("select * from (values ('','m',3,'a'),('m','n',3,'a'),('n','t',3,'b'),('t','',3,'a')) t(start,\"end\",generation,proposal_id)")
+@query(
+    f"with {_MAPS}, i as (select *, sum(new) over (order by s) as island from (select *, case when src=lag(src) over w and l=lag(l) over w and g=lag(g) over w then 0 else 1 end as new from merged window w as (order by s)) t) "
+    "select min(s) as start, case when max(case when e='' then 1 else 0 end)=1 then '' else max(e) end as \"end\", cast(max(g) as int) as generation, max(p) as proposal_id from i group by island"
+)
 def range_map_coalesced(spark, sf):
-    merged, _ = ring.merge_maps(*_two_maps())
-    return _rows(spark, merged).select("start", "end", F.col("generation").cast("int").alias("generation"), "proposal_id")
+    a, b = ([ring.Range(r["start"], r["end"], tuple(r["replicas"]), r["generation"], r["proposal_id"]) for r in m.orderBy("start").collect()] for m in _maps(spark, sf))  # a row for each tablet
+    return _rows(spark, ring.merge_maps(a, b)[0]).select("start", "end", F.col("generation").cast("int").alias("generation"), "proposal_id")
+
+
+def _two_maps():
+    a = [ring.Range("", "m", ("n1", "n2"), 2, "a"), ring.Range("m", "", ("n1", "n2"), 2, "a")]
+    b = [ring.Range("", "n", ("n2", "n3"), 2, "b"), ring.Range("n", "t", ("n2", "n3"), 3, "b"), ring.Range("t", "", ("n2", "n3"), 2, "b")]
+    return a, b
 
 
 @query()
@@ -386,12 +429,12 @@ def pick_by_timestamp(spark, sf):
     return best.select("key", "b.lsn", F.when(~F.col("b.deleted"), F.col("b.value")).alias("value"))
 
 
-@query(f"with {_CLOCK} select key, lsn, c0, c1, c2, op=2 as deleted, coalesce(value,'') as value from (select key, lsn, op, value, cast(c0 as bigint) c0, cast(c1 as bigint) c1, cast(c2 as bigint) c2 from kv_replica where r=1) t")
+@query(f"with {_CLOCK} select r, key, lsn, cast(c0 as bigint) as c0, cast(c1 as bigint) as c1, cast(c2 as bigint) as c2, op=2 as deleted, coalesce(value,'') as value from kv_replica")
 def envelope_roundtrip(spark, sf):
-    r = views.kv_replica(spark, sf).filter("r = 1")
-    text = r.select("key", "lsn", versioning.encode(versioning.envelope(F.col("vector_clock"), F.col("lsn"), F.col("op") == 2, F.col("value"))).alias("t"))
-    back = text.select("key", "lsn", versioning.decode(F.col("t")).alias("e"))
-    return back.select("key", "lsn", *[F.element_at("e.vector_clock", n).cast("long").alias(f"c{i}") for i, n in enumerate(views.NODES)], "e.deleted", "e.value")
+    r = views.kv_replica(spark, sf)
+    text = r.select("r", "key", "lsn", versioning.encode(versioning.envelope(F.col("vector_clock"), F.col("lsn"), F.col("op") == 2, F.col("value"))).alias("t"))
+    back = text.select("r", "key", "lsn", versioning.decode(F.col("t")).alias("e"))
+    return back.select("r", "key", "lsn", *[F.element_at("e.vector_clock", n).cast("long").alias(f"c{i}") for i, n in enumerate(views.NODES)], "e.deleted", "e.value")
 
 
 # ---- quorums and repair
@@ -414,12 +457,12 @@ def quorum_read(spark, sf):
 
 
 @query(
-    f"with {_LOG}, {_RANGES}, w as (select lsn, key, (lsn%5)-1 as quorum from kv_log where lsn<=800), f as (select w.*, unnest(string_split(reps,',')) as node_id from w join ranges on {_HALF}), "
+    f"with {_LOG}, {_RANGES}, w as (select lsn, key, (lsn%5)-1 as quorum from kv_log), f as (select w.*, unnest(string_split(reps,',')) as node_id from w join ranges on {_HALF}), "
     "a as (select key, quorum, lsn, count(*) as owners, cast(sum(case when (lsn+cast(substr(node_id,2) as int))%4<>0 then 1 else 0 end) as bigint) as acks from f group by 1,2,3), q as (select *, cast(case when quorum<=0 then 2 else quorum end as int) as required from a) "
     "select cast(lsn as varchar) as key, acks, required, case when required>owners then 'invalid' when acks>=required then 'ok' else 'unavailable' end as status from q"
 )
 def quorum_write(spark, sf):
-    w = _log(spark, sf).filter("lsn <= 800").select("lsn", "key", (F.col("lsn") % 5 - 1).cast("int").alias("quorum"))
+    w = _log(spark, sf).select("lsn", "key", (F.col("lsn") % 5 - 1).cast("int").alias("quorum"))
     sent = coordination.fan_out(w, views.ranges(spark))
     ok = (F.col("lsn") + F.substring("node_id", 2, 9).cast("int")) % 4 != 0
     return coordination.write_outcome(sent.select(F.col("lsn").cast("string").alias("key"), "node_id", ok.alias("ok"), "quorum"), 2)
@@ -464,6 +507,15 @@ def range_split_buckets(spark, sf):
     return spark.createDataFrame([(i, a.hex(), b.hex()) for i, (a, b) in enumerate(antientropy.split_range(b"", b"", 4))], "bucket int, from_hex string, to_hex string")
 
 
+_SUMS = "select substr(key,1,6) as bucket, count(*) as n, sum(('0x'||substr(d,1,15))::ubigint) as s0, sum(('0x'||substr(d,16,15))::ubigint) as s1 from (select key, sha256(concat(lpad(cast(strlen(key) as varchar),20,'0'),key,lpad(cast(coalesce(strlen(value),0) as varchar),20,'0'),coalesce(value,''))) as d from kv_replica where r="
+
+
+@query(f"with {_CLOCK}, a as ({_SUMS}1) t group by 1) select bucket, n, cast(s0 as varchar) as s0, cast(s1 as varchar) as s1 from a")
+def bucket_sums(spark, sf):
+    a = _sides(spark, sf)[0].withColumn("bucket", F.substring("key", 1, 6))
+    return antientropy.sums(a, ["bucket"]).select("bucket", "n", F.col("s0").cast("string").alias("s0"), F.col("s1").cast("string").alias("s1"))
+
+
 @query()
 def differing_leaves(spark, sf):
     """The leaves of the digest tree whose rows differ, and how many rows each side has there."""
@@ -503,36 +555,51 @@ def cms_estimate(spark, sf):
     return sketches.cms_estimate(sketches.cms(e, "user_id", w, d), e, "user_id", w, d)
 
 
-_BLOOM = "select key, {h} % 9586 as bit from (select distinct key from {t}) k cross join (select unnest(range(1,8)) as seed) s"
+_BITS_OF = "select {c}, {h} % (select m from size) as bit from (select distinct {c} from {t}) k cross join (select unnest(range(1,8)) as seed) s"
+_SIZE = "size as (select cast(ceil(count(distinct {c})*abs(ln(0.01))/(ln(2)*ln(2))) as ubigint) as m from {t})"
 
 
-def _bloom_sql(table: str) -> str:
-    return _BLOOM.format(h=_H % "encode(key)||unhex(printf('%08X',seed))", t=table)
+def _bloom_sql(table: str, column: str = "key") -> str:
+    return _BITS_OF.format(h=_H % f"encode({column})||unhex(printf('%08X',seed))", t=table, c=column)
 
 
-@query(
-    f"with {_LOG}, live as (select key from kv_state where key like 'u00000%'), bits as (select distinct bit from ({_bloom_sql('live')}) x), p as ({_bloom_sql('kv_log')}) "
-    "select p.key, count(*)=count(bits.bit) as maybe from p left join bits on p.bit=bits.bit group by 1"
-)
+def _sized(keys: DataFrame, column: str) -> tuple[int, int]:
+    """Bits and hash functions for all distinct entries, as a filter is sized when its table is written."""
+    return sketches.bloom_size(keys.select(column).distinct().count(), 0.01)
+
+
+_LIVE_BLOOM = f"live as (select key from kv_state), {_SIZE.format(c='key', t='live')}, bits as (select distinct bit from ({_bloom_sql('live')}) x)"
+
+
+@query(f"with {_LOG}, {_LIVE_BLOOM}, p as ({_bloom_sql('kv_log')}) select p.key, count(*)=count(bits.bit) as maybe from p left join bits on p.bit=bits.bit group by 1")
 def bloom_membership(spark, sf):
-    m, k = sketches.bloom_size(1000, 0.01)
     log = _log(spark, sf)
-    bits = sketches.bloom(state.live(scan.prefix(log, "u00000")), "key", m, k)
-    return sketches.bloom_contains(bits, log, "key", m, k)
+    live = state.live(log)
+    m, k = _sized(live, "key")
+    return sketches.bloom_contains(sketches.bloom(live, "key", m, k), log, "key", m, k)
 
 
-@query("select 0 as missed")
+@query(f"with {_LOG}, {_LIVE_BLOOM} select cast(count(*) as bigint) as entries, cast((select count(*) from bits) as bigint) as bits_set, cast(0 as bigint) as missed from live")
 def bloom_no_false_negative(spark, sf):
-    m, k = sketches.bloom_size(1000, 0.01)
-    keys = state.live(scan.prefix(_log(spark, sf), "u00000")).select("key")
-    return sketches.bloom_contains(sketches.bloom(keys, "key", m, k), keys, "key", m, k).agg(F.count_if(~F.col("maybe")).cast("int").alias("missed"))
+    keys = state.live(_log(spark, sf)).select("key")
+    m, k = _sized(keys, "key")
+    bits = sketches.bloom(keys, "key", m, k)
+    asked = sketches.bloom_contains(bits, keys, "key", m, k).agg(F.count("*").alias("entries"), F.count_if(~F.col("maybe")).alias("missed"))
+    return asked.crossJoin(F.broadcast(bits.agg(F.count("*").alias("bits_set")))).select("entries", "bits_set", "missed")  # one row each
+
+
+_PREFIXES = "p as (select distinct substr(key,1,n) as prefix from (select key, unnest(range(1,least(128,length(key))+1)) as n from kv_state) t)"
 
 
-@query(f"with {_LOG}, p as (select distinct substr(key,1,n) as prefix from (select key, unnest(range(1,least(128,length(key))+1)) as n from kv_state) t) select prefix, true as maybe from p")
+@query(
+    f"with {_LOG}, {_PREFIXES}, {_SIZE.format(c='prefix', t='p')}, bits as (select distinct bit from ({_bloom_sql('p', 'prefix')}) x), asked as (select prefix from p union select concat(prefix,'~') from p), a as ({_bloom_sql('asked', 'prefix')}) "
+    "select a.prefix, count(*)=count(bits.bit) as maybe from a left join bits on a.bit=bits.bit group by 1"
+)
 def prefix_bloom(spark, sf):
     p = sketches.prefixes(state.live(_log(spark, sf)), "key")
-    m, k = sketches.bloom_size(128_000, 0.01)
-    return sketches.bloom_contains(sketches.bloom(p, "prefix", m, k), p, "prefix", m, k)
+    m, k = _sized(p, "prefix")
+    asked = p.unionByName(p.select(F.concat("prefix", F.lit("~")).alias("prefix")))
+    return sketches.bloom_contains(sketches.bloom(p, "prefix", m, k), asked, "prefix", m, k)
 
 
 _TOKENS = "(select doc_id, unnest(string_split(text,' ')) as tok from documents) where tok<>''"
@@ -545,12 +612,7 @@ _PRINT = "concat(" + ",".join(f"case when v{i}>0 then '1' else '0' end" for i in
 
 @query(f"with t as (select doc_id, {_H % 'tok'} as h from {_TOKENS}), v as (select doc_id, {_VOTES} from t group by 1) select doc_id, {_PRINT} as fingerprint from v")
 def simhash_fingerprint(spark, sf):
-    return sketches.simhash(_tokens(spark, sf), "doc_id", "tok")
-
-
-def _tokens(spark, sf):
-    d = views.table(spark, sf, "documents")
-    return d.select("doc_id", F.explode(F.split("text", " ")).alias("tok")).filter("tok <> ''")
+    return sketches.simhash(views.table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query(
@@ -558,7 +620,12 @@ def _tokens(spark, sf):
     "select x.id as a, y.id as b, cast(hamming(x.f,y.f) as int) as distance from p x join p y on x.id<y.id where hamming(x.f,y.f)<=3"
 )
 def simhash_near_dups(spark, sf):
-    return sketches.near_fingerprints(sketches.simhash(_tokens(spark, sf), "doc_id", "tok"), "doc_id", 3)
+    return sketches.near_fingerprints(sketches.simhash(views.table(spark, sf, "documents"), "doc_id", "text"), "doc_id", 3)
+
+
+@query(f"with t as (select doc_id, {_H % 'tok'} as h from {_TOKENS}), v as (select doc_id, {_VOTES} from t group by 1) select doc_id, min(doc_id) over (partition by {_PRINT}) as representative from v")
+def simhash_groups(spark, sf):
+    return sketches.fingerprint_groups(sketches.simhash(views.table(spark, sf, "documents"), "doc_id", "text"), "doc_id")
 
 
 def _merkle_sql() -> str:
@@ -594,23 +661,43 @@ def membership_merge(spark, sf):
     return membership.merge(_records(spark, sf), "c", "m1", 5)
 
 
-@query()
+@query(
+    "with recursive e as (select user_id as target, event_id as tick, event_type<>'error' or value>40 as ok, row_number() over (partition by user_id order by event_id) as n from events), "
+    "f(target, n, tick, status, since) as (select target, n, tick, case when ok then 'alive' else 'suspect' end, case when ok then null else tick end from e where n=1 union all "
+    "select e.target, e.n, e.tick, case when f.status='dead' then 'dead' when e.ok then 'alive' when f.status='alive' then 'suspect' when e.tick-f.since>=200 then 'dead' else 'suspect' end, "
+    "case when f.status='dead' then f.since when e.ok then null when f.status='alive' then e.tick else f.since end from f join e on e.target=f.target and e.n=f.n+1) select target, tick, status from f"
+)
 def failure_detector(spark, sf):
-    """An ordered fold, compared with a plain version in the tests."""
     e = views.table(spark, sf, "events")
     return membership.detect(e.select(F.col("user_id").alias("target"), F.col("event_id").alias("tick"), (F.col("event_type") != "error").alias("direct_ok"), (F.col("value") > 40).alias("indirect_ok")), 200)
 
 
-@query()
+@query(
+    "with recursive e as (select user_id as u, event_id as seq, event_id//100 as ts, row_number() over (partition by user_id order by event_id//100, event_id) as n from events), "
+    "f(u, n, seq, ts, tokens, since, allowed) as (select u, n, seq, ts, cast(2 as bigint), ts, true from e where n=1 union all "
+    "select u, n, seq, ts, case when have>=1 then have-1 else tokens end, case when have>=1 then ts else since end, have>=1 from (select e.u, e.n, e.seq, e.ts, f.tokens, f.since, least(3, f.tokens+cast(floor((e.ts-f.since)*0.25) as bigint)) as have from f join e on e.u=f.u and e.n=f.n+1) x) "
+    'select u as "user", seq, ts as ts_seconds, allowed from f'
+)
 def token_bucket(spark, sf):
-    """An ordered fold, compared with a plain version in the tests."""
     e = views.table(spark, sf, "events")
     return limits.token_bucket(e.select(F.col("user_id").alias("user"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 100).cast("long").alias("ts_seconds")), rate=0.25, most=3)
 
 
-@query(f"with {_LOG} select lsn, op, key, coalesce(value,'') as value from kv_log where lsn<=2000")
+@query(f"with {_LOG} select lsn, op, key, coalesce(value,'') as value from kv_log")
 def wal_record_decode(spark, sf):
     """Log rows written to segments' bytes and read back."""
-    rows = _log(spark, sf).filter("lsn <= 2000").select("lsn", F.col("op").cast("int").alias("op"), "key", F.coalesce("value", F.lit("")).alias("value"))
+    rows = _log(spark, sf).select("lsn", F.col("op").cast("int").alias("op"), "key", F.coalesce("value", F.lit("")).alias("value"))
     segments = wal.encode(rows, per_segment=256)
     return wal.decode(segments).filter("not corrupt").select("lsn", "op", "key", "value")
+
+
+@query(f"with {_LOG} select key, value, lsn from kv_state")
+def feed_materialised(spark, sf):
+    """The log committed to a store in four batches, the newest first, and followed by a stream into another one: LSNs decide, not arrival."""
+    root = f"{scratch(spark)}/feed-{uuid.uuid4().hex}"
+    log, source, to = _log(spark, sf).select("lsn", "op", "key", "value"), KVStore(spark, f"{root}/a"), KVStore(spark, f"{root}/b")
+    parts = (log.agg(F.max("lsn")).first()[0] or 0) // 4 + 1
+    for i in reversed(range(4)):
+        source.append(log.filter(F.floor((F.col("lsn") - 1) / parts) == i))
+    feeds.materialise(feeds.commits(spark, f"{root}/a", files_per_batch=2), to, f"{root}/c").awaitTermination()
+    return to.state()

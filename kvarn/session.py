@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_own: list[str] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -30,6 +31,18 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a local one if the driver is the only machine, else an error."""
+    if shared := spark.sparkContext.getConf().get("spark.checkpoint.dir", ""):
+        return shared.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="kvarn-shared-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
+
+
 def local_session(cpus: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings the queries expect (UTC, adaptive execution)."""
     defaults = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +16,28 @@ from kvarn.schema import LOG
 from kvarn.sources.store import KVStore
 
 
-def tail(spark: SparkSession, folder: str, after_lsn: int = 0, files_per_batch: int | None = None) -> DataFrame:
-    """Log rows after an LSN as files of committed batches appear below a folder. ``files_per_batch`` holds the flow back."""
-    reader = spark.readStream.schema(LOG).option("recursiveFileLookup", "true")
+_ENTRIES = "version long, log array<struct<path:string,min_lsn:long,max_lsn:long,version:long>>"
+
+
+def commits(spark: SparkSession, root: str, after_lsn: int = 0, files_per_batch: int | None = None) -> DataFrame:
+    """path, min_lsn, max_lsn, version of each batch that a store at ``root`` commits, once, as its manifests appear. Files of failed
+    commits are in no manifest. ``files_per_batch`` manifests at a time hold the flow back."""
+    reader = spark.readStream.schema(_ENTRIES).option("pathGlobFilter", "*.json")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder).filter(F.col("lsn") > after_lsn)
+    entries = reader.json(f"{root}/manifest").select("version", F.explode("log").alias("e"))
+    return entries.filter((F.col("e.version") == F.col("version")) & (F.col("e.max_lsn") > after_lsn)).select("e.*")
+
+
+def follow(log: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, after_lsn: int = 0, **trigger) -> StreamingQuery:
+    """Call ``handle(rows, number)`` with the log rows of each micro-batch of ``commits``."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        paths = [r["path"] for r in batch.orderBy("version").collect()]  # a row for each commit of the micro-batch
+        if paths:
+            handle(batch.sparkSession.read.schema(LOG).parquet(*paths).filter(F.col("lsn") > after_lsn), number)
+
+    return log.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def newest_changes(log: DataFrame) -> DataFrame:
@@ -30,21 +46,14 @@ def newest_changes(log: DataFrame) -> DataFrame:
 
 
 def materialise(log: DataFrame, store: KVStore, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append each micro-batch, reduced to its newest row a key, to a store. A batch that is run again after a failure is skipped: its number is kept with the commit."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        done = store.manifest().get("stream_batch", -1)
-        if number <= done:
-            return
-        rows = newest(batch).withColumn("seq", F.col("lsn")).select("op", "key", "value", "seq")
-        original = store._install
-        store._install = lambda m: original(m | {"stream_batch": number})
-        try:
-            store.apply(rows, "seq")
-        finally:
-            store._install = original
-
-    return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    """Append each micro-batch of ``commits``, reduced to its newest row a key, to a store under the source's LSNs, so that a change that comes
+    late loses to a newer one. A batch that is run again after a failure is skipped: its number is kept with the commit."""
+
+    def write(rows: DataFrame, number: int) -> None:
+        if number > store.manifest().get("stream_batch", -1):
+            store.append(newest(rows), stream_batch=number)
+
+    return follow(log, write, checkpoint, **trigger)
 
 
 def limited(requests: DataFrame, rate: float = 100.0, most: int = 10000) -> DataFrame:

@@ -79,6 +79,7 @@ def test_two_writers_conflict(spark, tmp_path):
     a.commit()
     with pytest.raises(Conflict):
         b._install(stale)
+    assert not [p for p in (tmp_path / "manifest").iterdir() if p.name.endswith(".tmp")]
 
 
 def test_iterator_protocol(spark, tmp_path):
@@ -109,14 +110,58 @@ def test_stream_into_a_store(spark, tmp_path):
         src.put(f"k{i % 3}", str(i))
         src.commit()
     to = KVStore(spark, str(tmp_path / "b"))
-    log = feeds.tail(spark, str(tmp_path / "a" / "log"), files_per_batch=2)
+    log = feeds.commits(spark, str(tmp_path / "a"), files_per_batch=2)
     feeds.materialise(log, to, str(tmp_path / "c")).awaitTermination(120)
-    assert {r["key"]: r["value"] for r in to.state().collect()} == {"k0": "3", "k1": "4", "k2": "5"}
+    assert {r["key"]: (r["value"], r["lsn"]) for r in to.state().collect()} == {"k0": ("3", 4), "k1": ("4", 5), "k2": ("5", 6)}
     n = to.manifest()["version"]
     feeds.materialise(log, to, str(tmp_path / "c")).awaitTermination(120)
     assert to.manifest()["version"] == n
 
 
+def test_late_changes_lose_to_newer_ones(spark, tmp_path):
+    row = lambda lsn, value, op=1: spark.createDataFrame([(lsn, op, "k", value)], "lsn long, op int, key string, value string")
+    src, to = KVStore(spark, str(tmp_path / "a")), KVStore(spark, str(tmp_path / "b"))
+    src.append(row(9, "new"))
+    src.append(row(3, "old"))
+    log = feeds.commits(spark, str(tmp_path / "a"), files_per_batch=1)
+    feeds.materialise(log, to, str(tmp_path / "c")).awaitTermination(120)
+    assert [(r["value"], r["lsn"]) for r in to.state().collect()] == [("new", 9)] and src.get("k") == "new"
+    src.append(row(10, None, 2))
+    src.append(row(9, "new"))
+    feeds.materialise(log, to, str(tmp_path / "c")).awaitTermination(120)
+    assert to.state().count() == 0 and to.manifest()["max_lsn"] == 10
+
+
+def test_files_of_failed_commits_are_not_followed(spark, tmp_path):
+    src, to = KVStore(spark, str(tmp_path / "a")), KVStore(spark, str(tmp_path / "b"))
+    src.put("k", "v")
+    src.commit()
+    orphan = spark.createDataFrame([(5, 1, "k", "wrong")], "lsn long, op int, key string, value string").selectExpr("lsn", "cast(op as byte) as op", "key", "value")
+    orphan.write.parquet(str(tmp_path / "a" / "log" / "orphan"))
+    feeds.materialise(feeds.commits(spark, str(tmp_path / "a")), to, str(tmp_path / "c")).awaitTermination(120)
+    assert to.get("k") == "v"
+    assert src.vacuum() == [] and any("orphan" in p for p in src.vacuum(orphans_after=0)) and src.get("k") == "v"
+
+
+def test_pins_are_seen_by_other_processes(spark, tmp_path):
+    a, b = KVStore(spark, str(tmp_path)), KVStore(spark, str(tmp_path))
+    a.put("k", "1")
+    a.commit()
+    pin = a.snapshot()
+    a.put("k", "2")
+    a.commit()
+    a.flush()
+    b.vacuum()
+    assert b.pinned() == {pin} and [r["value"] for r in a.state(pin).collect()] == ["1"]
+    a.release(pin)
+    assert not b.pinned()
+    b.snapshot()
+    a.unpin(a.manifest()["version"])
+    assert not b.pinned()
+    b.vacuum()
+    assert b.versions() == [a.manifest()["version"]] and a.get("k") == "2"
+
+
 def test_stream_limiter(spark, tmp_path):
     rows = [(1, i, i // 3) for i in range(12)]
     spark.createDataFrame(rows, "user long, seq long, ts_seconds long").coalesce(1).write.parquet(str(tmp_path / "in"))
