@@ -40,6 +40,24 @@ def test_table_files(spark, tmp_path):
         sstable.footer(data[:-1] + b"\0")
 
 
+def test_table_ranges_by_index(spark, tmp_path, monkeypatch):
+    items = [(f"k{i:05d}".encode(), b"v" * (i % 90)) for i in range(3000)] + [(b"k01000x", b"z" * 20000)]
+    data = sstable.write(items, 7)
+    assert [k for k, _ in sstable.sparse_index(data)] == sorted(k for k, _ in sstable.sparse_index(data))
+    for a, b in ((b"", None), (b"k00500", b"k00510"), (b"k01000", b"k01001"), (b"k01000x", b"k01000x"), (b"k02999", None), (b"a", b"b"), (b"z", None), (b"k00700a", b"k00700b")):
+        assert list(sstable.between(data, a, b)) == [x for x in sorted(items) if x[0] >= a and (b is None or x[0] <= b)]
+    read = []
+    monkeypatch.setattr(sstable, "entries", lambda d, first=0, plain=sstable.entries: (read.append(x[0]) or x for x in plain(d, first)))
+    assert list(sstable.between(data, b"k02000", b"k02000")) == [(b"k02000", b"v" * 20)] and len(read) < 200
+    monkeypatch.undo()
+    (tmp_path / "a.db").write_bytes(data)
+    (tmp_path / "b.db").write_bytes(sstable.write([(b"k00001", b"newer"), (b"k00002", b"<DELETED!>")], 9))
+    (tmp_path / "c.db.tmp").write_bytes(b"torn")
+    assert [sstable.get(spark, str(tmp_path), k) for k in ("k00001", "k00002", "k00003", "none")] == ["newer", None, "vvv", None]
+    assert sstable.prefix_scan(spark, str(tmp_path), "k0100").count() == 11
+    assert len(sstable.clean_unfinished(spark, str(tmp_path))) == 1 and not sstable.clean_unfinished(spark, str(tmp_path))
+
+
 def test_store(spark, tmp_path):
     s = KVStore(spark, str(tmp_path), EngineConfig(lsm_levels=3, compaction_threshold=2))
     assert s.get("a") is None and s.commit() == 0
