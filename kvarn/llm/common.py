@@ -6,33 +6,36 @@ import atexit
 import contextlib
 import ctypes
 import gc
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvarn.session import scratch
+
 #: White space between words: the ASCII space and TAB to CR. ``bytes.split()`` cuts at the same characters.
 SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dir: list[str] = []
 _written: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local one if the driver is the only machine (tests), else an error."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="kvarn-shared-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return _own_dir[0]
+    """The folder that driver and executors share; see ``kvarn.session.scratch``."""
+    return scratch(spark)
+
+
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Shuffle files of what runs within are deleted at its end; later steps read the table that was written, not these."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
@@ -41,7 +44,8 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     if not _written:
         atexit.register(clean, df.sparkSession)
     _written.add(path)
-    df.write.parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

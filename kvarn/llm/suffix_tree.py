@@ -10,11 +10,12 @@ P(w | s) = (c(sw) + T(s) P(w | suffix)) / (c(s) + T(s)), T the number of differe
 
 *Flow.* Input blocks (a few thousand texts) are written once as word numbers. Words are counted by hash over all blocks; the
 counts and global numbers (small ones for frequent words) go back to the blocks. All contexts with the same last word
-make up one subtree, so each distinct (history, symbol) of a block goes to the bucket of its last word, where the
-subtree is built to its full depth, and its probability comes back: one exchange for all depths.
+make up one subtree, so each token goes with its history to the bucket of the last word before it, where the
+subtree is built to its full depth, and its probability comes back: one exchange for all depths, in ``TURNS`` turns, each of a share of the
+buckets, to halve what is on disk at a time.
 
-A context with more than ``HOT`` entries (estimated from one position in ``SAMPLE``; this chooses the plan, not the result) would
-fill a bucket, so it is split: its entries are dealt by one more word of history, and the distributions of the hot contexts themselves are
+A context with more than ``HOT`` tokens (estimated from one position in ``SAMPLE``; this chooses the plan, not the result) would
+fill a bucket, so it is split: its tokens are dealt by one more word of history, and the distributions of the hot contexts themselves are
 counted apart, as (context, symbol) pairs in buckets of symbols. What the driver holds are the hot contexts' totals, at most DEPTH * N / HOT rows.
 
 Null and empty texts are one end token. A null doc_id counts as a training row; repeated rows count each time.
@@ -23,7 +24,9 @@ Null and empty texts are one end token. A null doc_id counts as a training row;
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, discard, materialise, pack_numbers, release, trim, unpack_numbers
+from .common import columns, discard, materialise, pack_numbers, trim, unpack_numbers
 
 DEPTH, MIN_COUNT, MIN_DIVERGENCE = 5, 2, 0.05
-HOT, SAMPLE = 500_000, 256
+HOT, SAMPLE, TURNS = 500_000, 256, 2
 BLOCK_DOCS, BLOCK_BYTES, WORD_BUCKET_BYTES, BUCKET_TOKENS = 4000, 6_000_000, 16_000_000, 700_000
 _P1 = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = 40  # word numbers take 40 bits of a key
@@ -69,25 +72,30 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
     schema = _TEXTS + ", " + _WORDS.split(", ", 1)[1]
 
     def reduce_block(block: int, ids: list, texts: list) -> pa.RecordBatch:
-        seen: dict[bytes, int] = {}
-        split, held = [], [is_held_out(i) for i in ids]
+        place: dict[bytes, int] = defaultdict()
+        place.default_factory = place.__len__  # words are numbered as they come
+        flat, sizes = [], []
         for text in texts:
-            own = [*(text or "").encode().lower().split(), b""]
-            split.append(own)
-            for w in own:
-                seen[w] = seen.get(w, 0) + 1
-        words = sorted(seen, key=seen.get, reverse=True)  # frequent words get short numbers
-        number = {w: k for k, w in enumerate(words)}
-        tokens = np.array([number[w] for own in split for w in own], dtype=np.int64)
-        sizes = np.array([len(own) for own in split], dtype=np.int64)
-        counted = np.bincount(tokens[np.repeat(~np.array(held, dtype=bool), sizes)], minlength=len(words))
-        at = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in words], dtype=np.int64)
-        rows = [(block, ids, np.array(held, "u1").tobytes(), pack_numbers(sizes), pack_numbers(tokens), number[b""], *[None] * 4)]
+            own = (text or "").encode().lower().split()
+            flat += own
+            flat.append(b"")
+            sizes.append(len(own) + 1)
+        tokens = np.fromiter(map(place.__getitem__, flat), dtype=np.int64, count=len(flat))
+        del flat
+        words, sizes = list(place), np.array(sizes, dtype=np.int64)
+        held = np.array([is_held_out(i) for i in ids], dtype=bool)
+        order = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")  # frequent words get short numbers
+        number = np.empty(len(words), dtype=np.int64)
+        number[order] = np.arange(len(words))
+        tokens, words = number[tokens], [words[i] for i in order.tolist()]
+        counted = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(words))
+        at = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)) % np.uint64(buckets)
+        rows = [(block, ids, held.astype("u1").tobytes(), pack_numbers(sizes), pack_numbers(tokens), int(number[place[b""]]), *[None] * 4)]
         order = np.argsort(at, kind="stable")
-        cuts = np.searchsorted(at[order], np.arange(buckets + 1))
+        cuts = np.searchsorted(at[order], np.arange(buckets + 1, dtype=np.uint64))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             mine = order[cuts[b] : cuts[b + 1]]
-            rows.append((block, *[None] * 5, b, b"\n".join(words[i] for i in mine.tolist()), pack_numbers(np.diff(mine, prepend=0)), pack_numbers(counted[mine])))
+            rows.append((block, *[None] * 5, b, b"\n".join([words[i] for i in mine.tolist()]), pack_numbers(np.diff(mine, prepend=0)), pack_numbers(counted[mine])))
         return _table(list(zip(*rows, strict=True)), schema).to_batches()[0]
 
     def run(batches):
@@ -132,20 +140,20 @@ def _tell(buckets: int):
     return run
 
 
-_CODED = "block long, ids array<long>, held binary, sizes binary, tokens binary, end long, globals binary, counts binary"
+_CODED = "block long, ids array<long>, held binary, sizes binary, tokens binary, end long, globals binary, counts binary, told binary"
 
 
 def _coded(left: pa.Table, right: pa.Table) -> pa.Table:
     """A block's texts with the global numbers and counts of its words."""
     if not left.num_rows:
-        return _table([[]] * 8, _CODED)
+        return _table([[]] * 9, _CODED)
     number = np.concatenate([np.cumsum(unpack_numbers(x)) for x in right.column("numbers").to_pylist()])
     order = np.argsort(number)
     globals_, counts = (np.concatenate([unpack_numbers(x) for x in right.column(c).to_pylist()])[order] for c in ("globals", "counts"))
-    return _table([*[left.column(c).to_pylist() for c in ("block", "ids", "held", "sizes", "tokens", "end")], [pack_numbers(globals_)], [pack_numbers(counts)]], _CODED)
+    return _table([*[left.column(c).to_pylist() for c in ("block", "ids", "held", "sizes", "tokens", "end")], [pack_numbers(globals_)], [pack_numbers(counts)], [None]], _CODED)
 
 
-# ---- a block's distinct histories
+# ---- a block's tokens and what stands before them
 
 
 @dataclass
@@ -185,14 +193,16 @@ class Settings:
 
 
 class Block:
-    """A block's tokens, and its distinct (history, symbol) entries in a fixed order."""
+    """A block's tokens with the numbers and counts of their words."""
 
     def __init__(self, row: dict, of: Settings):
         self.of, self.ids = of, row["ids"]
         self.sizes, self.held = unpack_numbers(row["sizes"]), np.frombuffer(row["held"], "u1").astype(bool)
         self.tok, self.word, self.count = unpack_numbers(row["tokens"]), unpack_numbers(row["globals"]), unpack_numbers(row["counts"])
         self.end, self.starts = row["end"], np.cumsum(self.sizes) - self.sizes
-        self.block = row["block"]
+        self.block, self.train, self.told = row["block"], np.repeat(~self.held, self.sizes), row["told"]
+        self.words = np.concatenate([[0], self.word])  # by local number + 1
+        self.back = self.histories()
 
     def histories(self) -> list[np.ndarray]:
         """For each length, the local number + 1 of the word so far back, 0 where none stands or a word since then is rare."""
@@ -209,95 +219,94 @@ class Block:
             found.append(back)
         return found
 
-    def entries(self) -> None:
-        """``history`` (a list of columns, local), ``symbol``, training counts ``n``, and which entry each token is in ``where``."""
-        cols = [*self.histories(), self.tok + 1]
-        bits, packed, room = int(len(self.word) + 1).bit_length(), [], 0
-        for c in cols:
-            if room < bits:
-                packed.append(c.astype(np.uint64))
-                room = 64 - bits
+    def hot(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length: the tokens that have a hot context of it, and its number."""
+        found, words = [], self.words
+        for cols, keys, numbers in zip(self.back, self.of.keys, self.of.numbers, strict=False):
+            if not found:  # one look-up a word
+                at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+                own = np.where(keys[at] == words, numbers[at], 0)[cols]
+                tokens = np.flatnonzero(own)
             else:
-                packed[-1] = (packed[-1] << np.uint64(bits)) | c.astype(np.uint64)
-                room -= bits
-        order = np.lexsort(packed[::-1])
-        other = np.zeros(len(order), dtype=bool)
-        for p in packed:
-            q = p[order]
-            other[1:] |= q[1:] != q[:-1]
-        other[:1] = True
-        place = np.cumsum(other) - 1
-        self.where = np.empty(len(order), dtype=np.int64)
-        self.where[order] = place
-        some = order[other]
-        words = np.concatenate([[0], self.word])
-        self.history = [words[c[some]] for c in cols[:-1]]
-        self.symbol, self.seen = self.word[self.tok[some]], self.count[self.tok[some]]
-        self.n = np.bincount(self.where[np.repeat(~self.held, self.sizes)], minlength=len(some))
-
-    def hot(self) -> np.ndarray:
-        """Numbers of the hot contexts of each entry, a column for each length (0: not hot)."""
-        found, own = [], np.zeros(len(self.symbol), dtype=np.int64)
-        for keys, numbers, words in zip(self.of.keys, self.of.numbers, self.history, strict=False):
-            if found:
-                words = np.where(own > 0, words, 0)
-            key = (own << _SHIFT) | words
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            own = np.where((keys[at] == key) & (words > 0), numbers[at], 0)
-            found.append(own)
-        return np.array(found)
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (hot context, symbol) keys in the order of their buckets, cuts of the buckets, training counts, and the symbols' counts."""
-        hot = self.hot()
-        level, entry = np.nonzero(hot)
-        symbols, back = np.unique(self.symbol[entry], return_inverse=True)  # pairs by (context, place of the symbol)
-        key = (hot[level, entry] << np.int64(22)) | back if len(symbols) < 1 << 22 else None
-        if key is None:
-            raise ValueError("a block has more than four million distinct words")
-        names, first, where = np.unique(key, return_index=True, return_inverse=True)
-        n = np.bincount(where, weights=self.n[entry], minlength=len(names)).astype(np.int64)
-        context, symbol, seen = names >> 22, self.symbol[entry][first], self.seen[entry][first]
-        bucket = (_mix(symbol.astype(np.uint64)) % np.uint64(self.of.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(self.of.buckets + 1))
-        self.pair_of = (hot, level, entry, where, order)
-        return (context[order], symbol[order], n[order], seen[order]), cuts
-
-    def known(self, answers: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The probability of each entry after its hot contexts, and the length of the longest of these."""
-        p, length = self.of.root(self.seen), np.zeros(len(self.symbol), dtype=np.int64)
-        if self.of.keys:
+                tokens, before = found[-1]
+                key = (before << _SHIFT) | words[cols[tokens]]
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = (keys[at] == key) & (cols[tokens] > 0)
+                tokens, own = tokens[hit], np.zeros(len(self.tok), dtype=np.int64)
+                own[tokens] = numbers[at[hit]]
+            found.append((tokens, own[tokens]))
+        return found
+
+    def pairs(self) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Distinct (hot context, symbol) pairs in the order of their buckets with training counts and the symbols' counts; and cuts of the buckets."""
+        self.levels = self.hot()
+        tokens, context = (np.concatenate([x[i] for x in self.levels]) for i in (0, 1))
+        bits = np.int64(int(len(self.word)).bit_length())
+        names, self.pair = np.unique((context << bits) | self.tok[tokens], return_inverse=True)
+        n = np.bincount(self.pair, weights=self.train[tokens], minlength=len(names)).astype(np.int64)
+        symbol = names & ((1 << bits) - 1)
+        bucket = (_mix(self.word[symbol].astype(np.uint64)) % np.uint64(self.of.buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[self.order], np.arange(self.of.buckets + 1))
+        symbol = symbol[self.order]
+        return ((names >> bits)[self.order], self.word[symbol], n[self.order], self.count[symbol]), cuts
+
+    def known(self) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of each token after its hot contexts, and the length of the longest of these."""
+        p, length = self.of.root(self.count)[self.tok], np.zeros(len(self.tok), dtype=np.int64)
+        if self.told:
             self.pairs()
-            hot, level, entry, where, order = self.pair_of
-            told = np.empty(len(order))
-            told[order] = np.concatenate([answers[b] for b in sorted(answers)]) if len(order) else 0
-            length = (hot > 0).sum(axis=0)
-            last = level + 1 == length[entry]
-            p[entry[last]] = told[where[last]]
+            told = np.empty(len(self.order), dtype=np.float32)
+            told[self.order] = np.frombuffer(self.told, "<f4")
+            at = 0
+            for n, (tokens, _) in enumerate(self.levels, 1):
+                p[tokens] = told[self.pair[at : at + len(tokens)]]
+                length[tokens] = n
+                at += len(tokens)
         return p, length
 
-    def dealt(self, p: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries whose next longer context is yet to be looked up, in the order of their buckets, and cuts of the buckets."""
-        key = np.zeros(len(self.symbol), dtype=np.uint64)
-        open_ = np.zeros(len(self.symbol), dtype=bool)
-        for n in range(self.of.depth):
-            used = length >= n
-            key[used] = _mix(key[used] + _P1 * self.history[n][used].astype(np.uint64))
-            open_ |= (length == n) & (self.history[n] > 0)
+    def dealt(self, length: np.ndarray, turn: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens whose next longer context is yet to be looked up in a bucket of this turn (None: of all turns, one after another), by bucket and last word, and cuts of the buckets."""
+        key = _mix(_P1 * self.words.astype(np.uint64))[self.back[0]]
+        open_ = (length == 0) & (self.back[0] > 0)
+        for n in range(1, self.of.depth):
+            longer = np.flatnonzero(length >= n)
+            if not len(longer):
+                break
+            key[longer] = _mix(key[longer] + _P1 * self.words[self.back[n][longer]].astype(np.uint64))
+            open_[longer] = (length[longer] == n) & (self.back[n][longer] > 0)
         some = np.flatnonzero(open_)
         bucket = (key[some] % np.uint64(self.of.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        if turn is not None:
+            mine = bucket % TURNS == turn
+            some, bucket = some[mine], bucket[mine]
+        bucket += (bucket % TURNS) * self.of.buckets if turn is None else 0
+        order = np.argsort((bucket << np.int64(int(len(self.words)).bit_length())) | self.back[0][some], kind="stable")
         return some[order], np.searchsorted(bucket[order], np.arange(self.of.buckets + 1))
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    """Small numbers of either sign as small numbers of 0 and more."""
-    return np.where(x < 0, -2 * x - 1, 2 * x)
+def _slices(x: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """``pack_numbers`` of each part of ``x`` between cuts."""
+    data = pack_numbers(x)
+    ends = np.concatenate([[0], np.flatnonzero(np.frombuffer(data, dtype=np.uint8) >= 128) + 1])[cuts]
+    return [data[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+
+
+def _width(*columns_: np.ndarray) -> int:
+    """Bytes that the greatest number needs."""
+    return max(1, -(-int(max((c.max() for c in columns_ if len(c)), default=0)).bit_length() // 8))
+
+
+def _planes(x: np.ndarray, width: int) -> list[np.ndarray]:
+    """The lowest bytes of all numbers, then the next ones, and so on: they compress better apart."""
+    return list(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T))
 
 
-def _unsigned(x: np.ndarray) -> np.ndarray:
-    return np.where(x & 1, -(x + 1) // 2, x // 2)
+def _from_planes(planes: np.ndarray) -> np.ndarray:
+    out = planes[0].astype(np.int64)
+    for k in range(1, len(planes)):
+        out |= planes[k].astype(np.int64) << np.int64(8 * k)
+    return out
 
 
 # ---- hot contexts
@@ -311,9 +320,8 @@ def _hot_paths(coded: DataFrame, of: Settings, blocks: int, hot: int, sample: in
         for batch in batches:
             for row in batch.to_pylist():
                 block, found = Block(row, of), []
-                words = np.concatenate([[0], block.word])
                 drawn = _mix(np.arange(len(block.tok), dtype=np.uint64) + np.uint64(block.block & 0xFFFF) * _P1) % np.uint64(sample) == 0
-                cols = [words[c[drawn]] for c in block.histories()]
+                cols = [block.words[c[drawn]] for c in block.back]
                 alive, group = np.arange(int(drawn.sum())), np.zeros(int(drawn.sum()), dtype=np.int64)
                 for n, col in enumerate(cols):
                     keep = col[alive] > 0
@@ -337,11 +345,10 @@ def _send_pairs(of: Settings):
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row, of)
-                block.entries()
                 data, cuts = block.pairs()
                 full = np.flatnonzero(np.diff(cuts)).tolist()
-                packed = [[pack_numbers(x[cuts[b] : cuts[b + 1]]) for b in full] for x in data]
-                yield from _table([full, [block.block] * len(full), *packed], _PAIRS).to_batches()
+                packed = [_slices(x, cuts) for x in data]
+                yield from _table([full, [block.block] * len(full), *[[x[b] for b in full] for x in packed]], _PAIRS).to_batches()
                 trim()
 
     return run
@@ -349,7 +356,7 @@ def _send_pairs(of: Settings):
 
 def _totals(table: pa.Table) -> pa.Table:
     """The bucket's distinct pairs and their counts over all blocks."""
-    context, symbol, n, seen = (np.concatenate([unpack_numbers(x) for x in table.column(c).to_pylist()]) for c in ("context", "symbol", "n", "seen"))
+    context, symbol, n, seen = (unpack_numbers(b"".join(table.column(c).to_pylist())) for c in ("context", "symbol", "n", "seen"))
     order = np.lexsort((symbol, context))
     context, symbol, n, seen = context[order], symbol[order], n[order], seen[order]
     first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])]))
@@ -416,7 +423,7 @@ def _answer_pairs(of: Settings):
         key, out = context * len(symbols) + np.searchsorted(symbols, symbol), []
         for c, s in zip(left.column("context").to_pylist(), left.column("symbol").to_pylist(), strict=True):
             at = np.searchsorted(key, unpack_numbers(c) * len(symbols) + np.searchsorted(symbols, unpack_numbers(s)))
-            out.append(after[at].astype("<f8").tobytes())
+            out.append(after[at].astype("<f4").tobytes())
         return _table([left.column("block").to_pylist(), left.column("bucket").to_pylist(), out], _ANSWERS)
 
     return run
@@ -425,45 +432,40 @@ def _answer_pairs(of: Settings):
 # ---- subtrees
 
 
-def _entry_schema(depth: int) -> str:
-    return "bucket int, block long, " + "".join(f"h{n} binary, " for n in range(1, depth + 1)) + "symbol binary, n binary, seen binary, skip binary, p binary"
+#: A block's tokens for a bucket: how many (m), the widths of word numbers and counts, planes of history, symbol, count, training flag and hot length, and the
+#: probabilities after hot contexts.
+_ENTRIES = "bucket int, block long, m int, width int, wide int, data binary, p binary"
 
 
-def _send_entries(of: Settings):
-    """A block's entries for the buckets. Where a hot context has been looked up, its length and the probability after it come along."""
-    schema = _entry_schema(of.depth)
+def _send_tokens(of: Settings, turn: int):
+    """A block's tokens with their histories for the buckets of a turn. Where a hot context has been looked up, its length and the probability after it come along."""
 
-    def emit(row: dict, answers: dict[int, np.ndarray]) -> pa.Table:
-        block = Block(row, of)
-        block.entries()
-        p, length = block.known(answers)
-        some, cuts = block.dealt(p, length)
-        full, out = np.flatnonzero(np.diff(cuts)).tolist(), []
-        for b in full:
-            own = some[cuts[b] : cuts[b + 1]]
-            skip = length[own]
-            history = [pack_numbers(_signed(np.diff(block.history[0][own], prepend=0))), *[pack_numbers(h[own]) for h in block.history[1:]]]
-            out.append((b, block.block, *history, pack_numbers(block.symbol[own]), pack_numbers(block.n[own]), pack_numbers(block.seen[own]), skip.astype("u1").tobytes(), p[own][skip > 0].astype("<f8").tobytes()))
-        trim()
-        return _table(list(zip(*out, strict=True)) or [[]] * (of.depth + 7), schema)
-
-    def alone(batches):
+    def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                yield from emit(row, {}).to_batches()
-
-    def with_answers(left: pa.Table, right: pa.Table) -> pa.Table:
-        return emit(left.to_pylist()[0], _answers(right)) if left.num_rows else _table([[]] * (of.depth + 7), schema)
-
-    return with_answers if of.keys else alone
-
+                block = Block(row, of)
+                p, length = block.known()
+                own, cuts = block.dealt(length, turn)
+                symbol, seen = block.word[block.tok[own]], block.count[block.tok[own]]
+                width, wide = _width(block.word), _width(block.count)
+                planes = [y for c in block.back for y in _planes(block.words[c[own]], width)]
+                planes += [*_planes(symbol, width), *_planes(seen, wide), block.train[own].astype(np.uint8), length[own].astype(np.uint8)]
+                hot, p = length[own] > 0, p[own].astype("<f4")
+                out = []
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    x = slice(cuts[b], cuts[b + 1])
+                    data = pa.compress(b"".join([y[x].tobytes() for y in planes]), codec="zstd", asbytes=True)
+                    out.append((b, block.block, int(cuts[b + 1] - cuts[b]), width, wide, data, p[x][hot[x]].tobytes()))
+                if out:
+                    yield from _table(list(zip(*out, strict=True)), _ENTRIES).to_batches()
+                del block, planes, out
+                trim()
 
-def _answers(table: pa.Table) -> dict[int, np.ndarray]:
-    return {b: np.frombuffer(p, "<f8") for b, p in zip(table.column("bucket").to_pylist(), table.column("p").to_pylist(), strict=True)}
+    return run
 
 
 def subtree(history: list[np.ndarray], symbol: np.ndarray, n: np.ndarray, p: np.ndarray, skip: np.ndarray, least: int, divergence: float) -> np.ndarray:
-    """The probabilities of entries (history from the last word backwards, symbol, training count) after all their contexts. ``p``: before, ``skip``: how many words of history that has used."""
+    """The probabilities of tokens (history from the last word backwards, symbol, training count) after all their contexts. ``p``: before, ``skip``: how many words of history that has used."""
     p, group, alive = p.copy(), np.zeros(len(symbol), dtype=np.int64), np.arange(len(symbol))
     for length, words in enumerate(history, 1):
         alive = alive[words[alive] > 0]
@@ -488,20 +490,27 @@ def subtree(history: list[np.ndarray], symbol: np.ndarray, n: np.ndarray, p: np.
 
 def _grow(of: Settings):
     def run(table: pa.Table) -> pa.Table:
-        read = lambda c: [unpack_numbers(x) for x in table.column(c).to_pylist()]
-        first = [np.cumsum(_unsigned(x)) for x in read("h1")]
-        cuts = np.cumsum([0, *map(len, first)])
+        sizes = table.column("m").to_pylist()
+        cuts = np.cumsum([0, *sizes])
         if cuts[-1] >= 1 << 23:
-            raise ValueError("a bucket has more than eight million entries: lower HOT or BUCKET_TOKENS")
-        history = [np.concatenate(first), *[np.concatenate(read(f"h{n}")) for n in range(2, of.depth + 1)]]
-        del first
-        skip = np.concatenate([np.frombuffer(x, "u1") for x in table.column("skip").to_pylist()]).astype(np.int64)
-        p = of.root(np.concatenate(read("seen")))
-        p[skip > 0] = np.concatenate([np.frombuffer(x, "<f8") for x in table.column("p").to_pylist()])
-        p = subtree(history, np.concatenate(read("symbol")), np.concatenate(read("n")), p, skip, of.least, of.divergence)
-        out = [p[a:b].astype("<f4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+            raise ValueError("a bucket has more than eight million tokens: lower HOT or BUCKET_TOKENS")
+        columns_ = np.empty((of.depth + 2, cuts[-1]), dtype=np.int64)
+        train, skip = np.empty(cuts[-1], dtype=np.uint8), np.empty(cuts[-1], dtype=np.uint8)
+        for at, m, width, wide, data in zip(cuts.tolist(), sizes, *(table.column(c).to_pylist() for c in ("width", "wide", "data")), strict=False):
+            planes = (of.depth + 1) * width + wide + 2
+            got = np.frombuffer(pa.decompress(data, decompressed_size=planes * m, codec="zstd", asbytes=True), dtype=np.uint8).reshape(planes, m)
+            for k in range(of.depth + 1):
+                columns_[k, at : at + m] = _from_planes(got[k * width : (k + 1) * width])
+            columns_[-1, at : at + m] = _from_planes(got[(of.depth + 1) * width : -2])
+            train[at : at + m], skip[at : at + m] = got[-2], got[-1]
+        p = of.root(columns_[-1])
+        p[skip > 0] = np.frombuffer(b"".join(table.column("p").to_pylist()), "<f4")
+        p = subtree(list(columns_[: of.depth]), columns_[of.depth], train, p, skip, of.least, of.divergence).astype("<f4")
+        out = [p[a:b].tobytes() for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+        blocks, bucket = table.column("block").to_pylist(), table.column("bucket").to_pylist()
+        del table, columns_
         trim()
-        return _table([table.column("block").to_pylist(), table.column("bucket").to_pylist(), out], _ANSWERS)
+        return _table([blocks, bucket, out], _ANSWERS)
 
     return run
 
@@ -510,62 +519,76 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def _add_up(of: Settings):
-    """The rows of a block's texts from the answers: kind 0 of the pairs with hot contexts, kind 1 of the subtrees."""
+    """The rows of a block's texts from the answers of the subtrees."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _table([[]] * 7, _SCORES)
         block = Block(left.to_pylist()[0], of)
-        block.entries()
-        kind = right.column("kind").to_numpy() if right.num_rows else np.zeros(0)
-        p, length = block.known(_answers(right.filter(pa.array(kind == 0))) if right.num_rows else {})
-        some, _ = block.dealt(p, length)
-        if len(some):
-            told = right.filter(pa.array(kind == 1))
-            rows = told.column("p").to_pylist()
-            p[some] = np.concatenate([np.frombuffer(rows[i], "<f4") for i in np.argsort(told.column("bucket").to_numpy())])
+        p, length = block.known()
+        own, _ = block.dealt(length)
+        if len(own):
+            told = sorted(zip(right.column("bucket").to_pylist(), right.column("p").to_pylist(), strict=True), key=lambda x: (x[0] % TURNS, x[0]))
+            p[own] = np.frombuffer(b"".join([x for _, x in told]), "<f4")
         add = lambda x: np.add.reduceat(x, block.starts)
         base = np.log10(of.root(block.count))[block.tok]
-        out = [block.ids, block.held, block.sizes, add((block.count[block.tok] > 0).astype(np.int64)), [of.tokens] * len(block.ids), add(base), add(np.log10(p)[block.where])]
+        out = [block.ids, block.held, block.sizes, add((block.count[block.tok] > 0).astype(np.int64)), [of.tokens] * len(block.ids), add(base), add(np.log10(p))]
         trim()
         return _table(out, _SCORES)
 
     return run
 
 
-def scores(docs: DataFrame, depth: int = DEPTH, least: int = MIN_COUNT, divergence: float = MIN_DIVERGENCE, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
-    spark, docs = docs.sparkSession, columns(docs, "doc_id", "text")
-    bytes_in = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    word_buckets = int(max(8, -(-bytes_in // WORD_BUCKET_BYTES)))
-    blocks = materialise(_blocks(docs, word_buckets), "blocks")
-    words = blocks.filter("bucket is not null").select(*[x.split()[0] for x in _WORDS.split(", ")])
-    told = materialise(words.groupBy("bucket").applyInArrow(_tell(word_buckets), _TOLD), "told")
+def _written(docs: DataFrame, bytes_in: int) -> tuple[DataFrame, int, int]:
+    """Blocks as global word numbers, the training tokens, and the kinds of words among them."""
+    buckets = int(max(8, -(-bytes_in // WORD_BUCKET_BYTES)))
+    names = lambda schema: [x.split()[0] for x in schema.split(", ")]
+    blocks = materialise(_blocks(docs, buckets), "blocks")
+    words = blocks.filter("bucket is not null").select(*names(_WORDS))
+    told = materialise(words.groupBy("bucket").applyInArrow(_tell(buckets), _TOLD), "told")
     totals = told.agg(F.sum("tokens"), F.sum("kinds")).first()
-    texts = blocks.filter("bucket is null").select(*[x.split()[0] for x in _TEXTS.split(", ")])
-    coded = materialise(texts.groupBy("block").cogroup(told.filter("block is not null").select("block", "numbers", "globals", "counts").groupBy("block")).applyInArrow(_coded, _CODED), "coded")
+    texts = blocks.filter("bucket is null").select(*names(_TEXTS))
+    answers = told.filter("block is not null").select("block", "numbers", "globals", "counts")
+    coded = materialise(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_coded, _CODED), "coded")
     discard(blocks)
     discard(told)
-    release(spark)
-    held = coded.agg(F.count("*"), F.sum(F.octet_length("tokens"))).first()
-    of = Settings(int(totals[0] or 0), int(totals[1] or 0), depth, least, divergence, int(max(8, (held[1] or 0) // 2 // BUCKET_TOKENS)))
-    of.add_hot(_hot_paths(coded, of, held[0], hot, sample))
+    return coded, int(totals[0] or 0), int(totals[1] or 0)
+
+
+def _with_hot_contexts(coded: DataFrame, of: Settings) -> DataFrame:
+    """Describe the hot contexts, and put into each block's row what they predict for its pairs."""
+    sent = materialise(coded.mapInArrow(_send_pairs(of), _PAIRS), "pairs")
+    totals = materialise(sent.groupBy("bucket").applyInArrow(_totals, "bucket int, context binary, symbol binary, n binary, seen binary"), "totals")
+    _describe_hot(totals, of)
+    asked = sent.select("bucket", "block", "context", "symbol").groupBy("bucket")
+    answers = asked.cogroup(totals.groupBy("bucket")).applyInArrow(_answer_pairs(of), _ANSWERS)
+
+    def put(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return left
+        rows = right.column("p").to_pylist()
+        told = b"".join([rows[i] for i in np.argsort(right.column("bucket").to_numpy())])
+        return left.set_column(left.schema.get_field_index("told"), "told", pa.array([told], pa.binary()))
 
-    answers = None
+    out = materialise(coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(put, _CODED), "coded")
+    for done in (sent, totals, coded):
+        discard(done)
+    return out
+
+
+def _of_subtrees(coded: DataFrame, of: Settings) -> DataFrame:
+    """The probabilities of each block's tokens: a table for each turn, so that the shuffle files of one turn only are on disk at a time."""
+    sent = [coded.mapInArrow(_send_tokens(of, turn), _ENTRIES) for turn in range(TURNS)]
+    return reduce(DataFrame.unionByName, [materialise(x.groupBy("bucket").applyInArrow(_grow(of), _ANSWERS), "grown") for x in sent])
+
+
+def scores(docs: DataFrame, depth: int = DEPTH, least: int = MIN_COUNT, divergence: float = MIN_DIVERGENCE, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
+    docs = columns(docs, "doc_id", "text")
+    coded, tokens, kinds = _written(docs, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    size = coded.agg(F.count("*"), F.sum(F.octet_length("tokens"))).first()
+    of = Settings(tokens, kinds, depth, least, divergence, int(max(8, (size[1] or 0) // 2 // BUCKET_TOKENS)))
+    of.add_hot(_hot_paths(coded, of, size[0], hot, sample))
     if of.keys:
-        sent = materialise(coded.mapInArrow(_send_pairs(of), _PAIRS), "pairs")
-        pairs = materialise(sent.groupBy("bucket").applyInArrow(_totals, "bucket int, context binary, symbol binary, n binary, seen binary"), "totals")
-        _describe_hot(pairs, of)
-        told_pairs = sent.select("bucket", "block", "context", "symbol").groupBy("bucket").cogroup(pairs.groupBy("bucket"))
-        answers = materialise(told_pairs.applyInArrow(_answer_pairs(of), _ANSWERS), "answers")
-        discard(sent)
-        discard(pairs)
-        release(spark)
-        entries = coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_entries(of), _entry_schema(depth))
-    else:
-        entries = coded.mapInArrow(_send_entries(of), _entry_schema(depth))
-    grown = materialise(entries.groupBy("bucket").applyInArrow(_grow(of), _ANSWERS), "grown").withColumn("kind", F.lit(1))
-    del entries
-    release(spark)
-    heard = grown if answers is None else grown.unionByName(answers.withColumn("kind", F.lit(0)))
-    return coded.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(_add_up(of), _SCORES)
+        coded = _with_hot_contexts(coded, of)
+    return coded.groupBy("block").cogroup(_of_subtrees(coded, of).groupBy("block")).applyInArrow(_add_up(of), _SCORES)
