@@ -18,7 +18,8 @@ run down the tries of its other blocks, so a large group of copies is read once.
 
 *Flow.* Input blocks (a few thousand texts) are written once as word numbers of their distinct sets. N-grams and keys
 travel in packed arrays, one for each block and bucket, and a key shared within a block is sent once, so a hot n-gram, set or key is
-one entry a block. No text is shuffled.
+one entry a block. Sets meet by a few of their keys first; then all keys are sent for the groups so found, so that copies do not
+meet again under each of their keys. No text is shuffled.
 
 Null or empty texts have an empty set, link with nothing and are their own component. A text with fewer than ``n``
 words has one element, its whole sequence. Rows with equal doc_id are joined by their own texts; a null doc_id
@@ -41,7 +42,7 @@ GROUP_SHINGLES = 2_000_000
 BUCKET_SHINGLES = 2_000_000
 BUNDLE_BYTES = 16_000_000
 BLOCK_DOCS, BLOCK_BYTES = 4000, 6_000_000
-LANDMARKS = 8
+LANDMARKS, FEW_KEYS = 8, 4
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -333,15 +334,30 @@ def forest(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _EDGES = ["bucket", "block", "keys", "who", "a", "b"]
+_EDGE_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+
+
+def _few(keys: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Places of the FEW_KEYS least keys of each set."""
+    order = np.lexsort((keys, who))
+    start = np.flatnonzero(np.concatenate([[True], who[order][1:] != who[order][:-1]])) if len(who) else np.zeros(0, dtype=np.int64)
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return np.sort(order[rank < FEW_KEYS])
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> tuple[list[int], np.ndarray]:
+    """Buckets that sorted keys go to, and where each begins."""
+    cuts = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))
+    return np.flatnonzero(np.diff(cuts)).tolist(), cuts
 
 
 def _met(coded: DataFrame, counted: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """Edges (a, b) between nodes (a block's number plus the set's) of sets that share a key."""
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    """(node, root) of the sets (a block's number plus the set's) that meet others: by a few keys of each set first, then by all keys of the groups so found."""
 
     def meet_within(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Edges of sets that share a key in the block; the block's keys with a set that has each; the least keys of each set by bucket."""
         if not left.num_rows or not right.num_rows:
-            return _table([[]] * 6, _EDGES, kinds)
+            return _table([[]] * 6, _EDGES, _EDGE_KINDS)
         block, *data = (left.column(c)[0].as_py() for c in _SETS)
         sets = _rebuilt(*data, n)
         buckets_, answers = right.column("bucket").to_pylist(), right.column("df").to_pylist()
@@ -350,17 +366,18 @@ def _met(coded: DataFrame, counted: DataFrame, n: int, percent: int, buckets: in
         each = np.split(df[back], np.cumsum([len(s) for s in sets])[:-1])
         keys, who = prefix_keys(sets, each, percent)
         a, b = forest(keys, who + 1 + block)
+        few = np.unique(keys[_few(keys, who)])
         keys, first = np.unique(keys, return_index=True)  # a key is sent once for the block
         who = who[first] + 1
-        cuts = np.searchsorted(_bucket_of(keys, buckets), np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cuts)).tolist()
+        at = np.searchsorted(keys, few)
+        full, cuts = _cuts(few, buckets)
         m, e = len(full), len(a)
         out = [
-            [*full, *[None] * e], [block] * (m + e), [*[six_bytes(keys[cuts[x] : cuts[x + 1]]) for x in full], *[None] * e],
-            [*[pack_numbers(who[cuts[x] : cuts[x + 1]]) for x in full], *[None] * e], [*[None] * m, *a.tolist()], [*[None] * m, *b.tolist()],
+            [*full, -1, *[None] * e], [block] * (m + 1 + e), [*[six_bytes(few[cuts[x] : cuts[x + 1]]) for x in full], keys.astype("<u8").tobytes(), *[None] * e],
+            [*[pack_numbers(who[at[cuts[x] : cuts[x + 1]]]) for x in full], pack_numbers(who), *[None] * e], [*[None] * (m + 1), *a.tolist()], [*[None] * (m + 1), *b.tolist()],
         ]
         trim()
-        return _table(out, _EDGES, kinds)
+        return _table(out, _EDGES, _EDGE_KINDS)
 
     def meet_between(table: pa.Table) -> pa.Table:
         k = np.concatenate([from_six(x) for x in table.column("keys").to_pylist()])
@@ -368,14 +385,51 @@ def _met(coded: DataFrame, counted: DataFrame, n: int, percent: int, buckets: in
         a, b = forest(k, v)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    def relabel(left: pa.Table, right: pa.Table) -> pa.Table:
+        """All keys of a block by bucket, each with the group of the set that has it."""
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        if not left.num_rows:
+            return _table([[]] * 4, ["bucket", "keys", "roots", "who"], kinds)
+        block, keys, who = left.column("block")[0].as_py(), np.frombuffer(left.column("keys")[0].as_py(), "<u8"), unpack_numbers(left.column("who")[0].as_py())
+        root = np.arange(int(who.max()) + 1 if len(who) else 0) + block
+        if right.num_rows:
+            node = right.column("node").to_numpy() - block
+            inside = node < len(root)
+            root[node[inside]] = right.column("root").to_numpy()[inside]
+        full, cuts = _cuts(keys, buckets)
+        out = []
+        for x in full:
+            names, at = np.unique(root[who[cuts[x] : cuts[x + 1]]], return_inverse=True)
+            out.append((x, six_bytes(keys[cuts[x] : cuts[x + 1]]), names.astype("<i8").tobytes(), pack_numbers(at)))
+        trim()
+        return _table(list(zip(*out, strict=True)) or [[]] * 4, ["bucket", "keys", "roots", "who"], kinds)
+
+    def meet_groups(table: pa.Table) -> pa.Table:
+        k = np.concatenate([from_six(x) for x in table.column("keys").to_pylist()])
+        v = np.concatenate([np.frombuffer(r, "<i8")[unpack_numbers(w)] for r, w in zip(table.column("roots").to_pylist(), table.column("who").to_pylist(), strict=True)])
+        a, b = forest(k, v)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
     schema = "bucket int, block long, keys binary, who binary, a long, b long"
     within = materialise(coded.select(*_SETS).groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(meet_within, schema), "within")
     discard(counted)
     release(coded.sparkSession)
-    between = within.filter("bucket is not null").select("bucket", "block", "keys", "who").groupBy("bucket").applyInArrow(meet_between, "a long, b long")
-    edges = materialise(within.filter("bucket is null").select("a", "b").unionByName(between).distinct(), "met")
+    between = within.filter("bucket >= 0").select("bucket", "block", "keys", "who").groupBy("bucket").applyInArrow(meet_between, "a long, b long")
+    label = materialise(components(within.filter("bucket is null").select("a", "b").unionByName(between).distinct()), "label")
+    every = within.filter("bucket = -1").select("block", "keys", "who").groupBy("block")
+    sent = every.cogroup(label.withColumn("block", _block_of("node")).groupBy("block")).applyInArrow(relabel, "bucket int, keys binary, roots binary, who binary")
+    groups = components(sent.groupBy("bucket").applyInArrow(meet_groups, "a long, b long").distinct())
+    wider = groups.select(F.col("node").alias("_own"), F.col("root").alias("_wider"))
+    # a group's root that is in no edge of sets is a set that the first step has not met
+    alone = groups.join(label.select("node"), "node", "left_anti")
+    merged = label.join(wider, label["root"] == wider["_own"], "left").select("node", F.coalesce("_wider", "root").alias("root"))
+    found = materialise(merged.unionByName(alone.select("node", "root")), "met")
     discard(within)
-    return edges
+    return found
+
+
+def _block_of(node: str):
+    return F.shiftleft(F.shiftright(node, 20), 20)
 
 
 def _of_groups(coded: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -470,11 +524,11 @@ def join_rows(docs: DataFrame, n: int, percent: int, group_shingles: int = GROUP
 
     own = materialise(coded.select("block", "ids", "number", "sigs").mapInArrow(describe, "block long, node long, sig binary, least long"), "own")
     nodes = materialise(own.groupBy("sig").agg(F.min("node").alias("node"), F.min("least").alias("least")), "nodes")
-    met = components(_met(coded, counted, n, percent, buckets))
+    met = _met(coded, counted, n, percent, buckets)
     # all nodes of a set send the same keys, so they are in one group; a group of one set needs no join
     grouped = nodes.join(met, "node").select("node", "root")
     several = grouped.groupBy("root").count().filter("count > 1").select("root")
-    wanted = grouped.join(several, "root", "left_semi").select(F.shiftleft(F.shiftright("node", 20), 20).alias("block"), "node", "root")
+    wanted = grouped.join(several, "root", "left_semi").select(_block_of("node").alias("block"), "node", "root")
     sets = materialise(_of_groups(coded, wanted, n), "groups")
     release(spark)
     linked = _linked(sets, percent, group_shingles)
@@ -509,12 +563,13 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # a struct with a null sorts first, hence the flag
     least = F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "row_hash"))
     chosen = materialise(found.groupBy("component").agg(least.alias("row")).select("row.doc_id", "row.row_hash"), "chosen")
-    marked = docs.withColumn("_kvarn_key", F.struct(F.coalesce(docs["doc_id"], F.lit(0)).alias("i"), docs["doc_id"].isNull().alias("none"), F.xxhash64(docs["text"]).alias("h")))
-    key = chosen.select(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("none"), F.col("row_hash").alias("h")).alias("_kvarn_key"))
-    kept = marked.join(key, "_kvarn_key", "left_semi")
-    twice = found.groupBy("doc_id", "row_hash").count().filter("count > 1").limit(1).count()
-    if twice:
-        order = F.xxhash64(*[F.to_json(F.struct(docs[c])) for c in docs.columns])
-        kept = kept.withColumn("_kvarn_turn", F.row_number().over(Window.partitionBy("_kvarn_key").orderBy(order))).filter("_kvarn_turn = 1")
+    # the row in one column, so that none of its names can clash
+    key = F.struct(F.coalesce(docs["doc_id"], F.lit(0)).alias("i"), docs["doc_id"].isNull().alias("none"), F.xxhash64(docs["text"]).alias("h"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("key"))
+    wanted = chosen.select(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("none"), F.col("row_hash").alias("h")).alias("key"))
+    kept = rows.join(wanted, "key", "left_semi")
+    if found.groupBy("doc_id", "row_hash").count().filter("count > 1").limit(1).count():
+        order = F.xxhash64(*[F.to_json(F.struct(F.col(f"row.`{c}`").alias("x"))) for c in docs.columns])
+        kept = kept.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(order))).filter("turn = 1")
     wordless = docs.filter(~F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    return kept.select(*docs.columns).unionByName(wordless)
+    return kept.select("row.*").unionByName(wordless)

@@ -233,6 +233,34 @@ def test_sharding(spark, docs, rows):
     assert all(sorted(s) == list(range(len(s))) for s in shards.values())
 
 
+def test_sharding_against_a_walk_of_each_key(spark, docs, rows):
+    spots, owners = sharding.ring()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    place = {i: signed(spark_hash(str(i).encode(), spark_hash(b"ring"))) for i, _ in rows}
+    arc = {i: int(np.searchsorted(spots, place[i], side="left")) % len(spots) for i in place}
+    room = [len(rows) // sharding.SHARDS + (s < len(rows) % sharding.SHARDS) for s in range(sharding.SHARDS)]
+    home, over = {}, collections.defaultdict(list)
+    for i in sorted(place, key=lambda i: (arc[i], place[i], i)):
+        s = int(owners[arc[i]])
+        if room[s]:
+            home[i], room[s] = s, room[s] - 1
+        else:
+            over[arc[i]].append(i)
+    carried = []
+    for step in range(2 * len(spots)):
+        at = step % len(spots)
+        carried += over.pop(at, [])
+        left = []
+        for i in carried:
+            s = int(owners[at])
+            if room[s]:
+                home[i], room[s] = s, room[s] - 1
+            else:
+                left.append(i)
+        carried = left
+    assert not carried and {r["doc_id"]: r["shard"] for r in sharding.place(docs).collect()} == home
+
+
 def test_bounded_loads_place_all_and_move_little():
     rng = np.random.default_rng(0)
     spots, owners = sharding.ring(5, 16)
@@ -242,7 +270,7 @@ def test_bounded_loads_place_all_and_move_little():
         assert covered == list(range(total))
         loads = np.bincount([s for _, n, s in plan for _ in range(n)], minlength=5)
         assert loads.max() - loads.min() <= 1
-    assert sharding.moved_share(rng.integers(0, 5, 4000), 24) < 0.35
+    assert sharding.moved_share(rng.integers(0, 5, 4000), 24) < 0.1
 
 
 def test_sharding_odd_rows(spark):
@@ -500,6 +528,32 @@ def test_family_names_stay_together(spark):
         assert a == b == c
 
 
+def test_surrogates_against_plain(spark, docs, rows):
+    """Detection and replacement by another engine of patterns, with the table of surrogates; and each surrogate's form."""
+    import regex
+
+    pattern = regex.compile(surrogates.PATTERN)
+    found = {m[0] for _, t in rows for m in pattern.finditer(t or "")}
+    table = {r["entity"]: (r["kind"], r["surrogate"]) for r in surrogates.assigned(spark.createDataFrame([(x,) for x in found], "entity string")).collect()}
+    assert set(table) == found and len(found) > 50
+    got = {r["_row"]["doc_id"]: r for r in surrogates.replaced(docs).collect()}
+    for i, t in rows:
+        assert got[i]["_text"] == (None if t is None else pattern.sub(lambda m: table[m[0]][1], t))
+        assert list(got[i]["_entities"] or []) == [m[0] for m in pattern.finditer(t or "")]
+    shape = lambda x: regex.sub(r"\p{Lu}", "A", regex.sub(r"\p{Ll}", "a", regex.sub("[0-9]", "0", x)))
+    for entity, (kind, new) in table.items():
+        assert new != entity and regex.fullmatch(surrogates.PATTERNS[kind], new), (entity, new)
+        if kind in ("phone", "ssn", "iban", "card"):
+            assert shape(new) == shape(entity)
+        if kind == "email":
+            assert new.rsplit(".", 1)[1] == entity.rsplit(".", 1)[1] and len(new) == len(entity)
+        if kind == "person":
+            assert new.split(" ")[0] == entity.split(" ")[0] and len(new.split(" ")) == len(entity.split(" "))
+    lower = {}
+    for entity, (_, new) in table.items():
+        assert lower.setdefault(new.lower(), entity.lower()) == entity.lower()
+
+
 def test_surrogates_odd_rows(spark):
     got = {(r["_row"]["doc_id"], r["_row"]["text"], r["_text"]) for r in surrogates.replaced(clashing(spark)).collect()}
     assert len(got) == 7 and all(a == b for _, a, b in got)
@@ -772,6 +826,42 @@ def test_long_pages(spark):
     assert warc.derive(d).filter("record_type = 'conversion' and length(block) > 1000000").count() == 6
 
 
+def test_visible_text_against_the_standard_parser(spark, sf):
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.hidden, self.links = [], 0, 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "head", "template", "noscript", "title")
+            self.links += tag in warc._LINKS and warc._LINKS[tag] in dict(attrs)
+            self.out.append("\n" if tag in warc._BREAKS else "")
+
+        def handle_startendtag(self, tag, attrs):
+            self.links += tag in warc._LINKS and warc._LINKS[tag] in dict(attrs)
+            self.out.append("\n" if tag in warc._BREAKS else "")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "head", "template", "noscript", "title")
+            self.out.append("\n" if tag in warc._BREAKS else "")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+
+    same = n = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").filter("html is not null").collect():
+        plain = Plain()
+        plain.feed(r["html"])
+        plain.close()
+        n += 1
+        page = warc.scan(r["html"])
+        same += page.text.split() == "".join(plain.out).split() and len(page.links) == plain.links
+    assert n and same >= 0.97 * n, (same, n)  # what is left open is read otherwise
+
+
 def test_warc_files(spark, tmp_path):
     import gzip
 
@@ -810,3 +900,28 @@ def test_pipeline_against_single_stages(spark, sf, docs):
     for r in got:
         by[r["doc_id"]] += r["length"]
     assert all(by[r["doc_id"]] == r["doc_tokens"] for r in got)
+
+
+def test_pipeline_odd_rows(spark, sf, docs, tmp_path):
+    """Null ids and texts, repeated ids with the same and with other texts, columns with clashing names, and an empty table."""
+    import corpus_pipeline
+
+    good = [r for r in docs.join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select("doc_id"), "doc_id").select("doc_id", "text").orderBy("doc_id").limit(60).collect() if r["text"] and len(r["text"].split()) > 80]
+    one, two, three, four = (g["text"] for g in good[:4])
+    rows = [(900_001, one), (900_001, one), (900_001, two), (None, three), (None, None), (900_002, None), (900_003, ""), (900_004, " \n"), (900_005, f"{four} Mail anna.b@mail.example.com or 97.51.17.173."), (900_006, "z" * 200_000)]
+    made = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOC)
+    clash = made.select("*", *[F.lit("other").alias(n) for n in ("_row", "_text", "node", "kept", "_kvarn_turn", "rank", "root")])
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:  # each stage alone takes them all and gives the same columns back
+        out = stage(spark, clash, str(tmp_path))
+        assert out.columns == clash.columns, name
+        assert stage(spark, clash.limit(0), str(tmp_path)).count() == 0
+        out.collect()
+    made.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} <= {900_001, None, 900_005}
+    texts = corpus_pipeline.STAGES[1][1](spark, made, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in texts if r["text"] and r["text"].strip()) == sorted([(900_001, one), (900_001, two), (0, three), (900_005, rows[8][1]), (900_006, "z" * 200_000)])
+    hidden = corpus_pipeline.STAGES[3][1](spark, made, str(tmp_path)).filter("doc_id = 900005").first()["text"]
+    assert "anna.b@" not in hidden and "97.51.17.173" not in hidden and hidden.startswith(four[:40])
