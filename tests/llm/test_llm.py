@@ -533,6 +533,9 @@ def test_surrogates_against_plain(spark, docs, rows):
     import regex
 
     pattern = regex.compile(surrogates.PATTERN)
+    more = [PII, *[f"Mr. Ab{chr(97 + i)} Cd{chr(97 + i % 7)} at 10.0.{i}.{i % 7}, u{i}@x{i % 3}.example.org, +44 20 {1000 + i} {2000 + i}" for i in range(26)]]
+    rows = [*rows, *enumerate(more, 10_000)]
+    docs = docs.unionByName(frame(spark, more, range(10_000, 10_000 + len(more))))
     found = {m[0] for _, t in rows for m in pattern.finditer(t or "")}
     table = {r["entity"]: (r["kind"], r["surrogate"]) for r in surrogates.assigned(spark.createDataFrame([(x,) for x in found], "entity string")).collect()}
     assert set(table) == found and len(found) > 50
