@@ -195,14 +195,14 @@ class Settings:
 class Block:
     """A block's tokens with the numbers and counts of their words."""
 
-    def __init__(self, row: dict, of: Settings):
+    def __init__(self, row: dict, of: Settings, whole: bool = True):
         self.of, self.ids = of, row["ids"]
         self.sizes, self.held = unpack_numbers(row["sizes"]), np.frombuffer(row["held"], "u1").astype(bool)
         self.tok, self.word, self.count = unpack_numbers(row["tokens"]), unpack_numbers(row["globals"]), unpack_numbers(row["counts"])
         self.end, self.starts = row["end"], np.cumsum(self.sizes) - self.sizes
         self.block, self.train, self.told = row["block"], np.repeat(~self.held, self.sizes), row["told"]
         self.words = np.concatenate([[0], self.word])  # by local number + 1
-        self.back = self.histories()
+        self.back = self.histories() if whole else []
 
     def histories(self) -> list[np.ndarray]:
         """For each length, the local number + 1 of the word so far back, 0 where none stands or a word since then is rare."""
@@ -219,6 +219,15 @@ class Block:
             found.append(back)
         return found
 
+    def history_of(self, at: np.ndarray) -> list[np.ndarray]:
+        """``histories`` of some tokens."""
+        number = np.where(self.count >= self.of.least, np.arange(1, len(self.count) + 1), 0)
+        start, found = np.repeat(self.starts, self.sizes)[at], []
+        for n in range(1, self.of.depth + 1):
+            back = np.where(at - n >= start, number[self.tok[np.maximum(at - n, 0)]], np.where(at - n == start - 1, number[self.end], 0))
+            found.append(np.where(found[-1] > 0, back, 0) if found else back)
+        return found
+
     def hot(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each length: the tokens that have a hot context of it, and its number."""
         found, words = [], self.words
@@ -319,10 +328,10 @@ def _hot_paths(coded: DataFrame, of: Settings, blocks: int, hot: int, sample: in
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                block, found = Block(row, of), []
-                drawn = _mix(np.arange(len(block.tok), dtype=np.uint64) + np.uint64(block.block & 0xFFFF) * _P1) % np.uint64(sample) == 0
-                cols = [block.words[c[drawn]] for c in block.back]
-                alive, group = np.arange(int(drawn.sum())), np.zeros(int(drawn.sum()), dtype=np.int64)
+                block, found = Block(row, of, whole=False), []
+                drawn = np.flatnonzero(_mix(np.arange(len(block.tok), dtype=np.uint64) + np.uint64(block.block & 0xFFFF) * _P1) % np.uint64(sample) == 0)
+                cols = [block.words[c] for c in block.history_of(drawn)]
+                alive, group = np.arange(len(drawn)), np.zeros(len(drawn), dtype=np.int64)
                 for n, col in enumerate(cols):
                     keep = col[alive] > 0
                     alive, group = alive[keep], group[keep]
@@ -466,12 +475,14 @@ def _send_tokens(of: Settings, turn: int):
 
 def subtree(history: list[np.ndarray], symbol: np.ndarray, n: np.ndarray, p: np.ndarray, skip: np.ndarray, least: int, divergence: float) -> np.ndarray:
     """The probabilities of tokens (history from the last word backwards, symbol, training count) after all their contexts. ``p``: before, ``skip``: how many words of history that has used."""
-    p, group, alive = p.copy(), np.zeros(len(symbol), dtype=np.int64), np.arange(len(symbol))
-    for length, words in enumerate(history, 1):
+    p, group, alive = p.copy(), np.zeros(len(symbol), dtype=np.int32), np.arange(len(symbol), dtype=np.int32)
+    for length in range(1, len(history) + 1):
+        words, history[length - 1] = history[length - 1], None  # each is read once, and freed
         alive = alive[words[alive] > 0]
         if not len(alive):
             break
-        _, g = np.unique((group[alive] << _SHIFT) | words[alive], return_inverse=True)
+        _, g = np.unique((group[alive].astype(np.int64) << _SHIFT) | words[alive], return_inverse=True)
+        del words
         own, stands = skip[alive] < length, np.bincount(g, weights=n[alive])
         stay = ~own | (stands[g] >= least)
         alive, g, own = alive[stay], g[stay], own[stay]
@@ -494,21 +505,24 @@ def _grow(of: Settings):
         cuts = np.cumsum([0, *sizes])
         if cuts[-1] >= 1 << 23:
             raise ValueError("a bucket has more than eight million tokens: lower HOT or BUCKET_TOKENS")
-        columns_ = np.empty((of.depth + 2, cuts[-1]), dtype=np.int64)
+        widths, wides = table.column("width").to_pylist(), table.column("wide").to_pylist()
+        kind = np.int32 if max(*widths, *wides) < 4 else np.int64
+        columns_ = [np.empty(cuts[-1], dtype=kind) for _ in range(of.depth + 2)]  # history, symbol, count
         train, skip = np.empty(cuts[-1], dtype=np.uint8), np.empty(cuts[-1], dtype=np.uint8)
-        for at, m, width, wide, data in zip(cuts.tolist(), sizes, *(table.column(c).to_pylist() for c in ("width", "wide", "data")), strict=False):
+        for at, m, width, wide, data in zip(cuts.tolist(), sizes, widths, wides, table.column("data"), strict=False):
             planes = (of.depth + 1) * width + wide + 2
-            got = np.frombuffer(pa.decompress(data, decompressed_size=planes * m, codec="zstd", asbytes=True), dtype=np.uint8).reshape(planes, m)
+            got = np.frombuffer(pa.decompress(data.as_buffer(), decompressed_size=planes * m, codec="zstd"), dtype=np.uint8).reshape(planes, m)
             for k in range(of.depth + 1):
-                columns_[k, at : at + m] = _from_planes(got[k * width : (k + 1) * width])
-            columns_[-1, at : at + m] = _from_planes(got[(of.depth + 1) * width : -2])
+                columns_[k][at : at + m] = _from_planes(got[k * width : (k + 1) * width])
+            columns_[-1][at : at + m] = _from_planes(got[(of.depth + 1) * width : -2])
             train[at : at + m], skip[at : at + m] = got[-2], got[-1]
-        p = of.root(columns_[-1])
-        p[skip > 0] = np.frombuffer(b"".join(table.column("p").to_pylist()), "<f4")
-        p = subtree(list(columns_[: of.depth]), columns_[of.depth], train, p, skip, of.least, of.divergence).astype("<f4")
+        blocks, bucket, p_hot = (table.column(c).to_pylist() for c in ("block", "bucket", "p"))
+        del table
+        p = of.root(columns_.pop().astype(np.int64))
+        p[skip > 0] = np.frombuffer(b"".join(p_hot), "<f4")
+        symbol = columns_.pop()
+        p = subtree(columns_, symbol, train, p, skip, of.least, of.divergence).astype("<f4")
         out = [p[a:b].tobytes() for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
-        blocks, bucket = table.column("block").to_pylist(), table.column("bucket").to_pylist()
-        del table, columns_
         trim()
         return _table([blocks, bucket, out], _ANSWERS)
 
