@@ -11,6 +11,29 @@ from .ring import owners
 from .versioning import decode, encode, envelope, in_order, increment, merge_all, reconcile
 
 
+class InvalidRequest(ValueError):
+    """A request that no retry can mend: an empty key, or a quorum above the number of owners."""
+
+
+class Unavailable(RuntimeError):
+    """Fewer replicas than needed have answered; what they stored stays."""
+
+
+class NotFound(KeyError):
+    """No replica that answered has the key."""
+
+
+ERRORS = {"invalid": InvalidRequest, "unavailable": Unavailable, "not_found": NotFound}
+
+
+def checked(outcomes: DataFrame) -> DataFrame:
+    """``outcomes`` (key, status), or the error of the first key in order whose status is not ok."""
+    bad = outcomes.filter("status <> 'ok'").orderBy("key").first()
+    if bad is not None:
+        raise ERRORS[bad["status"]](bad["key"])
+    return outcomes
+
+
 def required(asked: Column, default: int, n_owners: Column, key: Column) -> tuple[Column, Column]:
     """(needed acknowledgements, status): 0 or less asks for the default; more than there are owners, or an empty key, is invalid; no owners are unavailable."""
     need = F.when(asked <= 0, default).otherwise(asked)

@@ -9,13 +9,15 @@ import hashlib
 import random
 from bisect import bisect_right
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kvarn.functions.bytes_and_hashes import length_prefixed, u64
+from kvarn.schema import RANGE
 
 from .scan import within
 
@@ -79,6 +81,19 @@ def violations(ranges: DataFrame) -> DataFrame:
     return row.select("start", F.explode("_bad").alias("code"))
 
 
+def to_rows(spark: SparkSession, ranges: list[Range]) -> DataFrame:
+    """A map as rows."""
+    return spark.createDataFrame([(r.start, r.end, list(r.replicas), Decimal(r.generation), r.proposal_id) for r in ranges], RANGE)
+
+
+def from_rows(rows: DataFrame) -> list[Range]:
+    """A map held as rows, checked."""
+    found = sorted((Range(r["start"], r["end"], tuple(r["replicas"] or ()), int(r["generation"]), r["proposal_id"]) for r in few(rows).collect()), key=lambda r: r.start.encode())
+    if bad := problems(found):
+        raise ValueError(f"invalid range map: {', '.join(bad)}")
+    return found
+
+
 def few(ranges: DataFrame) -> DataFrame:
     """A map that may be broadcast: its number of ranges has been checked."""
     if (n := ranges.count()) > MAX_RANGES:

@@ -190,3 +190,55 @@ def test_stream_limiter(spark, tmp_path):
 
     want = {r["seq"]: r["allowed"] for r in limits.token_bucket(spark.createDataFrame(rows, "user long, seq long, ts_seconds long"), 1.0, 2).collect()}
     assert {r["seq"]: r["allowed"] for r in spark.table("limited").collect()} == want
+
+
+def test_node_refuses_what_it_does_not_own(spark, tmp_path):
+    from kvarn.operators import coordination, versioning
+    from kvarn.operators.ring import Range, RangeTable, from_rows, to_rows
+    from kvarn.sources.node import FailedPrecondition, Node
+    from pyspark.sql import functions as F
+
+    ranges = [Range("", "m", ("a", "b"), 3, "p"), Range("m", "", ("b",), 2, "p")]
+    assert from_rows(to_rows(spark, ranges[::-1])) == ranges
+    with pytest.raises(ValueError):
+        from_rows(to_rows(spark, ranges[:1]))
+    node = Node("a", KVStore(spark, str(tmp_path)), RangeTable(ranges))
+    assert node.put("c", "1") == 1 and node.get("c") == "1" and node.delete("c") == 2 and node.get("c") is None
+    for call in (lambda: node.put("x", "1"), lambda: node.get("m"), lambda: node.range_scan("c", "n"), lambda: node.stream_range("", "")):
+        with pytest.raises(FailedPrecondition):
+            call()
+    for call in (lambda: node.put("", "1"), lambda: node.range_scan("a", "b", 0), lambda: node.range_scan("a", "b", 1, 5000)):
+        with pytest.raises(coordination.InvalidRequest):
+            call()
+    text = spark.range(1).select(versioning.encode(versioning.envelope(F.create_map(F.lit("n"), F.lit(1)), F.lit(5), F.lit(False), F.lit("v")))).first()[0]
+    node.put("d", text)
+    node.put("e", "plain")
+    assert node.range_scan("", "m").count() == 2 and [r["envelope"]["value"] for r in node.stream_range("", "m").collect()] == ["v"]
+    assert node.health()["epoch"] == 3 and node.owned() == [("", "m")]
+    out = spark.createDataFrame([("b", "unavailable"), ("a", "ok"), ("c", "invalid")], "key string, status string")
+    with pytest.raises(coordination.Unavailable):
+        coordination.checked(out)
+    assert coordination.checked(out.filter("key = 'a'")).count() == 1
+
+
+def test_store_options(spark, tmp_path):
+    from kvarn.sources.store import RateLimited
+
+    s = KVStore(spark, str(tmp_path / "a"), EngineConfig(wal_mode="sync", max_tokens=2, token_refill_rate=0.0, lsm_levels=2, compaction_threshold=2), limited=True, compaction=False)
+    s.put("a", "1", user="u")
+    assert s.durable_lsn() == s.appended_lsn() == 1
+    s.delete("a", user="u")
+    with pytest.raises(RateLimited):
+        s.put("b", "1", user="u")
+    s.put("b", "1", user="other")
+    s.put("c", "1")
+    assert s.durable_lsn() == 4
+    for k in "xy":
+        s.put(k, "1")
+        s.flush()
+    assert s.compact() == 0 and s.stats()["tables"][0] == 2
+    g = KVStore(spark, str(tmp_path / "b"), EngineConfig(wal_write_buffer=10))
+    g.put("a", "1")
+    assert (g.durable_lsn(), g.appended_lsn()) == (0, 1)
+    g.put("b", "123456789")
+    assert g.durable_lsn() == 2
