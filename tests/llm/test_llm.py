@@ -624,6 +624,25 @@ def test_recall_of_paraphrases_against_brute_force(spark, sf, docs, rows, monkey
     assert len(got) >= 0.9 * len(want), (len(got), len(want))
 
 
+def test_space_is_fitted_on_every_document(spark, docs, rows, monkeypatch):
+    """Its leading directions hold what those of a whole decomposition hold, and no setting leaves a passage out."""
+    monkeypatch.setattr(decontaminate, "SAMPLE_PASSAGES", 1)
+    monkeypatch.setattr(decontaminate, "DIMENSIONS", 24)
+    space = decontaminate.learn(docs.select("doc_id", "text"))
+    idf = np.abs(space.rows[:-1, space.latent])  # the sketch has signs times idf
+    a = np.zeros((len(rows), decontaminate.FEATURES))
+    for x, (_, t) in zip(a, rows, strict=True):
+        np.add.at(x, decontaminate.features(decontaminate.words(t)), 1)
+    stood = a.sum(axis=0)
+    assert np.allclose(idf, np.log((len(rows) + 2) / ((a > 0).sum(axis=0) + 1)), rtol=1e-5)
+    a = np.log1p(a) * idf
+    a /= np.maximum(np.sqrt((a * a).sum(axis=1)), 1e-9)[:, None]
+    basis = np.linalg.qr(space.rows[:-1, : space.latent] / np.maximum(idf, 1e-9)[:, None])[0]
+    most = (np.linalg.svd(a @ a.T, compute_uv=False, hermitian=True)[:24]).sum()
+    assert space.latent == 24 and ((a @ basis) ** 2).sum() >= 0.9 * most
+    assert np.abs(np.bincount(space.fill, minlength=len(stood)) / len(space.fill) - stood / stood.sum()).max() <= 2 / len(space.fill)
+
+
 def test_all_passages_are_tried(spark, docs, rows):
     """A window with the longer subsequence, but not the answer, does not hide one with the answer."""
     corpus = [w.decode() for _, t in rows for w in decontaminate.words(t)]
