@@ -387,6 +387,22 @@ def test_bradley_terry_against_plain(spark):
     assert np.abs(gradient).max() < 1e-4
 
 
+def test_fit_takes_all_pairs_of_all_rows(spark):
+    """The gradient over every pair of a good and a bad document vanishes, however few rows are worked on at a time; the threshold is the quantile of all."""
+    rng = random.Random(5)
+    quality = [int(rng.random() < 0.4) for _ in range(150)]
+    texts = [" ".join(f"{'gb'[1 - q] if rng.random() < 0.2 else 'c'}{rng.randrange(40)}w" for _ in range(rng.randrange(20, 60))) + "!" * rng.randrange(1, 5) for q in quality]
+    mean, scale, w, at = quality_bt.fit(frame(spark, texts), spark.createDataFrame(list(enumerate(quality)), "doc_id long, quality int"), max_rows=7)
+    x, y = np.array([quality_bt.features(t) for t in texts], dtype=np.float64), np.array(quality)
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(scale[: quality_bt.N_FORM], np.maximum(x.std(axis=0), 1e-6)[: quality_bt.N_FORM], atol=1e-5)
+    z = (x - mean) / scale
+    s = z @ w
+    miss = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0]))
+    gradient = (miss.sum(axis=0) @ z[y == 0] - miss.sum(axis=1) @ z[y == 1]) / miss.size + quality_bt.RIDGE * w
+    assert np.abs(gradient).max() < 1e-5
+    assert abs(at - np.quantile(s, (y == 0).mean())) < 1e-6
+
+
 def test_bradley_terry_odd_rows(spark):
     labels = spark.createDataFrame([(3, 1), (None, 1), (4, 0)], "doc_id long, quality int")
     got = quality_bt.classify(clashing(spark), labels).collect()
