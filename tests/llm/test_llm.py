@@ -211,6 +211,13 @@ def test_packing(spark, docs, rows):
     assert len(by) * 2048 <= used * 1.02 + 2048
 
 
+def test_the_slow_tokenizer_waits_for_a_text_that_needs_it():
+    with open(queries.tokenizer_path(), "rb") as f:
+        tok = packing.FastTokenizer(f.read())
+    assert len(tok.ids("plain words")) and "slow" not in vars(tok)
+    assert len(tok.ids(f"a {tok.special[0]} b")) and "slow" in vars(tok)
+
+
 def test_packing_odd_rows(spark):
     d = clashing(spark).union(clashing(spark).limit(1).withColumn("text", F.lit("see <|endoftext|> here")))
     check_packed(packing.pack(d, queries.tokenizer_path()).collect(), [r["text"] for r in d.collect()])
@@ -940,6 +947,16 @@ def test_pipeline_against_single_stages(spark, sf, docs):
     assert all(by[r["doc_id"]] == r["doc_tokens"] for r in got)
 
 
+def test_pipeline_stage_learns_from_every_document(spark, sf, docs, monkeypatch):
+    seen, learn = [], decontaminate.learn
+    monkeypatch.setattr(decontaminate, "learn", lambda d: seen.append(learn(d)) or seen[-1])
+    queries.stage_decontaminate(spark, docs, sf)
+    monkeypatch.setattr(decontaminate, "SAMPLE_PASSAGES", 1)
+    queries.stage_decontaminate(spark, docs.repartition(3), sf)
+    assert np.allclose(seen[0].rows[:, -decontaminate.SKETCH :], seen[1].rows[:, -decontaminate.SKETCH :])
+    assert seen[0].latent == seen[1].latent and (seen[0].fill == seen[1].fill).all()
+
+
 def test_pipeline_odd_rows(spark, sf, docs, tmp_path):
     """Null ids and texts, repeated ids with the same and with other texts, columns with clashing names, and an empty table."""
     import corpus_pipeline
