@@ -666,6 +666,49 @@ def test_space_is_fitted_on_every_document(spark, docs, rows, monkeypatch):
     assert np.abs(np.bincount(space.fill, minlength=len(stood)) / len(space.fill) - stood / stood.sum()).max() <= 2 / len(space.fill)
 
 
+def test_products_take_some_documents_a_row(spark, docs, rows, monkeypatch):
+    """All features in dense blocks or none: the same product with the matrix of all documents, read from far fewer rows."""
+    a = np.zeros((len(rows), decontaminate.FEATURES), dtype=np.float32)
+    for x, (_, t) in zip(a, rows, strict=True):
+        np.add.at(x, decontaminate.features(decontaminate.words(t)), 1)
+    product, seen = decontaminate._product, []
+    monkeypatch.setattr(decontaminate, "_product", lambda matrix, *x: seen.append((matrix.count(), x, out := product(matrix, *x))) or out)
+    for share in (0.0, 2.0):
+        monkeypatch.setattr(decontaminate, "OFTEN", share)
+        decontaminate.learn(docs.select("doc_id", "text"))
+    assert len(seen) == 2 * decontaminate.ROUNDS
+    for n, (idf, share, q), out in seen:
+        assert np.allclose(share, (a > 0).mean(axis=0)) and 0 < n < len(rows) / 20
+        plain = np.log1p(a) * idf
+        plain /= np.maximum(np.sqrt((plain * plain).sum(axis=1)), 1e-9)[:, None]
+        plain = plain.T @ (plain @ q)
+        assert np.abs(out - plain).max() <= 1e-4 * np.abs(plain).max()
+
+
+def test_bags_and_the_bound_on_shared_words(docs, rows, monkeypatch, spark, sf):
+    texts = [None, "", *[t for _, t in rows[:200]], " . ", "a b a"]
+    split = decontaminate.Split(texts)
+    own, times, sizes = split.bags()
+    want = [sorted(collections.Counter(split.text(k).tolist()).items()) for k in range(len(split))]
+    assert list(zip(own.tolist(), times.tolist(), strict=True)) == [x for w in want for x in w]
+    assert sizes.tolist() == [len(w) for w in want if w]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    index = decontaminate.Index(decontaminate.learn(docs.select("doc_id", "text")), items)
+    pick = np.random.default_rng(3)
+    place = np.sort(pick.choice([k for k in range(len(split)) if len(split.text(k))], 600))
+    first, k = split.first[place] + pick.integers(0, np.diff(split.first)[place]), pick.integers(0, len(index.items), 600)
+    first[::2] = split.first[place[::2]]
+    bins = lambda ids: collections.Counter((ids & (decontaminate.BAG - 1)).tolist())
+    low, high = index._around(split, place, first, k)
+    for share in (0.05, 0.5):
+        monkeypatch.setattr(decontaminate, "LIKELY_LCS", share)
+        held = [sum(n for b, n in bins(decontaminate.features(index.items[i][1])).items() if b in bins(split.ids[x:y])) for i, x, y in zip(k, low, high, strict=True)]
+        assert index._possible(split, place, first, k).tolist() == [h >= share * index.sizes[i] for h, i in zip(held, k, strict=True)]
+    whole = index.search(texts)
+    monkeypatch.setattr(decontaminate, "PENDING", 1)
+    assert index.search(texts) == whole
+
+
 def test_all_passages_are_tried(spark, docs, rows):
     """A window with the longer subsequence, but not the answer, does not hide one with the answer."""
     corpus = [w.decode() for _, t in rows for w in decontaminate.words(t)]
